@@ -1,3 +1,5 @@
 """Operators on training text; nothing outside this subpackage imports it."""
 
-QUERY_MODULES: list[str] = []
+QUERY_MODULES = [
+    "turnmill.llm.p1_queries",
+]
