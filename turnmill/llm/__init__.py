@@ -2,4 +2,5 @@
 
 QUERY_MODULES = [
     "turnmill.llm.p1_queries",
+    "turnmill.llm.p67_queries",
 ]
