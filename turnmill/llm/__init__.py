@@ -2,5 +2,6 @@
 
 QUERY_MODULES = [
     "turnmill.llm.p1_queries",
+    "turnmill.llm.p4_queries",
     "turnmill.llm.p67_queries",
 ]
