@@ -4,4 +4,5 @@ QUERY_MODULES = [
     "turnmill.llm.p1_queries",
     "turnmill.llm.p4_queries",
     "turnmill.llm.p67_queries",
+    "turnmill.llm.p8_queries",
 ]
