@@ -37,6 +37,8 @@ BEAM = 12
 LEADS = (0x3F, 0xC2, 0xC3, 0xCE, 0xD0, 0xD1, 0xE2, 0xE3, 0xE4, 0xE5, 0xE6, 0xE7, 0xE8, 0xE9, 0xEA, 0xEB, 0xEC, 0xED, 0xF0)
 #: Cost of entering or leaving a channel, in nats.
 SWITCH = 2.0
+#: What each sequence of bytes that is valid UTF-8 without a lost byte tells against chance, in nats.
+VALID = 2.0
 TOKENS_CACHED = 200_000
 ROUNDS = 3
 LOST = "\ufffd"
@@ -247,14 +249,15 @@ class Decoder:
                 t = decode(b, self.language, fills)
                 if t is None or t == token or LOST in t:
                     continue
-                best = (self.language.text(t), t)
+                told = VALID * sum(c > "\x7f" for c in t) if decode is _as_utf8 and None not in b else 0.0
+                best = (self.language.text(t) + told, t)
                 for _ in range(ROUNDS - 1):  # damaged more than once on the same way
                     again = encode(t)
                     more = again and None not in again and decode(again, self.language, fills)
                     if not more or more == t or LOST in more:
                         break
                     t = more
-                    best = max(best, (self.language.text(t), t))
+                    best = max(best, (self.language.text(t) + told, t))
                 found.append((k, *best))
             if len(self.cache) > TOKENS_CACHED:
                 self.cache.clear()
