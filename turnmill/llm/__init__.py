@@ -3,6 +3,7 @@
 QUERY_MODULES = [
     "turnmill.llm.p1_queries",
     "turnmill.llm.p4_queries",
+    "turnmill.llm.p5_queries",
     "turnmill.llm.p67_queries",
     "turnmill.llm.p8_queries",
 ]

@@ -231,7 +231,8 @@ def rewritten(df: DataFrame, columns: list[str], frequency: dict[str, int], suff
     risky = "".join(f"\\x{{{ord(c):X}}}" for c in sorted({k[-1] for k in changed.automaton.keys()})) if not changed.empty else ""
     out = df
     for c in columns:
-        new = F.when(F.col(c).rlike(f"[{risky}]"), rewrite(F.col(c))).otherwise(F.col(c)) if risky else F.col(c)
+        # the function runs on every row that reaches it, so rows without a pattern pass it as null
+        new = F.coalesce(rewrite(F.when(F.col(c).rlike(f"[{risky}]"), F.col(c))), F.col(c)) if risky else F.col(c)
         out = out.withColumn(c + suffix, new)
     return out
 

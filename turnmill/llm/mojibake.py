@@ -347,10 +347,9 @@ def restored(df: DataFrame, text: str = "text", to: str = "restored", flag: str
     @F.pandas_udf("restored string, garbled boolean")
     def fix(texts: pd.Series) -> pd.DataFrame:
         d = kept.get(0) or kept.setdefault(0, Decoder(Language(*shared.value)))
-        return pd.DataFrame([d.restore(t) for t in texts], columns=["restored", "garbled"])
+        return pd.DataFrame([(None, False) if t is None else d.restore(t) for t in texts], columns=["restored", "garbled"])
 
-    plain = F.struct(F.col(text).alias("restored"), F.lit(False).alias("garbled"))
-    fixed = F.when(F.col(text).rlike(SUSPECT), fix(F.coalesce(text, F.lit("")))).otherwise(plain)
-    out = df.withColumn("__fixed", fixed)
-    out = out.withColumn(to, F.col("__fixed.restored")).withColumn(flag, F.col("__fixed.garbled")).drop("__fixed")
+    # the function runs on every row that reaches it, so rows that can't be garbled pass it as null
+    out = df.withColumn("__fixed", fix(F.when(F.col(text).rlike(SUSPECT), F.col(text))))
+    out = out.withColumn(to, F.coalesce(F.col("__fixed.restored"), F.col(text))).withColumn(flag, F.col("__fixed.garbled")).drop("__fixed")
     return out.withColumn(lost, F.coalesce(F.col(to).contains(LOST), F.lit(False)))
