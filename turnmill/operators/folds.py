@@ -7,13 +7,20 @@ ends there and chains are folded apart from each other.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnmill.operators import blocked
 
-SEGMENT = "file_id string, seq int, start double, end double, text string"
+
+class Row(NamedTuple):
+    place: int
+    start: float
+    end: float
+    text: str | None
 
 
 def chains(df: DataFrame, slack: float = 0.0) -> DataFrame:
@@ -29,19 +36,37 @@ def chains(df: DataFrame, slack: float = 0.0) -> DataFrame:
     return blocked.running_count(rows, ["file_id"], "block", ["start", "seq"], apart, "chain").drop("block", "near", "far")
 
 
+#: Chains that are folded in one array.
+TOGETHER = 256
+
+
 def _fold(df: DataFrame, slack: float, step) -> DataFrame:
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for r in f.sort_values(["start", "seq"]).itertuples(index=False):
-            step(kept, r)
-        return pd.DataFrame(kept, columns=f.columns)[["file_id", "seq", "start", "end", "text"]]
+    """The rows that ``step`` keeps; chains travel as arrays, many in one Arrow batch."""
+
+    @F.pandas_udf("array<int>")
+    def kept(arrays: pd.Series) -> pd.Series:
+        out = []
+        for rows in arrays:
+            places: list[int] = []
+            stack: list = []
+            chain = None
+            for i, r in enumerate(rows):
+                if r["chain"] != chain:
+                    chain, stack = r["chain"], []
+                    base = len(places)
+                row = Row(i, r["start"], r["end"], r["text"])
+                step(stack, row)
+                places[base:] = [k.place for k in stack]
+            out.append(places)
+        return pd.Series(out)
 
     rows = chains(df.select("file_id", "seq", "start", "end", "text"), slack)
     size = Window.partitionBy("file_id", "chain")
     rows = rows.withColumn("n", F.count("*").over(size))
     # a chain of one is kept as it is; only real chains go through Python
-    many = rows.where("n > 1").drop("n").groupBy("file_id", "chain").applyInPandas(run, SEGMENT.replace("end double", "`end` double"))
-    return rows.where("n = 1").select("file_id", F.col("seq").cast("int").alias("seq"), "start", "end", "text").unionByName(many)
+    many = rows.where("n > 1").groupBy("file_id", F.floor(F.col("chain") / TOGETHER).alias("part")).agg(F.array_sort(F.collect_list(F.struct("start", "seq", "end", "text", "chain"))).alias("rows"))
+    picked = many.select("file_id", F.explode(F.transform(kept("rows"), lambda i: F.col("rows")[i])).alias("r")).select("file_id", "r.seq", "r.start", "r.end", "r.text")
+    return rows.where("n = 1").select("file_id", "seq", "start", "end", "text").unionByName(picked)
 
 
 def without_overlaps(df: DataFrame, share: float = 0.5) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -117,26 +115,34 @@ def categorised(df: DataFrame) -> DataFrame:
     """
     rows = df.select("file_id", "seq", blocked.block_of(F.col("seq")).alias("block"), *note_scores(F.col("text")))
 
-    def composed(key, f: pd.DataFrame) -> pd.DataFrame:
-        x = f.sort_values("seq")[CATEGORIES].to_numpy()
-        ends = []
-        for state in range(-1, 4):
-            for s in x:
-                state = _next(state, s)
-            ends.append(state)
-        return pd.DataFrame({"file_id": [key[0]], "block": [key[1]], "ends": [ends]})
+    block = rows.groupBy("file_id", "block").agg(F.array_sort(F.collect_list(F.struct("seq", *CATEGORIES))).alias("rows"))  # at most a block of rows
+
+    @F.pandas_udf("array<int>")
+    def composed(blocks: pd.Series) -> pd.Series:
+        out = []
+        for b in blocks:
+            x = np.array([[r[c] for c in CATEGORIES] for r in b])
+            ends = []
+            for state in range(-1, 4):
+                for s in x:
+                    state = _next(state, s)
+                ends.append(state)
+            out.append(ends)
+        return pd.Series(out)
+
+    @F.pandas_udf("array<string>")
+    def resolved(blocks: pd.Series, states: pd.Series) -> pd.Series:
+        out = []
+        for b, state in zip(blocks, states):
+            names = []
+            for r in b:
+                state = _next(int(state), np.array([r[c] for c in CATEGORIES]))
+                names.append(CATEGORIES[state] if state >= 0 else "unknown")
+            out.append(names)
+        return pd.Series(out)
 
-    maps = rows.groupBy("file_id", "block").applyInPandas(composed, "file_id string, block bigint, ends array<int>")
     line = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    maps = block.select("file_id", "block", composed(F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in CATEGORIES]))).alias("ends"))
     starts = maps.select("file_id", "block", F.aggregate(F.collect_list("ends").over(line), F.lit(-1), lambda state, ends: F.element_at(ends, state + 2)).alias("state"))
-
-    def resolved(key, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("seq")
-        state, out = int(f["state"].iloc[0]), []
-        for s in f[CATEGORIES].to_numpy():
-            state = _next(state, s)
-            out.append(CATEGORIES[state] if state >= 0 else "unknown")
-        return pd.DataFrame({"file_id": f["file_id"], "seq": f["seq"], "category": out})
-
-    joined = rows.join(starts, ["file_id", "block"])
-    return joined.groupBy("file_id", "block").applyInPandas(resolved, f"file_id string, seq {df.schema['seq'].dataType.simpleString()}, category string")
+    done = block.join(starts, ["file_id", "block"]).select("file_id", F.col("rows.seq").alias("seqs"), resolved(F.col("rows"), F.col("state")).alias("names"))
+    return done.select("file_id", F.inline(F.arrays_zip(F.col("seqs").alias("seq"), F.col("names").alias("category"))))
