@@ -53,8 +53,10 @@ LABEL = rf"^[\s\p{{Z}}\p{{Cf}}]*(?:[\[(<【]\s*{_LABEL}\s*[\])>】]\s*[:：]?|{_
 _SOUND = "(?:" + "|".join(HESITATION) + ")"
 #: Hesitation inside speech needs a mark that it trails off; "그" and "저" are words without one.
 FILLER = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(h for h in HESITATION if h not in ('그', '저'))})(?:\s*(?:\.{{2,}}|…)[.…]*\s*,?|\s*,)|(?:그|저)(?:\.{{2,}}|…)[.…]*,?)(?=\s|$)"
-#: Nothing but hesitation and punctuation.
-NO_SPEECH = rf"^[\s\p{{Z}}\p{{P}}\p{{Cf}}]*(?:{_SOUND}(?:[\s\p{{Z}}\p{{P}}\p{{Cf}}]+|$))*$"
+#: A sound of hesitation on its own, and what shows that something else is said. Removing the one and looking for the
+#: other is a loop, where one pattern for the whole text would recurse with its length.
+LONE_SOUND = rf"(?<![\p{{L}}\p{{N}}]){_SOUND}(?![\p{{L}}\p{{N}}])"
+SPOKEN = r"[^\s\p{Z}\p{P}\p{Cf}]"
 
 _FULL = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _HALF = "".join(map(chr, range(0x21, 0x7F)))
@@ -106,7 +108,7 @@ def cleaned(df: DataFrame, role_codes: DataFrame) -> DataFrame:
         "start",
         F.when(F.col("mark") != "", cue).alias("cue"),
         F.coalesce(_role_word(F.col("who")), "r1", _role_word(F.col("label")), "r2").alias("role"),
-        F.when(~F.col("t").rlike(NO_SPEECH), speech).alias("speech"),
+        F.when(F.regexp_replace("t", LONE_SOUND, " ").rlike(SPOKEN), speech).alias("speech"),
     )
 
 
