@@ -1,0 +1,123 @@
+"""Rewriting pipelines for recognised speech: repetition, questions, context, numerals."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from turnmill.functions.text import squeeze
+
+# Numerals, units and endings.
+SINO = {c: i for i, c in enumerate("일이삼사오육칠팔구", 1)}
+SINO_UNITS = {"십": 10, "백": 100, "천": 1000}
+NATIVE = dict(zip("한 두 세 네 다섯 여섯 일곱 여덟 아홉 열 열한 열두 스무".split(), (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 20)))
+DOSES = {"밀리그램": "mg", "밀리그람": "mg", "그램": "g", "그람": "g", "마이크로그램": "µg", "밀리리터": "ml", "리터": "L", "시시": "cc", "퍼센트": "%", "킬로그램": "kg", "킬로": "kg", "센티미터": "cm", "센티": "cm"}
+SINO_COUNTED = "년 월 일 주 개월 분 초 도 호 층 회 차 번 세 급 단계".split()
+NATIVE_COUNTED = "번 시 시간 알 개 살 명 가지 군데 달 잔 숟가락".split()
+QUESTIONS = "나요 까요 습니까 세요 으셨어요 는지요 을까 는가요 죠 신가요 던가요 었나요".split()
+
+
+def without_sequences(c: Column) -> Column:
+    """Without runs of months and bare numbers; nothing is left of fewer than two characters."""
+    t = F.regexp_replace(c, r"(?:\d{1,2}월[\s,]*){3,}", " ")
+    t = F.regexp_replace(t, r"(?:\d+[\s,]+){5,}\d+", " ")
+    t = squeeze(t)
+    return F.when(F.length(t) < 2, "").otherwise(t)
+
+
+def question_marks(c: Column) -> Column:
+    """A full stop after an interrogative ending becomes a question mark, sentence by sentence."""
+    ends = "|".join(e for e in QUESTIONS if e != "세요")
+    return F.array_join(F.transform(F.split(c, r"(?<=[.?!])\s+"), lambda s: F.regexp_replace(s, rf"((?:{ends}))\.?$", "$1?")), " ")
+
+
+def in_context(c: Column, rules: list[tuple[str, str, str]], around: Column | None = None) -> Column:
+    """(context, pattern, replacement): the pattern is replaced where the context occurs in ``around`` (the text itself if None)."""
+    for context, pattern, to in rules:
+        c = F.when((c if around is None else around).rlike(context), F.regexp_replace(c, pattern, to)).otherwise(c)
+    return c
+
+
+def first_only(c: Column, pattern: str, to: str) -> Column:
+    """The first match replaced."""
+    return F.regexp_replace(c, rf"(?s)^(.*?)(?:{pattern})", f"$1{to}")
+
+
+def without_fences(c: Column) -> Column:
+    """Text inside code fences, the text itself without."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"^\s*```[a-zA-Z]*\s*", ""), r"\s*```\s*$", ""))
+
+
+def without_fillers(c: Column) -> Column:
+    """Hesitation with a mark that it trails off is dropped; repeated sounds shrink to nothing."""
+    t = F.regexp_replace(c, r"(?<!\S)(?:[음어으흠아에]{1,3}|그|저)(?:\.{2,}|…)[,.…]*(?=\s|$)", " ")
+    return squeeze(F.regexp_replace(t, r"(?<!\S)(?:(?:[음어으흠]+)[,.\s]+){2,}", " "))
+
+
+def only_particle_differs(a: Column, b: Column, particles: list[str]) -> Column:
+    """Whether one word is the other with a particle, or both are one stem with different particles."""
+    stem = lambda w: F.regexp_replace(w, rf"(?:{'|'.join(particles)})$", "")
+    return (a != b) & (F.length(stem(a)) > 1) & (stem(a) == stem(b))
+
+
+def _sino(word: str) -> int | None:
+    total = part = last = 0
+    for c in word:
+        if c in SINO:
+            last = SINO[c]
+        elif c in SINO_UNITS:
+            part, last = part + max(last, 1) * SINO_UNITS[c], 0
+        elif c == "만":
+            total, part, last = total + max(part + last, 1) * 10000, 0, 0
+        else:
+            return None
+    return total + part + last or None
+
+
+_N = "[일이삼사오육칠팔구십백천만]+"
+_PRESSURE = re.compile(rf"({_N}|\d+)\s*(?:에|대)\s*({_N}|\d+)(?=[\s,.]|$|으?로|이)")
+_DOSE = re.compile(rf"({_N}|\d+)\s*({'|'.join(sorted(DOSES, key=len, reverse=True))})")
+_SINO = re.compile(rf"(?<![가-힣])({_N})\s?({'|'.join(sorted(SINO_COUNTED, key=len, reverse=True))})(?![가-힣]{{3}})")
+_NATIVE = re.compile(rf"(?<![가-힣])({'|'.join(sorted(NATIVE, key=len, reverse=True))})\s({'|'.join(sorted(NATIVE_COUNTED, key=len, reverse=True))})(?![가-힣]{{3}})")
+_OFTEN = re.compile(rf"(하루|일일|매일)(에)?\s+({'|'.join(NATIVE)}|{_N})\s*(번|회)")
+
+
+def _value(word: str) -> int | None:
+    return int(word) if word.isdigit() else _sino(word)
+
+
+def numerals(text: str) -> str:
+    """Spoken numbers as digits: blood pressure, frequency, doses, then Sino and native numbers before their units."""
+
+    def pressure(m):
+        a, b = _value(m[1]), _value(m[2])
+        return f"{a}/{b}" if a and b and 60 <= a <= 300 and 30 <= b <= 200 and a > b else m[0]
+
+    def often(m):
+        n = NATIVE.get(m[3]) or _sino(m[3])
+        return f"{m[1]}{m[2] or ''} {n}{m[4]}" if n else m[0]
+
+    text = _PRESSURE.sub(pressure, text)
+    text = _OFTEN.sub(often, text)
+    text = _DOSE.sub(lambda m: f"{_value(m[1])}{DOSES[m[2]]}" if _value(m[1]) else m[0], text)
+    text = _SINO.sub(lambda m: f"{_sino(m[1])}{m[2]}" if _sino(m[1]) and (len(m[1]) > 1 or m[2] != "일") else m[0], text)
+    return _NATIVE.sub(lambda m: f"{NATIVE[m[1]]}{m[2]}", text)
+
+
+@F.pandas_udf(StringType())
+def _numerals(texts: pd.Series) -> pd.Series:
+    return texts.map(numerals, na_action="ignore")
+
+
+def spoken_numbers(c: Column) -> Column:
+    """``numerals`` for the texts that hold a spelled number; others don't reach Python."""
+    return F.coalesce(_numerals(F.when(c.rlike(r"[일이삼사오육칠팔구십백천]|한 |두 |세 |네 |섯 |일곱|덟|홉|열|스무"), c)), c)
+
+
+def polished(c: Column, context: list[tuple[str, str, str]] = ()) -> Column:
+    """The whole pipeline: fillers, numbers, questions, context, sequences."""
+    return without_sequences(in_context(question_marks(spoken_numbers(without_fillers(c))), list(context)))
