@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnmill.llm import truncation
-from turnmill.session import table
+from turnmill.session import spread, table
 
 KEY = ["model_key", "result_id"]
 
@@ -13,7 +13,7 @@ KEY = ["model_key", "result_id"]
 def _scored(spark, sf_dir):
     cols = [*KEY, "source", F.col("hypothesis").alias("text"), "reference", "hyp_len"]
     a, b = (table(spark, sf_dir, f"{m}_result_no_prompt").select(*cols) for m in ("jangmin", "seastar105"))
-    return truncation.scored(a.unionByName(b), KEY)
+    return truncation.scored(spread(a.unionByName(b)), KEY)
 
 
 def p2_found(spark, sf_dir):

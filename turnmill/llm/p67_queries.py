@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnmill.llm import bpe, packing
-from turnmill.session import cut_lineage, table
+from turnmill.session import cut_lineage, spread, table
 
 #: pack_capacity lists the container sizes; more than this many would be no dimension table.
 MOST_CAPACITIES = 100
 
 
 def p6_ids(spark, sf_dir):
-    return bpe.encode(table(spark, sf_dir, "documents"))
+    return bpe.encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p7_containers(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     sizes = cut_lineage(bpe.token_counts(docs))
     caps = table(spark, sf_dir, "pack_capacity").where("capacity_tokens > 0 and tokenizer = 'byte_bpe_50k'").select("capacity_id", "capacity_tokens").distinct().take(MOST_CAPACITIES + 1)
     if len(caps) > MOST_CAPACITIES:

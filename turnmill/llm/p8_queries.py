@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from turnmill.llm import mojibake
-from turnmill.session import table
+from turnmill.session import spread, table
 
 
 def p8_found(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return mojibake.restored(docs).where("garbled").select("doc_id")
 
 
 def p8_restored(spark, sf_dir):
     """Every document with its text as far as it can be had, and the two flags."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return mojibake.restored(docs).select("doc_id", "restored", "garbled", "beyond_repair")
 
 
