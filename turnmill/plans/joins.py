@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnmill.operators import joins as J
+from turnmill.operators import sequences as S
 from turnmill.plans.sequences import SEGMENTS_SQL, segments
 from turnmill.session import table
 
@@ -12,12 +13,12 @@ KEYWORDS = ["검사", "혈압", "통증", "복통", "기침", "수술", "체온"
 
 
 def _turns(s, d):
-    """Odd arrivals play the diarization intervals, even ones the segments."""
-    return segments(s, d).where("seq % 2 = 1").select("file_id", F.col("seq").alias("ord"), "start", "end", "speaker")
+    """Merged runs of one speaker play the diarizer's turns, in order of their first segment."""
+    return S.merged_same_speaker(segments(s, d)).select("file_id", F.col("first_seq").alias("ord"), "start", "end", "speaker")
 
 
 def j1(s, d):
-    return J.speaker_of_segments(segments(s, d).where("seq % 2 = 0"), _turns(s, d))
+    return J.speaker_of_segments(segments(s, d), _turns(s, d))
 
 
 def _words(s, d):
