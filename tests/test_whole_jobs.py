@@ -18,3 +18,17 @@ def test_j1_looks_up_every_segment_in_every_turn(spark, tmp_path):
     got = {r.seq: r.speaker for r in run(spark, tmp_path, "j1_interval_speaker", transcribe_segments=(data, SEGMENT)).collect()}
     # the short segment 11 lies within the turn of segment 3, which comes first
     assert got == {**dict(enumerate(who, 1)), 10: None, 11: "B"}
+
+
+RESULT = "result_id long, run_id long, model_key string, type int, source string, cer double, ref_len int, hyp_len int, ratio double, duration_s double, elapsed_s double, truncated boolean, reference string, hypothesis string"
+
+
+def results(model, texts, cer=None):
+    return [(i, 1, model, 1, "s", cer(i) if cer else 0.0, 1, 1, 1.0, 1.0, 1.0, False, a, b) for i, (a, b) in enumerate(texts, 1)]
+
+
+def test_s8_sorts_all_results(spark, tmp_path):
+    a = results("jangmin", [("x", "x")] * 150, lambda i: None if i == 7 else float((i * 37) % 101))
+    b = results("seastar105", [("x", "x")] * 30, lambda i: float(i))
+    got = [(r.cer, r.result_id) for r in run(spark, tmp_path, "s8_best_results", jangmin_result_no_prompt=(a, RESULT), seastar105_result_no_prompt=(b, RESULT)).collect()]
+    assert got == sorted((r[5], r[0]) for r in a + b if r[5] is not None) and len(got) == 179

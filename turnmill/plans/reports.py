@@ -319,7 +319,7 @@ def _(s, d):
 
 @query("s8_best_results", f"WITH {RUNS_SQL} SELECT model_key, result_id, cer FROM runs WHERE cer IS NOT NULL ORDER BY cer, result_id LIMIT 100")
 def _(s, d):
-    return _runs(s, d).where("cer is not null").select("model_key", "result_id", "cer").orderBy("cer", "result_id").limit(100)
+    return _runs(s, d).where("cer is not null").select("model_key", "result_id", "cer").orderBy("cer", "result_id")
 
 
 # sources -----------------------------------------------------------------
