@@ -32,3 +32,11 @@ def test_s8_sorts_all_results(spark, tmp_path):
     b = results("seastar105", [("x", "x")] * 30, lambda i: float(i))
     got = [(r.cer, r.result_id) for r in run(spark, tmp_path, "s8_best_results", jangmin_result_no_prompt=(a, RESULT), seastar105_result_no_prompt=(b, RESULT)).collect()]
     assert got == sorted((r[5], r[0]) for r in a + b if r[5] is not None) and len(got) == 179
+
+
+def test_h3_returns_every_result_with_many_errors(spark, tmp_path):
+    texts = [("가 나 다 라", "가 나 다 마")] * 2 + [("가 나, 다!", "가 나 다")] + [("가 나 다 라", "가 라")] * 40 + [("가", None), (None, None), ("", "가"), ("", "."), ("가 나 다 라 마 바 사 아 자 차", "가 나 다 라 마 바 사 하 하 하")]
+    a, b = results("jangmin", texts), results("seastar105", texts[:5], lambda i: None)
+    got = run(spark, tmp_path, "h3_worst_results", jangmin_result_no_prompt=(a, RESULT), seastar105_result_no_prompt=(b, RESULT)).collect()
+    assert sorted((r.model_key, r.result_id) for r in got) == [("jangmin", i) for i in [*range(4, 45), 46]] + [("seastar105", 4), ("seastar105", 5)]
+    assert {(r.reference, r.hypothesis, r.wer) for r in got} == {("가 나 다 라", "가 라", 0.5), ("가", None, 1.0), ("", "가", 1.0)}

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnmill.functions import cleaning as C
+from turnmill.functions import metrics as M
+from turnmill.functions import text as T
 from turnmill.operators import detection as D
 from turnmill.operators import roles, rules
 from turnmill.operators import sequences as S
-from turnmill.plans.reports import RUNS_SQL, _runs
+from turnmill.plans.reports import RUNS_SQL
 from turnmill.plans.sequences import SEGMENTS_SQL, segments
-from turnmill.session import table
+from turnmill.session import spread, table
 
 QUERIES, ORACLES = {}, {}
 PARTICLES = ["에서", "까지", "부터", "이나", "으로", "은", "는", "이", "가", "을", "를", "의", "에", "로", "도", "만"]
@@ -198,5 +199,12 @@ def _(s, d):
 
 @query("h3_worst_results", f"WITH {RUNS_SQL} SELECT model_key, source, result_id, cer FROM runs WHERE cer IS NOT NULL QUALIFY row_number() OVER (PARTITION BY model_key, source ORDER BY cer DESC, result_id) <= 15")
 def _(s, d):
-    w = Window.partitionBy("model_key", "source").orderBy(F.desc("cer"), "result_id")
-    return _runs(s, d).where("cer is not null").withColumn("k", F.row_number().over(w)).where("k <= 15").select("model_key", "source", "result_id", "cer")
+    """All results whose texts differ by more than 0.3 of the reference's words; a missing text counts as all wrong."""
+    cols = ["model_key", "source", "result_id", "cer", "reference", "hypothesis"]
+    a, b = (table(s, d, f"{m}_result_no_prompt").select(*cols) for m in ("jangmin", "seastar105"))
+    words = lambda c: T.n2_words(F.regexp_replace(c, "[…·\\-–—]", " "))
+    rows = spread(a.unionByName(b)).where(~F.col("reference").eqNullSafe(F.col("hypothesis")))
+    x = M.aligned(words(F.col("reference")), words(F.col("hypothesis")))
+    # without reference words any word is an error of 1
+    wer = F.when(x["distance"].isNull(), 1.0).when(x["ref_length"] == 0, F.least(x["hyp_length"], F.lit(1)).cast("double")).otherwise(x["distance"] / x["ref_length"])
+    return rows.withColumn("wer", wer).where("wer > 0.3").withColumn("wer", F.round("wer", 4)).select(*cols, "wer")
