@@ -1,6 +1,9 @@
 """Registered queries do the whole job: no row, text or stage is left out."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from turnmill.functions import cleaning as C
 
 SEGMENT = "row_id long, file_id string, seq int, start double, end double, text string, speaker string, confidence double"
 
@@ -40,3 +43,16 @@ def test_h3_returns_every_result_with_many_errors(spark, tmp_path):
     got = run(spark, tmp_path, "h3_worst_results", jangmin_result_no_prompt=(a, RESULT), seastar105_result_no_prompt=(b, RESULT)).collect()
     assert sorted((r.model_key, r.result_id) for r in got) == [("jangmin", i) for i in [*range(4, 45), 46]] + [("seastar105", 4), ("seastar105", 5)]
     assert {(r.reference, r.hypothesis, r.wer) for r in got} == {("가 나 다 라", "가 라", 0.5), ("가", None, 1.0), ("", "가", 1.0)}
+
+
+def test_t24_returns_whole_texts(spark, tmp_path):
+    texts = ["가" * 500, "a\x00b" + "c" * 80, "", None, "짧은 글"]
+    data = [(i, "f", i, 0.0, 1.0, t, "A", 1.0) for i, t in enumerate(texts)]
+    got = {r.seq: r.text for r in run(spark, tmp_path, "t24_sanitised", transcribe_segments=(data, SEGMENT)).collect()}
+    assert got == {0: texts[0], 1: "ab" + "c" * 80, 2: "", 4: "짧은 글"}
+
+
+def test_surrogates_are_joined_or_replaced(spark):
+    raw = spark.createDataFrame([(bytearray(b"a\xed\xa0\x80b"),), (bytearray(b"\xed\xa0\xbd\xed\xb8\x80"),), (bytearray(b"x\xff" + b"y" * 90),)], "b binary")
+    got = [r[0] for r in raw.select(C.sanitised(F.col("b").cast("string"))).collect()]
+    assert got == ["a\ufffdb", "\U0001f600", "x\ufffd" + "y" * 90]

@@ -58,6 +58,25 @@ def without_fillers(c: Column) -> Column:
     return squeeze(F.regexp_replace(t, r"(?<!\S)(?:(?:[음어으흠]+)[,.\s]+){2,}", " "))
 
 
+def valid_text(data: bytes) -> str:
+    """Pairs of surrogates joined, lone ones and other invalid bytes replaced by U+FFFD."""
+    try:
+        return data.decode("utf-8", "surrogatepass").encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    except UnicodeDecodeError:
+        return data.decode("utf-8", "replace")
+
+
+@F.pandas_udf(StringType())
+def _valid(texts: pd.Series) -> pd.Series:
+    return texts.map(valid_text, na_action="ignore")
+
+
+def sanitised(c: Column) -> Column:
+    """The whole text without NUL and surrogates; only invalid texts pass through Python."""
+    t = F.replace(c, F.lit("\x00"), F.lit(""))
+    return F.coalesce(_valid(F.when(~F.is_valid_utf8(t), t.cast("binary"))), t)
+
+
 def only_particle_differs(a: Column, b: Column, particles: list[str]) -> Column:
     """Whether one word is the other with a particle, or both are one stem with different particles."""
     stem = lambda w: F.regexp_replace(w, rf"(?:{'|'.join(particles)})$", "")

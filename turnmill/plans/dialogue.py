@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from turnmill.functions import cleaning as C
 from turnmill.functions import text as T
 from turnmill.operators import folds, roles, rules
 from turnmill.plans.sequences import SEGMENTS_SQL, segments
@@ -108,8 +109,7 @@ def _(s, d):
 
 @query("t24_sanitised", f"WITH {SEGMENTS_SQL} SELECT file_id, seq, left(replace(text, chr(0), ''), 60) || CASE WHEN length(text) > 60 THEN '...' ELSE '' END AS text FROM seg WHERE text IS NOT NULL")
 def _(s, d):
-    t = F.replace("text", F.lit("\x00"), F.lit(""))
-    return segments(s, d).where("text is not null").select("file_id", "seq", F.concat(F.left(t, F.lit(60)), F.when(F.length("text") > 60, "...").otherwise("")).alias("text"))
+    return segments(s, d).where("text is not null").select("file_id", "seq", C.sanitised(F.col("text")).alias("text"))
 
 
 @query("t26_word_positions", f"WITH {SEGMENTS_SQL}, w AS (SELECT file_id, seq, regexp_extract_all(text, '[가-힣]{{2,}}') AS w FROM seg), p AS (SELECT file_id, seq, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place FROM w) SELECT file_id, seq, word, min(place) AS place FROM p GROUP BY file_id, seq, word")
