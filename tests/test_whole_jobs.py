@@ -56,3 +56,28 @@ def test_surrogates_are_joined_or_replaced(spark):
     raw = spark.createDataFrame([(bytearray(b"a\xed\xa0\x80b"),), (bytearray(b"\xed\xa0\xbd\xed\xb8\x80"),), (bytearray(b"x\xff" + b"y" * 90),)], "b binary")
     got = [r[0] for r in raw.select(C.sanitised(F.col("b").cast("string"))).collect()]
     assert got == ["a\ufffdb", "\U0001f600", "x\ufffd" + "y" * 90]
+
+
+RULE = "id string, wrong string, correct string, category string, strategy string, pattern string, context_hint array<string>, priority int, confidence double, enabled boolean, notes string"
+
+
+def test_t18_has_all_stages(spark, tmp_path):
+    cases = [
+        ("아파요 아파요 아파요 아파요 많이", "아파요 많이."),
+        ("혈압이 높아요. 시청해 주셔서 감사합니다!", "혈압이 높아요."),
+        ("[음악] 네 ,좋아요", "네, 좋아요."),
+        ("감사합니다. 감사합니다.", ""),
+        ("...", ""),
+        ("가누졸젱 두 알 드세요", "가누졸정 2알 드세요."),
+        ("두통에 쌈전도를 보죠", "두통에 심전도를 보죠?"),
+        ("씨티이 찍어요", "CT 찍어요."),
+        ("소변에서 심장 기능이 나빠요", "소변에서 신장 기능이 나빠요."),
+        ("진로 의뢰서요", "진료 의뢰서요."),
+        ("13월부터. 14월부터. 약을 드세요", "약을 드세요."),
+        ("배가 아파요. 배가 아파요. 그래요", "배가 아파요. 그래요."),
+        ("가나다라마바사아자차가나다라마바사아자차", "가나다라마바사아자차."),
+    ]
+    data = [(i, "f", i, 0.0, 1.0, t, "A", 1.0) for i, (t, _) in enumerate(cases)]
+    rule = [("1", "가누졸젱", "가누졸정", "c", "exact", None, [], 50, 0.9, True, None), ("2", "썸전도", "심전도", "c", "phonetic", None, ["두통"], 50, 0.8, True, None), ("3", "씨티", "CT", "c", "regex", "씨티이?", [], 50, 0.9, True, None)]
+    got = {r.seq: r.text for r in run(spark, tmp_path, "t18_polished", transcribe_segments=(data, SEGMENT), medical_dict_entries=(rule, RULE)).collect()}
+    assert [got[i] for i in range(len(cases))] == [x for _, x in cases]

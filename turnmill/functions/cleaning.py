@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from turnmill.functions.text import squeeze
+from turnmill.functions.text import spaced_punctuation, squeeze, without_repeated_sentences
 
 # Numerals, units and endings.
 SINO = {c: i for i, c in enumerate("일이삼사오육칠팔구", 1)}
@@ -20,6 +21,16 @@ SINO_COUNTED = "년 월 일 주 개월 분 초 도 호 층 회 차 번 세 급 
 NATIVE_COUNTED = "번 시 시간 알 개 살 명 가지 군데 달 잔 숟가락".split()
 QUESTIONS = "나요 까요 습니까 세요 으셨어요 는지요 을까 는가요 죠 신가요 던가요 었나요".split()
 
+# What recognition makes up in silence, and words that are misheard in a context.
+ARTIFACTS = (
+    "시청해주셔서 감사합니다|시청해 주셔서 감사합니다|구독과 좋아요 부탁드립니다|구독과 좋아요|구독과 좋아요를 눌러주세요|좋아요와 구독 부탁드립니다|자막 by|자막 제공|영상 제공|다음 시간에 만나요|다음 영상에서 만나요|채널에 오신 것을 환영합니다"
+    "|오늘도 시청해주셔서 감사합니다|끝까지 시청해주셔서 감사합니다|환자분께 좀 더 참여해 주시기 바랍니다|환경화 기업에 동참해봐요|질환 때문에 병에 관한 자신의 모습을|질환할 수 있다는 가입|나가기 좋게|내가 바다 갖고 갈게요|이덕자 님|복잡해"
+).split("|")
+CHANNELS = "MBC|KBS|SBS|JTBC|YTN|MBN|TV조선|MBC 뉴스|KBS 뉴스|SBS 뉴스".split("|")
+SOUNDS = "음악 박수 웃음 노래 소리 잡음".split()
+CONTEXT = [("소변|사구체|콩팥|신우|여과율|단백뇨", r"심장(\s*(?:기능|안|안쪽))", "신장$1"), ("", r"진로(\s*(?:의뢰서|를|을))", "진료$1")]
+_REPEATS = [re.compile(r"(.{10,}?)\1{2,}"), re.compile(r"(.{2,9}?)\1{2,}")]
+
 
 def without_sequences(c: Column) -> Column:
     """Without runs of months and bare numbers; nothing is left of fewer than two characters."""
@@ -132,11 +143,71 @@ def _numerals(texts: pd.Series) -> pd.Series:
     return texts.map(numerals, na_action="ignore")
 
 
+_numerals = _numerals.asNondeterministic()
+
 def spoken_numbers(c: Column) -> Column:
     """``numerals`` for the texts that hold a spelled number; others don't reach Python."""
     return F.coalesce(_numerals(F.when(c.rlike(r"[일이삼사오육칠팔구십백천]|한 |두 |세 |네 |섯 |일곱|덟|홉|열|스무"), c)), c)
 
 
-def polished(c: Column, context: list[tuple[str, str, str]] = ()) -> Column:
-    """The whole pipeline: fillers, numbers, questions, context, sequences."""
-    return without_sequences(in_context(question_marks(spoken_numbers(without_fillers(c))), list(context)))
+def _once(text: str) -> str:
+    """Phrases said three times or more in a row once: long ones, then short ones, each until none is left."""
+    for repeat in _REPEATS:
+        while m := repeat.search(text):
+            text = text.replace(m[0], m[1], 1)
+    return text
+
+
+@F.pandas_udf(StringType())
+def _said_once(texts: pd.Series) -> pd.Series:
+    return texts.map(_once, na_action="ignore")
+
+
+# so declared, Spark keeps its result as a column of its own and doesn't put the call into later lambdas
+_said_once = _said_once.asNondeterministic()
+
+def said_once(c: Column) -> Column:
+    """``_once`` for the texts that hold such a repeat; others don't reach Python."""
+    return F.coalesce(_said_once(F.when(c.rlike(r"(.{2,}?)\1{2}"), c)), c)
+
+
+def without_artifacts(c: Column) -> Column:
+    """Without phrases made up in silence, names of channels, marks of sounds and repeated thanks."""
+    t = F.regexp_replace(c, rf"(?i)(?:{'|'.join(ARTIFACTS + CHANNELS)})[\s.!?]*", "")
+    t = F.regexp_replace(t, rf"(?:[\[(](?:{'|'.join(SOUNDS)})[\])]|[♪♫\x{{1F3B5}}\x{{1F3B6}}]+|\*(?:음악|박수)\*)\s*", "")
+    return F.regexp_replace(t, r"(?:감사합니다\.?\s*){2,}", "")
+
+
+def without_marks_only(c: Column) -> Column:
+    """Trimmed; nothing is left of a text of punctuation only."""
+    return F.trim(F.regexp_replace(c, r"^\s*[.,!?;:\-–—…·]+\s*$", ""))
+
+
+def engine_repeats(c: Column) -> Column:
+    """Repeats that the dictionary's engine drops before its rules."""
+    t = F.regexp_replace(c, r"(?i)(.{10,}?)\1+", "$1")
+    for phrase, times in ((r"감사합니다\.?\s*", 3), (r"네\.?\s*", 5), (r"MBC 뉴스.?\s*", 2), (r"KBS 뉴스.?\s*", 2), (r"시청해 주셔서 감사합니다.?\s*", 2), (r"구독과 좋아요.?\s*", 2)):
+        t = F.regexp_replace(t, rf"(?i)(?:{phrase}){{{times},}}", "")
+    return F.trim(without_repeated_sentences(t))
+
+
+def without_impossible(c: Column) -> Column:
+    """Without months beyond 12, five or more months and seven or more digits in a row."""
+    t = F.regexp_replace(c, r"(?:1[3-9]|[2-9]\d)월부터\.?\s*", "")
+    t = F.regexp_replace(t, r"(?:\d{1,2}월부터\.?\s*){5,}", "")
+    return squeeze(F.regexp_replace(t, r"(?:\d\s+){6,}\d", ""))
+
+
+def stages(context: list[tuple[str, str, str]] = CONTEXT, dictionary: list[Callable[[Column], Column]] = ()) -> list[Callable[[Column], Column]]:
+    """The whole pipeline in order: made-up speech, fillers, numbers, punctuation, the dictionary, questions, context, impossible months and digits."""
+    return [
+        said_once, without_artifacts, without_repeated_sentences, without_marks_only, without_fillers, spoken_numbers, spaced_punctuation,
+        engine_repeats, *dictionary, question_marks, lambda c: in_context(c, list(context)), without_impossible,
+    ]
+
+
+def polished(c: Column, context: list[tuple[str, str, str]] = CONTEXT, dictionary: list[Callable[[Column], Column]] = ()) -> Column:
+    """All ``stages`` as one expression."""
+    for stage in stages(context, dictionary):
+        c = stage(c)
+    return c

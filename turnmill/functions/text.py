@@ -104,7 +104,9 @@ def char_jaccard(a: Column, b: Column) -> Column:
 def without_repeated_sentences(c: Column) -> Column:
     """Consecutive equal sentences once."""
     s = F.split(c, r"(?<=[.?!])\s+")
-    return F.array_join(F.filter(s, lambda x, i: (i == 0) | (F.trim(x) != F.trim(F.get(s, i - 1)))), " ")
+    # each beside the one before it, so that the lambda sees its own element only
+    pairs = F.arrays_zip(s.alias("x"), F.concat(F.array(F.lit(None).cast("string")), s).alias("before"))
+    return F.array_join(F.transform(F.filter(pairs, lambda p: p["x"].isNotNull() & (p["before"].isNull() | (F.trim(p["x"]) != F.trim(p["before"])))), lambda p: p["x"]), " ")
 
 
 def spaced_punctuation(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from turnmill.functions.text import LEADS, TAILS, VOWELS, without_particle
 from turnmill.operators.joins import similar_words
 
 
+@lru_cache(1 << 16)
 def _letters(s: str) -> str:
     out = []
     for c in s:
@@ -18,6 +21,7 @@ def _letters(s: str) -> str:
     return "".join(out)
 
 
+@lru_cache(1 << 18)
 def _similarity(a: str, b: str) -> float:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -57,8 +61,9 @@ def phonetic_corrections(c: Column, rules: list[dict]) -> Column:
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([(None, []) if t is None else phonetic(t, rules) for t in texts], columns=["text", "applied"])
 
-    hinted = F.exists(F.array(*map(F.lit, hints)), lambda h: F.contains(F.lower(c), F.lower(h))) if hints else F.lit(False)
-    x = run(F.when(hinted, c))
+    hinted = F.lower(c).rlike("|".join(rf"\Q{h.lower()}\E" for h in hints)) if hints else F.lit(False)
+    # so declared, its result stays a column of its own and isn't put into later lambdas
+    x = run.asNondeterministic()(F.when(hinted, c))
     return F.struct(F.coalesce(x["text"], c).alias("text"), x["applied"].alias("applied"))
 
 

@@ -54,7 +54,15 @@ def _(s, d):
 
 @query("t18_polished")
 def _(s, d):
-    return _said(s, d).select("file_id", "seq", C.polished(F.col("text")).alias("text"))
+    e = table(s, d, "medical_dict_entries")
+    found = lambda strategy: sorted(rules.ordered_rules(e, [strategy]), key=lambda r: r["id"])
+    regex, exact, phonetic = found("regex"), rules.ordered_rules(e, ["exact"]), found("phonetic")
+    dictionary = [lambda c: rules.patterns(c, regex), lambda c: rules.exact(c, exact)["text"], lambda c: D.phonetic_corrections(c, phonetic)["text"]]
+    rows = _said(s, d).select("file_id", "seq", "text")
+    # a column for each stage, as an expression of all would repeat the inner ones many times
+    for stage in C.stages(dictionary=dictionary):
+        rows = rows.withColumn("text", stage(F.col("text")))
+    return rows
 
 
 @query("t23_glossary_first")
