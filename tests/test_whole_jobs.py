@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from turnmill.functions import cleaning as C
+from turnmill.llm import turns
 
 SEGMENT = "row_id long, file_id string, seq int, start double, end double, text string, speaker string, confidence double"
 
@@ -81,3 +82,13 @@ def test_t18_has_all_stages(spark, tmp_path):
     rule = [("1", "가누졸젱", "가누졸정", "c", "exact", None, [], 50, 0.9, True, None), ("2", "썸전도", "심전도", "c", "phonetic", None, ["두통"], 50, 0.8, True, None), ("3", "씨티", "CT", "c", "regex", "씨티이?", [], 50, 0.9, True, None)]
     got = {r.seq: r.text for r in run(spark, tmp_path, "t18_polished", transcribe_segments=(data, SEGMENT), medical_dict_entries=(rule, RULE)).collect()}
     assert [got[i] for i in range(len(cases))] == [x for _, x in cases]
+
+
+def test_p1_takes_the_time_of_the_predecessor_across_blocks(spark):
+    # 1,024 heads a block of arrivals; 2,048 to 3,071 is one without any time; 1,025 and 3,072 are spoken late
+    bare = {1024, *range(2048, 3072)}
+    late = {1025: 9000.0, 3072: 9001.0}
+    rows = [("f", i, None if i in bare else late.get(i, float(i)), "말", "의사" if i in bare else "환자", "clash", 0) for i in range(3100)]
+    df = spark.createDataFrame(rows, "file_id string, seq int, start double, text string, speaker string, n1 string, block int")
+    codes = spark.createDataFrame([("doctor", 0), ("patient", 1)], "role string, diarizer_no int")
+    assert sorted(r.seq for r in turns.turn_starts(df, codes).collect()) == [0, 1024, 1026, 2048, 3073]

@@ -25,6 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnmill.operators import blocked
+from turnmill.session import cut_lineage
+
 SEQ_BLOCK = 1024
 TIME_BLOCK = 900.0
 
@@ -117,11 +120,9 @@ def ordered(df: DataFrame, role_codes: DataFrame) -> DataFrame:
     rows = cleaned(df, role_codes).withColumn("arrivals", F.floor(F.col("seq") / SEQ_BLOCK))
     rows = rows.repartition("file_id", "arrivals")
     once = rows.groupBy("file_id", "arrivals", "seq").agg(F.min(F.struct("start", "cue", "role", "speech")).alias("x")).select("file_id", "arrivals", "seq", "x.*")
-    w = Window.partitionBy("file_id", "arrivals").orderBy("seq")
-    own = F.coalesce("start", "cue")
-    after = F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before = F.first(own, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    once = once.withColumn("at", F.coalesce(after, before, F.lit(0.0))).where("speech is not null")
+    # written once, as the summary of the blocks reads it too and cleaning is dear
+    once = blocked.filled(cut_lineage(once.withColumn("own", F.coalesce("start", "cue"))), ["file_id"], "arrivals", ["seq"], "own", "at")
+    once = once.withColumn("at", F.coalesce("at", F.lit(0.0))).where("speech is not null")
     return once.select("file_id", F.floor(F.col("at") / TIME_BLOCK).alias("block"), "at", "seq", "role", "speech")
 
 
