@@ -1,10 +1,14 @@
 """Registered queries do the whole job: no row, text or stage is left out."""
 
+import itertools
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from turnmill.functions import cleaning as C
-from turnmill.llm import turns
+from turnmill.llm import packing, turns
 
 SEGMENT = "row_id long, file_id string, seq int, start double, end double, text string, speaker string, confidence double"
 
@@ -92,3 +96,23 @@ def test_p1_takes_the_time_of_the_predecessor_across_blocks(spark):
     df = spark.createDataFrame(rows, "file_id string, seq int, start double, text string, speaker string, n1 string, block int")
     codes = spark.createDataFrame([("doctor", 0), ("patient", 1)], "role string, diarizer_no int")
     assert sorted(r.seq for r in turns.turn_starts(df, codes).collect()) == [0, 1024, 1026, 2048, 3073]
+
+
+def test_p7_finds_triples_beyond_the_first_256_thirds():
+    counts = np.zeros(4097, np.int64)
+    counts[[*range(1502, 2000, 2), *range(2002, 3000, 2)]] = 1
+    counts[1000] = 3
+    assert packing._complement(counts, np.flatnonzero(counts), 3000) == [1000, 1000, 1000]
+
+
+def test_p7_triples_against_all_combinations():
+    rng = random.Random(5)
+    for _ in range(300):
+        counts = np.zeros(61, np.int64)
+        for _ in range(rng.randint(1, 12)):
+            counts[rng.randint(1, 60)] = rng.randint(1, 3)
+        items = [s for s in range(61) for _ in range(min(3, counts[s]))]
+        gap = rng.randint(1, 60)
+        there = any(sum(c) == gap for n in (1, 2, 3) for c in itertools.combinations(items, n))
+        got = packing._complement(counts, np.flatnonzero(counts), gap)
+        assert (got is not None) == there and (got is None or sum(got) == gap and all(got.count(s) <= counts[s] for s in got))

@@ -24,8 +24,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SALT = 256
-#: How many third items are tried for a triple before the gap counts as not exactly fillable.
-TRIPLE_TRIES = 256
 
 
 def _complement(counts: np.ndarray, sizes: np.ndarray, gap: int) -> list[int] | None:
@@ -53,9 +51,12 @@ def _complement(counts: np.ndarray, sizes: np.ndarray, gap: int) -> list[int] |
 
     if (two := pair(gap)) is not None:
         return two
-    for third in sizes[np.searchsorted(sizes, (gap + 2) // 3) : np.searchsorted(sizes, gap)][::-1][:TRIPLE_TRIES]:
-        if (two := pair(gap - int(third), int(third))) is not None:
-            return [int(third), *two]
+    # all thirds: bit by bit, whether some a and the rest less a are there; counts are looked at only where they are
+    there = counts > 0
+    bits, mirrored = (int.from_bytes(np.packbits(x, bitorder="little").tobytes(), "little") for x in (there, there[::-1]))
+    for third in map(int, sizes[np.searchsorted(sizes, (gap + 2) // 3) : np.searchsorted(sizes, gap)][::-1]):
+        if bits & (mirrored >> (len(counts) - 1 - gap + third)) and (two := pair(gap - third, third)) is not None:
+            return [third, *two]
     return None
 
 
