@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from turnmill.functions import cleaning as C
-from turnmill.llm import packing, turns
+from turnmill.llm import packing, personal, turns
 
 SEGMENT = "row_id long, file_id string, seq int, start double, end double, text string, speaker string, confidence double"
 
@@ -116,3 +116,14 @@ def test_p7_triples_against_all_combinations():
         there = any(sum(c) == gap for n in (1, 2, 3) for c in itertools.combinations(items, n))
         got = packing._complement(counts, np.flatnonzero(counts), gap)
         assert (got is not None) == there and (got is None or sum(got) == gap and all(got.count(s) <= counts[s] for s in got))
+
+
+def test_p5_looks_at_every_text_with_a_find(spark):
+    texts = [
+        "neul7 앳 maru.test 로", "neul7 ( at ) maru.test", "neul7(AT)maru.test", "담당은 김온비님", "저는 김온비씨", "152, Teheran-ro", "공이 일이삼 사오육칠", "서류에 김온비, 박달솜", "Haeseul O 씨",
+        "김온비 (웃음) 님", "바람결로 (웃음) 346로 택배", "010 (웃음) 1234 (웃음) 5678 네", "900101…1234567", "바람결로\t346로", "김온비 음... 님이",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    passed = {r.t for r in df.where(personal.suspect(F.col("t"))).collect()}
+    assert [t for t in texts if personal.find(t) and t not in passed] == []
+    assert sum(bool(personal.find(t)) for t in texts) >= 10
