@@ -57,8 +57,8 @@ def running_count(df: DataFrame, key: list[str], block: str, order: list[str], f
     return out.withColumn(name, F.col("__run") + F.col("__base")).drop("__hit", "__run", "__base")
 
 
-def filled(df: DataFrame, key: list[str], block: str, order: list[str], column: str, name: str) -> DataFrame:
-    """Adds the last known value of the column, forward, then the first known one, backward."""
+def filled(df: DataFrame, key: list[str], block: str, order: list[str], column: str, name: str, backward: bool = True) -> DataFrame:
+    """Adds the last known value of the column, forward, then (unless told not to) the first known one, backward."""
     within, line = _windows(key, block, order)
     last = F.last(column, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0))
     first = F.first(column, ignorenulls=True).over(within.rowsBetween(0, Window.unboundedFollowing))
@@ -74,4 +74,4 @@ def filled(df: DataFrame, key: list[str], block: str, order: list[str], column:
         F.first("__f", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("__fe"),
     )
     out = df.withColumn("__fw", last).withColumn("__bw", first).join(edges, [*key, block])
-    return out.withColumn(name, F.coalesce("__fw", "__le", "__bw", "__fe")).drop("__fw", "__bw", "__le", "__fe")
+    return out.withColumn(name, F.coalesce("__fw", "__le", *(["__bw", "__fe"] if backward else []))).drop("__fw", "__bw", "__le", "__fe")
