@@ -34,3 +34,49 @@ def test_runs_cross_blocks(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_conflicting_edges_are_dropped():
+    # 0 and 2 have times against their arrival, 1 and 3 have none: 1 stays behind 0, and 1 -> 2 would close a cycle
+    seq, start, cue = [0, 1, 2, 3], [50.0, None, 10.0, None], [None] * 4
+    own = list(start)
+    edges = T.constraints(seq, start, cue)
+    assert (T.TIMING, 2, 0) in edges and (T.DIALOGUE, 1, 2) in edges
+    kept = T.without_conflicts(edges, own, seq, None)
+    assert (T.DIALOGUE, 1, 2) not in kept and (T.DIALOGUE, 0, 1) in kept and (T.DIALOGUE, 2, 3) in kept
+    order, at = T.topological(seq, own, kept, None, None)
+    assert order == [2, 3, 0, 1] and at == [50.0, 50.0, 10.0, 10.0]
+    assert T.topological([4, 5], [None, None], [(T.DIALOGUE, 0, 1)], 7.0, None) == ([0, 1], [7.0, 7.0])
+    assert T.topological([4, 5], [None, None], [(T.DIALOGUE, 0, 1)], None, 9.0) == ([0, 1], [9.0, 9.0])
+    assert T.topological([4], [None], [], None, None) == ([0], [0.0])
+
+
+def test_order_is_topological_for_any_graph():
+    import random
+
+    for k in range(300):
+        rng = random.Random(k)
+        n = rng.randint(1, 30)
+        start = [None if rng.random() < 0.4 else float(rng.randint(0, 9)) for _ in range(n)]
+        cue = [float(rng.randint(0, 9)) if s is None and rng.random() < 0.3 else None for s in start]
+        own = [c if s is None else s for s, c in zip(start, cue)]
+        kept = T.without_conflicts(T.constraints(list(range(n)), start, cue), own, list(range(n)), None)
+        order, at = T.topological(list(range(n)), own, kept, None, None)
+        place = {u: i for i, u in enumerate(order)}
+        assert sorted(order) == list(range(n)) and all(place[u] < place[v] for _, u, v in kept)
+        assert order == sorted(range(n), key=lambda u: (at[u], u))
+
+
+def test_blocks_of_any_size_give_the_same(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    rows = [("f", i, None if rng.random() < 0.3 else float(rng.randint(0, 40)), "[00:00:07] 말" if rng.random() < 0.1 else "말", rng.choice(["의사", "환자", None])) for i in range(120)]
+    want = None
+    for size in (1, 7, 64, 1024):
+        monkeypatch.setattr(T, "SEQ_BLOCK", size)
+        got = run(spark, rows)
+        want = want or got
+        assert got == want
+    moved = run(spark, [(f, i + 1000, *r) for f, i, *r in rows])
+    assert [t[2] - 1000 for t in moved] == [t[2] for t in want]

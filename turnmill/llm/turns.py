@@ -1,27 +1,36 @@
 """Problem 1: raw transcript segments into clean speaker turns.
 
-Each segment is a node; three kinds of precedence constraints order the nodes of
-a file. *Timing* edges follow ``start`` and are the strongest; *cue* edges
-follow the mark of time written in the text and count only where ``start`` is
-missing; *dialogue* edges follow ``seq`` and are dropped wherever they
-contradict a stronger edge, so they decide ties and place segments that carry
-no time at all behind their predecessor in arrival. What remains is acyclic, and
-its topological order is the order of (potential, seq), the potential being the
-time inherited along the edges. Spans of time marks, noises, labels and
-hesitation are removed, and runs of one role are merged.
-
-Everything is keyed by (file, block): arrivals in blocks of ``SEQ_BLOCK`` and
-then times in blocks of ``TIME_BLOCK`` seconds, so a file holding a third of all
-rows is spread over many tasks; one summary row a block carries the last role on.
+Each segment is a node of its file's precedence graph. *Timing* edges run along
+the nodes that have a ``start``, in the order of (start, seq); *cue* edges put a
+node without ``start`` among them by the mark of time written in its text;
+*dialogue* edges run from each arrival to the next one. Timing and cue edges
+form one chain. A dialogue edge that contradicts it would close a cycle and is
+dropped as the weaker one; the others place the nodes that carry no time at all:
+behind their predecessor in arrival or, with none, before their successor.
+Kahn's algorithm then orders what is left and hands each node the greatest time
+on the way to it, so (time, seq) is a topological order that blocks share.
+Spans of time marks, noises, labels and hesitation are removed, and runs of one
+role are merged.
+
+Everything is keyed by (file, block): graphs of ``SEQ_BLOCK`` arrivals whose
+dialogue edges reach into the blocks before and after through one summary row a
+block, and then turns in blocks of ``TIME_BLOCK`` seconds, so a file holding a
+third of all rows is spread over many tasks.
 
 Defined cases: a null or blank text, or one without speech, doesn't count. NaN
-bounds are missing. Re-delivered segments (same file and seq) are taken once.
-Rows without a file or seq name no segment and are left out. Counting segments
-before the first known role of a file are one turn of unknown role (null).
+bounds are missing. Re-delivered segments (same file and seq) are taken once,
+the least of copies that differ. Rows without a file or seq name no segment and
+are left out. Counting segments before the first known role of a file are one
+turn of unknown role (null). A file without any time is in order of arrival.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,48 +91,191 @@ def _number(c: Column) -> Column:
     return F.regexp_extract(c, r"^(?:speaker|spk|s|화자)0*(\d{1,6})$", 1).try_cast("int")
 
 
-def cleaned(df: DataFrame, role_codes: DataFrame) -> DataFrame:
-    """(file_id, seq, start, cue, role, speech): each row's role and cleaned text; ``speech`` is null if nothing is said.
+#: Characters without which a pattern can't match; looking for one of them costs a tenth of trying the pattern.
+MARK_SIGNS = r"[:\[(<{【*♩♪♫♬\x{1F3B5}\x{1F3B6}]"
+LABEL_SIGNS = r"[:：>)\]】\-–—]"
+BRACKETS = r"[\[<{【(*]"
+#: A character of speech that no sound of hesitation holds.
+SURELY_SPOKEN = r"[^\s\p{Z}\p{P}\p{Cf}어음으흠아에그저UuHhMmEeRr]"
+
+
+def _replaced(c: Column, signs: str, *patterns: str) -> Column:
+    """The patterns replaced by spaces; texts without any of the signs they need are left alone."""
+    out = c
+    for p in patterns:
+        out = F.regexp_replace(out, p, " ")
+    return F.when(c.rlike(signs), out).otherwise(c)
 
-    The role is that of ``speaker``, else that of a label at the head of ``text``, else null.
+
+def cleaned(df: DataFrame, role_codes: DataFrame, words: bool = True) -> DataFrame:
+    """(file_id, seq, start, cue, role, spoken[, speech]): each row's role, whether anything is said and, with ``words``, what.
+
+    The role is that of ``speaker``, else that of a label at the head of ``text``, else null. The cue is read only
+    where ``start`` is missing.
     """
-    t1 = df.select(
+    start = F.when(~F.isnan("start"), F.col("start").cast("double"))
+    text = F.coalesce("text", F.lit(""))
+    mark = F.regexp_extract(text, rf"^\s*(?:[\[(<【]\s*)?({_TIME})", 1)
+    t1 = df.where("file_id is not null and seq is not null").select(
         F.col("file_id").cast("string").alias("file_id"),
         F.col("seq").cast("bigint").alias("seq"),
-        F.when(~F.isnan("start"), F.col("start").cast("double")).alias("start"),
-        F.regexp_extract(F.coalesce("text", F.lit("")), rf"^\s*(?:[\[(<【]\s*)?({_TIME})", 1).alias("mark"),
-        F.regexp_replace(F.regexp_replace("text", TIME_MARK, " "), NOISE_MARK, " ").alias("t"),
+        start.alias("start"),
+        F.when(start.isNull() & F.contains(text, F.lit(":")), mark).otherwise("").alias("mark"),
+        _replaced(text, MARK_SIGNS, TIME_MARK, NOISE_MARK).alias("t"),
         _tidy_label(F.coalesce("speaker", F.lit(""))).alias("who"),
-    ).where("file_id is not null and seq is not null")
-    t2 = t1.withColumn("label", F.concat(*[F.regexp_extract(F.coalesce("t", F.lit("")), LABEL, g) for g in (1, 2, 3)]))
-    t2 = t2.withColumn("t", F.when(F.col("label") != "", F.regexp_replace("t", LABEL, " ")).otherwise(F.col("t")))
-    t2 = t2.withColumn("label", _tidy_label(F.col("label"))).withColumn("t", F.regexp_replace("t", OTHER_MARK, " "))
+    )
+    t2 = t1.withColumn("head", F.when(F.col("t").rlike(LABEL_SIGNS), F.regexp_extract("t", LABEL, 0)).otherwise(""))
+    t2 = t2.withColumn("t", F.when(F.col("head") != "", F.concat(F.lit(" "), F.substring("t", F.length("head") + 1, F.length("t")))).otherwise(F.col("t")))
+    t2 = t2.withColumn("label", F.translate(_tidy_label(F.col("head")), "<>", "")).withColumn("t", _replaced(F.col("t"), BRACKETS, OTHER_MARK))
     codes = role_codes.where("diarizer_no is not null and role is not null").groupBy(F.col("diarizer_no").cast("int").alias("no")).agg(F.min("role").alias("named"))
     t2 = t2.withColumn("n1", _number(F.col("who"))).withColumn("n2", _number(F.col("label")))
     t2 = t2.join(codes.select(F.col("no").alias("n1"), F.col("named").alias("r1")), "n1", "left")
     t2 = t2.join(codes.select(F.col("no").alias("n2"), F.col("named").alias("r2")), "n2", "left")
-    speech = F.trim(F.regexp_replace(F.regexp_replace("t", FILLER, " "), r"[\s\p{Z}]+", " "))
     part = F.split("mark", ":")
     cue = F.aggregate(part, F.lit(0.0), lambda acc, x: acc * 60 + F.coalesce(F.regexp_replace(x, ",", ".").try_cast("double"), F.lit(0.0)))
+    spoken = F.col("t").rlike(SURELY_SPOKEN) | F.regexp_replace("t", LONE_SOUND, " ").rlike(SPOKEN)
+    speech = F.trim(F.regexp_replace(F.regexp_replace("t", FILLER, " "), r"[\s\p{Z}]+", " "))
     return t2.select(
         "file_id",
         "seq",
         "start",
         F.when(F.col("mark") != "", cue).alias("cue"),
         F.coalesce(_role_word(F.col("who")), "r1", _role_word(F.col("label")), "r2").alias("role"),
-        F.when(F.regexp_replace("t", LONE_SOUND, " ").rlike(SPOKEN), speech).alias("speech"),
+        spoken.alias("spoken"),
+        *([speech.alias("speech")] if words else []),
     )
 
 
+# Strength of the edges: where two contradict each other, the weaker one goes.
+TIMING, CUE, DIALOGUE = 3, 2, 1
+
+
+def constraints(seq: list[int], start: list[float | None], cue: list[float | None]) -> list[tuple[int, int, int]]:
+    """(strength, from, to) of the edges between the nodes of one block, numbered in order of arrival."""
+    own = [c if s is None else s for s, c in zip(start, cue)]
+    chain = sorted((i for i in range(len(seq)) if own[i] is not None), key=lambda i: (own[i], seq[i]))
+    edges = [(CUE if start[u] is None or start[v] is None else TIMING, u, v) for u, v in zip(chain, chain[1:])]
+    return edges + [(DIALOGUE, i, i + 1) for i in range(len(seq) - 1)]
+
+
+def without_conflicts(edges: list[tuple[int, int, int]], own: list[float | None], seq: list[int], before: float | None) -> list[tuple[int, int, int]]:
+    """The edges that are left when every dialogue edge that would close a cycle is dropped.
+
+    ``v`` reaches ``u`` over stronger edges just if it lies before it in the chain; a node without a time lies where
+    the edges into it put it, ``before`` being the time carried in from earlier arrivals.
+    """
+    kept = [e for e in edges if e[0] != DIALOGUE]
+    reached = before if own and own[0] is None else own[0] if own else None
+    for e in edges:
+        if e[0] == DIALOGUE:
+            _, u, v = e
+            if own[v] is None:
+                kept.append(e)
+            else:
+                last = (own[u] if own[u] is not None else reached, seq[u])
+                if last[0] is None or last <= (own[v], seq[v]):
+                    kept.append(e)
+                reached = own[v]
+    return kept
+
+
+def topological(seq: list[int], own: list[float | None], edges: list[tuple[int, int, int]], before: float | None, after: float | None) -> tuple[list[int], list[float]]:
+    """(nodes in order, time of each node): Kahn's algorithm, the least (time, seq) first among nodes that are free.
+
+    A node without a time takes the greatest one among its predecessors, else ``before``; one that nothing precedes
+    takes that of the first node behind it that has one, else ``after``, else 0.
+    """
+    n = len(seq)
+    out: list[list[int]] = [[] for _ in range(n)]
+    waiting = [0] * n
+    for _, u, v in edges:
+        out[u].append(v)
+        waiting[v] += 1
+    ahead, at = after if after is not None else 0.0, [0.0] * n
+    first = [0.0] * n  # the time that a source without one takes from behind
+    for i in range(n - 1, -1, -1):
+        ahead = own[i] if own[i] is not None else ahead
+        first[i] = ahead
+    known: list[float | None] = list(own)
+    heap = []
+    for i in range(n):
+        if not waiting[i]:
+            at[i] = own[i] if own[i] is not None else before if before is not None else first[i]
+            heap.append((at[i], seq[i], i))
+    heapq.heapify(heap)
+    order = []
+    while heap:
+        t, _, u = heapq.heappop(heap)
+        order.append(u)
+        for v in out[u]:
+            if own[v] is None and (known[v] is None or known[v] < t):
+                known[v] = t
+            waiting[v] -= 1
+            if not waiting[v]:
+                at[v] = known[v]
+                heapq.heappush(heap, (at[v], seq[v], v))
+    return order, at
+
+
+def _ordered_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counting nodes of every block of arrivals with their times."""
+    for b in batches:
+        lists = b.column(1)
+        rows = lists.flatten()
+        sizes = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+        seq, role = rows.field("seq").to_numpy(zero_copy_only=False), rows.field("role").to_pylist()
+        start, cue, spoken = (rows.field(c).to_pylist() for c in ("start", "cue", "spoken"))
+        owner, picked, times, lo = [], [], [], 0
+        for k, (n, before, after) in enumerate(zip(sizes, b.column(2).to_pylist(), b.column(3).to_pylist())):
+            # copies of one segment that differ: the least one
+            low = lambda x: (x is not None, x or 0)
+            node: dict[int, int] = {}
+            for i in range(lo, lo + n):
+                s = int(seq[i])
+                j = node.get(s)
+                if j is None or (low(start[i]), low(cue[i]), role[i] or "", spoken[i]) < (low(start[j]), low(cue[j]), role[j] or "", spoken[j]):
+                    node[s] = i
+            lo += n
+            q = sorted(node)
+            at_of = [node[s] for s in q]
+            st, cu = [start[i] for i in at_of], [cue[i] for i in at_of]
+            own = [c if x is None else x for x, c in zip(st, cu)]
+            edges = without_conflicts(constraints(q, st, cu), own, q, before)
+            order, at = topological(q, own, edges, before, after)
+            for u in order:
+                if spoken[at_of[u]]:
+                    owner.append(k)
+                    picked.append(at_of[u])
+                    times.append(at[u])
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0).take(pa.array(owner, pa.int32())), pa.array(times, pa.float64()), rows.field("seq").take(pa.array(picked, pa.int64())), rows.field("role").take(pa.array(picked, pa.int64()))],
+            ["file_id", "at", "seq", "role"],
+        )
+
+
 def ordered(df: DataFrame, role_codes: DataFrame) -> DataFrame:
-    """Counting segments, each once, with the potential that orders them: (file_id, block, at, seq, role, speech)."""
-    rows = cleaned(df, role_codes).withColumn("arrivals", F.floor(F.col("seq") / SEQ_BLOCK))
-    rows = rows.repartition("file_id", "arrivals")
-    once = rows.groupBy("file_id", "arrivals", "seq").agg(F.min(F.struct("start", "cue", "role", "speech")).alias("x")).select("file_id", "arrivals", "seq", "x.*")
-    # written once, as the summary of the blocks reads it too and cleaning is dear
-    once = blocked.filled(cut_lineage(once.withColumn("own", F.coalesce("start", "cue"))), ["file_id"], "arrivals", ["seq"], "own", "at")
-    once = once.withColumn("at", F.coalesce("at", F.lit(0.0))).where("speech is not null")
-    return once.select("file_id", F.floor(F.col("at") / TIME_BLOCK).alias("block"), "at", "seq", "role", "speech")
+    """Counting segments, each once, with the time that orders them: (file_id, block, at, seq, role)."""
+    rows = cleaned(df, role_codes, words=False).withColumn("arrivals", F.floor(F.col("seq") / SEQ_BLOCK))
+    # copies that agree collapse in the set, so a block holds one row an arrival and what differs
+    blocks = rows.groupBy("file_id", "arrivals").agg(F.collect_set(F.struct("seq", "start", "cue", "role", "spoken")).alias("nodes"))
+    blocks = cut_lineage(blocks)  # written once, as the summary of the blocks reads it too and cleaning is dear
+    own = lambda x: F.coalesce(x["start"], x["cue"])
+    known = F.transform(F.filter("nodes", lambda x: own(x).isNotNull()), lambda x: F.struct(x["seq"].alias("seq"), own(x).alias("own")))
+    line = Window.partitionBy("file_id").orderBy("arrivals")
+    edges = blocks.select("file_id", "arrivals", F.array_max(known)["own"].alias("last"), F.array_min(known)["own"].alias("first"))
+    edges = edges.select(
+        "file_id",
+        "arrivals",
+        F.last("last", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.first("first", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
+    )
+    # only a block whose first arrival has no time is reached by a dialogue edge that matters
+    open_ = own(F.array_min("nodes")).isNull()
+    none = F.lit(None).cast("double")
+    closed = blocks.where(~open_).select("file_id", "nodes", none.alias("before"), none.alias("after"))
+    reached = blocks.where(open_).join(edges.where("before is not null or after is not null"), ["file_id", "arrivals"], "left").select("file_id", "nodes", "before", "after")
+    placed = closed.unionByName(reached).mapInArrow(_ordered_blocks, "file_id string, at double, seq bigint, role string")
+    return placed.select("file_id", F.floor(F.col("at") / TIME_BLOCK).alias("block"), "at", "seq", "role")
 
 
 def turn_starts(df: DataFrame, role_codes: DataFrame) -> DataFrame:
@@ -148,36 +300,25 @@ def turn_starts(df: DataFrame, role_codes: DataFrame) -> DataFrame:
 
 
 def turns(df: DataFrame, role_codes: DataFrame) -> DataFrame:
-    """(file_id, turn, first_seq, role, segments, text): the clean turns of every file in the order spoken."""
-    w = Window.partitionBy("file_id", "block").orderBy("at", "seq")
-    rows = ordered(df, role_codes)
-    rows = rows.withColumn("filled", F.last("role", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("fresh", (F.row_number().over(w) > 1) & ~F.col("filled").eqNullSafe(F.lag("filled").over(w)))
-    rows = rows.withColumn("local", F.sum(F.col("fresh").cast("int")).over(w))
-    # pieces: runs of one role within a block; a piece joins the turn before it if it has the same role or none
-    pieces = rows.groupBy("file_id", "block", "local").agg(
-        F.first("filled").alias("role"),
-        F.min(F.struct("at", "seq")).alias("head"),
-        F.count("*").alias("segments"),
-        F.sort_array(F.collect_list(F.struct("at", "seq", "speech"))).alias("said"),
-    )
-    line = Window.partitionBy("file_id").orderBy("block", "local")
-    slim = pieces.withColumn("role", F.last("role", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    slim = slim.withColumn("turn", F.sum((~F.col("role").eqNullSafe(F.lag("role").over(line)) | (F.row_number().over(line) == 1)).cast("int")).over(line))
+    """(file_id, turn, first_seq, role, segments, text): the clean turns of every file in the order spoken.
+
+    Turns are numbered on rows without text; the cleaned texts then meet their turn by (file_id, seq).
+    """
+    key, order = ["file_id"], ["at", "seq"]
+    rows = blocked.filled(ordered(df, role_codes), key, "block", order, "role", "filled", backward=False)
+    rows = blocked.neighbours(rows, key, "block", order, ["filled", "seq"])
+    fresh = F.col("prev_seq").isNull() | ~F.col("filled").eqNullSafe(F.col("prev_filled"))
+    rows = blocked.running_count(rows, key, "block", order, fresh, "turn").select("file_id", "seq", "at", "turn", "filled")
+    said = cleaned(df, role_codes).where("spoken").groupBy("file_id", "seq").agg(F.min("speech").alias("speech"))
+    at = F.struct("at", "seq")
     return (
-        slim.groupBy("file_id", "turn")
+        rows.join(said, ["file_id", "seq"])
+        .groupBy("file_id", "turn")
         .agg(
-            F.min("head")["seq"].cast("int").alias("first_seq"),
-            F.first("role").alias("role"),
-            F.sum("segments").alias("segments"),
-            F.sort_array(F.collect_list(F.struct("block", "local", "said"))).alias("parts"),
-        )
-        .select(
-            "file_id",
-            F.col("turn").cast("int").alias("turn"),
-            "first_seq",
-            "role",
-            "segments",
-            F.array_join(F.flatten(F.transform("parts", lambda p: F.transform(p["said"], lambda x: x["speech"]))), " ").alias("text"),
+            F.min(at)["seq"].cast("int").alias("first_seq"),
+            F.first("filled").alias("role"),
+            F.count("*").alias("segments"),
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "seq", "speech"))), lambda x: x["speech"]), " ").alias("text"),
         )
+        .select("file_id", F.col("turn").cast("int").alias("turn"), "first_seq", "role", "segments", "text")
     )
