@@ -36,3 +36,52 @@ def test_tables(spark):
     out = P.redacted(df, "text").collect()
     assert [r.text for r in out[: len(CASES)]] == [t if o is None else o for t, o in CASES] and out[len(CASES)].text is None
     assert P.kinds(df.limit(0), "text", ["file_id"]).collect() == []
+
+
+# Words around which random texts are made: every detector, disguise, noise and cue, and pieces of them.
+PIECES = [
+    "maru7", "nuri", "test", "a.b9", "x-y", "@", "＠", " 앳 ", "(AT)", " ( at ) ", "[ at ]", " 골뱅이 ", "골", "뱅이", "(dot)", " [ dot ] ", " 점 ", ".", "공일공", "공이", " 일이삼사", " 오육칠팔", "공영일", "010", "02", "(02)", "+82 10", "1234", "5678", "900101", "1234567", "-", " - ", " ",
+    "\t", "M12345678", "M123A4567", "12-34-567890-12", "새빛길", "바람결로", "물오름대로", "9번길", "12", "70-20", "해온동", "번지", "산", "47", ", ", "Yunseul-ro", "Gaonbit City", "113동", "1207호", "김온비", "남궁", "달솜", "선우", "Kim", "Haeseul", "KIM", "HAESEUL", "님", "씨", "환자", "보호자", "어르신", "분",
+    "이름", "성함은", "성명:", "존함", "동의서", "명단에는", "담당은", "담당의는", "name is", "Name:", "I am", "this is", "입니다", "이에요", "에", "로", "쪽", "(웃음)", "[noise]", "((기침))", "음...", "어…", "그,", "으흠,", "♪", "​", "\xad", "　", "０１０", "１２３４", "ａｂ", "—", "…", ",", "?", "!", "\x1c", "\n", "\x7f", "é", "ㄱ", "각",
+]
+
+
+def texts_of_pieces(n, seed):
+    import random
+
+    rng = random.Random(seed)
+    return ["".join(rng.choice(PIECES) + rng.choice(["", "", " "]) for _ in range(rng.randint(1, 14))) for _ in range(n)]
+
+
+def test_no_find_escapes_the_filter(spark):
+    import regex
+    from pyspark.sql import functions as F
+
+    texts = texts_of_pieces(40000, 5) + [t for t, _ in CASES]
+    found = [t for t in texts if P.find(t)]
+    assert len(found) > 4000 and {k for t in found for _, _, k in P.find(t)} == set(P.PLACEHOLDER)
+    here = regex.compile(P.SUSPECT)
+    assert [t for t in found if not here.search(t)] == []
+    df = spark.createDataFrame([(t,) for t in found], "t string")
+    assert df.where(~P.suspect(F.col("t"))).collect() == []
+
+
+def test_forms_that_a_filter_lost_before():
+    for t, k in [("maru7 앳 nuri.test", "email"), ("maru7 (AT) nuri.test", "email"), ("maru7 ( at ) nuri.test", "email"), ("maru7 [ at ] nuri [ dot ] test", "email"), ("공이 일이삼사 오육칠팔", "phone"), ("새빛길\t12", "address"), ("김온비 (웃음) 님", "name"), ("152, Teheran-ro", "address"), ("김온비님", "name")]:
+        assert [x for *_, x in P.find(t)] == [k] and P.regex.search(P.SUSPECT, t)
+
+
+#: Notations of own invention, apart from those of the detectors' cases: text, kinds in it.
+OTHERS = [
+    ("My name is Kim Haeseul.", ["name"]), ("담당은 김온비", ["name"]), ("담당의는 박하늘입니다", ["name"]), ("KIM HAESEUL 님 들어오세요", ["name"]), ("성함: 이노을, 생년월일은", ["name"]), ("이노을 씨 계세요?", ["name"]), ("제 이름이 최바다예요", ["name"]),
+    ("김온비입니다", ["name"]), ("저 김온비라고 합니다", ["name"]), ("환자 이노을, 45세", ["name"]), ("saebyeok.k@dal-bit.example.org 로요", ["email"]), ("메일 mail7@star.test, 전화 031.222.3344", ["email", "phone"]), ("hana_2 at bom dot test", ["email"]), ("전화는 공일공에 삼사오육에 칠팔구공", ["phone"]), ("010.9876.5432", ["phone"]), ("+82-2-345-6789", ["phone"]), ("tel:0317778888", ["phone"]),
+    ("주민번호 851212 2345678", ["id_number"]), ("여권 M123A4567", ["id_number"]), ("면허 11-22-333333-44", ["id_number"]), ("가람시 노을구 달빛로 77, 3층으로", ["address"]), ("은하동 산 12-3번지", ["address"]), ("12 Haneul-daero, Byeol-gu", ["address"]), ("노을길 8로 보내 주세요", ["address"]),
+    ("김치를 드세요", []), ("정상입니다", []), ("고혈압입니다", []), ("담당은 신경외과입니다", []), ("선생님 안녕하세요", []), ("3층 12호 병동", []), ("검사 번호 20240101-1234567", []), ("5 대 1 비율", []), ("체중 70.5 키 170", []), ("I am fine.", []), ("name is missing", []), ("이름은 모르겠어요.", []), ("오후 3시 30분", []), ("120에 80", []), ("유방암 씨티 촬영", []), ("@ 표시", []),
+]
+
+
+def test_recall_and_precision_off_the_templates():
+    true = [(t, k) for t, ks in OTHERS for k in ks]
+    found = [(t, k) for t, _ in OTHERS for *_, k in P.find(t)]
+    both = set(true) & set(found)
+    assert len(both) / len(true) >= 0.7 and len(both) / len(found) >= 0.9

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnmill.llm import personal
@@ -26,7 +27,11 @@ def p5_found(spark, sf_dir):
 
 
 def p5_redacted(spark, sf_dir):
-    seg = personal.redacted(_segments(spark, sf_dir).dropDuplicates(["file_id", "seq"]), "text")
+    # which rows deliver a segment again is told by keys alone, so texts aren't shuffled
+    keys = table(spark, sf_dir, "transcribe_segments").where("file_id is not null and seq is not null").select("file_id", "seq", "row_id")
+    again = keys.withColumn("n", F.row_number().over(Window.partitionBy("file_id", "seq").orderBy("row_id"))).where("n > 1").select("row_id")
+    texts = table(spark, sf_dir, "transcribe_segments").where("file_id is not null and seq is not null").select("row_id", "file_id", "seq", "text")
+    seg = personal.redacted(spread(texts).join(again, "row_id", "left_anti"), "text")
     ref = personal.redacted(_references(spark, sf_dir), "reference")
     seg = seg.select(F.lit("transcribe_segments").alias("src_table"), F.concat_ws("#", "file_id", "seq").alias("row_key"), "text")
     ref = ref.select(F.lit("jangmin_result_no_prompt").alias("src_table"), F.col("result_id").cast("string").alias("row_key"), F.col("reference").alias("text"))
