@@ -45,3 +45,27 @@ def test_lost_bytes_are_filled(spark, corpus):
 
 def test_empty(spark):
     assert run(spark, []) == {}
+
+
+def test_marks_that_no_look_at_characters_tells(spark, corpus):
+    """UTF-8 read as cp949 makes one syllable of an accented letter and its neighbour; bytes lost from cp949 are filled."""
+    french = "Le patient est à la maison, il va à Paris à midi."
+    read = french.encode().decode("cp949", "replace")
+    rows = corpus + [(2000 + i, french) for i in range(300)] + [(1, read), (2, "le soir 횪 la maison"), (3, "환자분은 귀가 어두우셔서")]
+    got = run(spark, rows)
+    assert got[1].garbled and not got[3].garbled and not got[2000].garbled
+
+
+def test_lost_bytes_of_cp949(spark, corpus):
+    import numpy as np
+
+    lang = M.Language(np.zeros((M.ROWS, M.BUCKETS), np.int64), {"환": 50, "자": 40, "분": 30})
+    b = list("환자".encode("cp949"))
+    assert M._as_korean([b[0], None, b[2], b[3]], lang, None) == "환자"
+    assert M._as_korean([None, b[1], 0x41], lang, None)[1:] == "A"
+    assert M._as_korean([None], lang, None) is None
+
+
+def test_count_min_rows_differ():
+    a = M.buckets("환자")
+    assert len(set(a)) == M.ROWS and all(0 <= k < M.BUCKETS for k in a)

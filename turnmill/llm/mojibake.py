@@ -5,20 +5,24 @@ channel is a pair (read with, written with). For each token that isn't plain
 ASCII the bytes behind it are laid out under every channel; a replacement
 character, or a question mark where the reading encoding has holes, is a
 wildcard for a lost byte. Every valid reading of these byte lattices is weighed
-by the corpus: words by how often they occur (hashed into a table of fixed
-size), unknown words by their characters. A Viterbi pass over the tokens of a
-text then picks, with a cost for changing the channel, the likeliest sequence
-of clean and damaged spans; the pass is repeated for texts damaged twice.
-
-Replacement characters are garbling whatever else is there. Null and empty
-texts are never garbled. Escapes, accents, foreign scripts and symbols stay, as
-under no channel they read better than as they are.
+by the corpus: words by how often they occur (a count-min sketch of fixed size),
+unknown words by their characters. Lost bytes are filled by a list Viterbi search
+of the lattice, which keeps the ``LISTED`` likeliest ways to each byte and is exact
+for as many readings; words then choose among them. A Viterbi pass over the tokens
+of a text picks, with a cost for changing the channel, the likeliest sequence of
+clean and damaged spans; the pass is repeated for texts damaged twice. Every text
+that isn't plain ASCII is decoded: no look at its characters decides beforehand.
+
+A replacement character stands for a byte that was lost on the way, so a text
+that holds one is garbled whatever else is there; where more than half of a
+token's bytes are lost, no reading of it is weighed and the damage stays. Null and
+empty texts are never garbled. Escapes, accents, foreign scripts and symbols stay,
+as under no channel they read better than as they are.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,13 +30,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words are counted in this many hashed buckets.
-BUCKETS = 1 << 18
-#: Readings kept while the wildcards of a token are filled.
-BEAM = 12
+#: Words are counted in so many rows of so many hashed buckets.
+ROWS, BUCKETS = 3, 1 << 18
+#: Ways to each byte that are kept while the wildcards of a token are filled.
+LISTED = 64
 #: Lead bytes that a lost one can be: accented letters, signs, kana, ideographs and Korean.
 LEADS = (0x3F, 0xC2, 0xC3, 0xCE, 0xD0, 0xD1, 0xE2, 0xE3, 0xE4, 0xE5, 0xE6, 0xE7, 0xE8, 0xE9, 0xEA, 0xEB, 0xEC, 0xED, 0xF0)
 #: Cost of entering or leaving a channel, in nats.
@@ -40,6 +45,8 @@ SWITCH = 2.0
 #: What each sequence of bytes that is valid UTF-8 without a lost byte tells against chance, in nats.
 VALID = 2.0
 TOKENS_CACHED = 200_000
+#: Characters that are counted at once, but for those of one text.
+PART = 1 << 20
 ROUNDS = 3
 LOST = "\ufffd"
 
@@ -51,35 +58,21 @@ _TOKEN = regex.compile(r"[^ \t\r\n]*[^\x00-\x7f](?:[^ \t\r\n]{0,400}(?=[ \t\r\n]
 #: Bytes that windows-1252 leaves undefined; some readers lose them to a question mark, which may also be one.
 _HOLES = (0x81, 0x8D, 0x8F, 0x90, 0x9D, 0x3F)
 
-# What can be garbled at all: replacement or control characters, two neighbouring characters above ASCII that
-# are no Korean, Chinese or Japanese letters, ideographs beside Korean, or a syllable whose two bytes are an accented letter.
-_ACCENTED = "".join(
-    sorted({c for lead in (0xC2, 0xC3) for trail in range(0x80, 0xC0) for c in [bytes([lead, trail]).decode("cp949", "ignore")] if len(c) == 1})
-)
-SUSPECT = (
-    r"[\x{FFFD}\x{80}-\x{9F}\x{E000}-\x{F8FF}\x{0180}-\x{02AF}\x{0500}-\x{058F}\x{0700}-\x{07FF}]"
-    r"|[\x{A0}-\x{2BF}\x{370}-\x{52F}\x{2010}-\x{2260}\x{25CA}\x{FB01}\x{FB02}\x{F8FF}]{2}"
-    r"|[\x{C2}-\x{F4}\x{413}\x{412}]\?"
-    rf"|[A-Za-z][{_ACCENTED}]|[{_ACCENTED}][A-Za-z]"
-    r"|[가-힣][\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]|[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}][가-힣?]"
-)
 
-#: Tested beside the decoder: over long texts it takes a tenth of what the JVM needs for the same alternatives.
-_SUSPECT = regex.compile(regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04X}", SUSPECT))
-
-
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) & (BUCKETS - 1)
+def buckets(word: str) -> tuple[int, ...]:
+    """The bucket of a word in each row."""
+    h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+    return tuple((h >> 18 * r) & (BUCKETS - 1) for r in range(ROWS))
 
 
 class Language:
     """How likely words and characters are in the corpus."""
 
     def __init__(self, words: np.ndarray, chars: dict[str, int]):
-        n, m = max(1, int(words.sum())), max(1, sum(chars.values()))
+        n, m = max(1, int(words[0].sum())), max(1, sum(chars.values()))
         self.words = words
         # buckets are shared: a word counts as known only well above what an ordinary bucket holds
-        self.least = max(3, 4 * int(np.median(words)))
+        self.least = max(3, 2 * int(np.median(words)))
         self.log_n, self.floor = math.log(n), math.log(0.5 / m)
         self.chars = {c: math.log(k / m) for c, k in chars.items()}
         self.known: dict[str, float] = {}
@@ -88,11 +81,15 @@ class Language:
     def char(self, c: str) -> float:
         return self.chars.get(c, self.floor)
 
+    def seen(self, w: str) -> int:
+        """How often the word occurs, or little more."""
+        return min(int(self.words[r, k]) for r, k in enumerate(buckets(w)))
+
     def word(self, w: str) -> float:
         found = self.known.get(w)
         if found is None:
             spelled = sum(map(self.char, w)) - 2.0
-            seen = int(self.words[bucket(w)])
+            seen = self.seen(w)
             found = max(spelled, math.log(seen) - self.log_n - 1.0) if seen >= self.least else spelled
             if len(self.known) > TOKENS_CACHED:
                 self.known.clear()
@@ -119,7 +116,26 @@ class Language:
                     except UnicodeDecodeError:
                         continue
                     found.append((self.char(c) if c > "\x7f" else 0.0, c))
-            found = sorted(found, reverse=True)[:BEAM]
+            found = sorted(found, reverse=True)[:LISTED]
+            self.fills[key] = found
+        return found
+
+    def paired(self, pattern: tuple[int | None, ...], fills: tuple[int, ...] | None) -> list[tuple[float, str]]:
+        """The likeliest characters of one or two bytes of cp949 with lost bytes, best first."""
+        key = ("cp949", pattern)
+        found = self.fills.get(key)
+        if found is None:
+            found = []
+            if len(pattern) == 1:
+                lead = (pattern[0],) if pattern[0] is not None else ()
+                found = [(0.0, chr(x)) for x in lead if x < 0x80]
+            else:
+                for lead in (pattern[0],) if pattern[0] is not None else range(0x81, 0xFF):
+                    for trail in (pattern[1],) if pattern[1] is not None else range(0x41, 0xFF):
+                        c = bytes((lead, trail)).decode("cp949", "ignore")
+                        if len(c) == 1 and c > "\x7f":
+                            found.append((self.char(c), c))
+            found = sorted(found, reverse=True)[:LISTED]
             self.fills[key] = found
         return found
 
@@ -131,7 +147,7 @@ class Language:
             score += self.word(m.group())
             at = m.end()
         score += self._rest(t[at:])
-        if _MARKED.search(t) and (seen := int(self.words[bucket(t)])) >= self.least:
+        if _MARKED.search(t) and (seen := self.seen(t)) >= self.least:
             score = max(score, math.log(seen) - self.log_n - 1.0)
         return score
 
@@ -189,32 +205,37 @@ def _unicode(t: str) -> list[int | None] | None:
 _WIDTH = [1] * 0x80 + [0] * 0x42 + [2] * 0x1E + [3] * 0x10 + [4] * 5 + [0] * 11
 
 
-def _as_utf8(b: list[int | None], language: Language, fills: tuple[int, ...] | None) -> str | None:
-    """The likeliest UTF-8 text of the bytes; ``fills`` are the bytes that a lost one can be (any if None)."""
-    if None not in b:
-        try:
-            return bytes(b).decode("utf-8")
-        except UnicodeDecodeError:
-            return None
-    beams: dict[int, list[tuple[float, str]]] = {0: [(0.0, "")]}
+def _searched(b: list[int | None], language: Language, widths: tuple[int, ...], options, fills) -> str | None:
+    """List Viterbi over the bytes: the likeliest ways to each one by characters, of the whole ones the likeliest by words."""
+    ways: dict[int, list[tuple[float, str]]] = {0: [(0.0, "")]}
     for at in range(len(b)):
-        here = beams.pop(at, None)
+        here = ways.pop(at, None)
         if not here:
             continue
-        here = sorted(here, reverse=True)[:BEAM]
-        for n in (1, 2, 3, 4):
-            if at + n > len(b) or n > 1 and b[at + n - 1] is not None and not 0x80 <= b[at + n - 1] < 0xC0:
+        here = sorted(here, reverse=True)[:LISTED]
+        for n in widths:
+            if at + n > len(b):
                 break
-            best = language.filled(tuple(b[at : at + n]), fills)
+            best = options(tuple(b[at : at + n]), fills)
             if best:
-                beams.setdefault(at + n, []).extend((score + s, t + c) for s, c in best for score, t in here)
-    ended = sorted(beams.get(len(b), []), reverse=True)[:BEAM]
+                ways.setdefault(at + n, []).extend((score + s, t + c) for s, c in best for score, t in here)
+    ended = sorted(ways.get(len(b), []), reverse=True)[:LISTED]
     return max((t for _, t in ended), key=language.text, default=None)
 
 
-def _as_korean(b: list[int | None], language: Language, fills: tuple[int, ...] | None) -> str | None:
+def _as_utf8(b: list[int | None], language: Language, fills: tuple[int, ...] | None) -> str | None:
+    """The likeliest UTF-8 text of the bytes; ``fills`` are the bytes that a lost one can be (any if None)."""
     if None in b:
+        return _searched(b, language, (1, 2, 3, 4), language.filled, fills)
+    try:
+        return bytes(b).decode("utf-8")
+    except UnicodeDecodeError:
         return None
+
+
+def _as_korean(b: list[int | None], language: Language, fills: tuple[int, ...] | None) -> str | None:
+    if None in b:
+        return _searched(b, language, (1, 2), language.paired, fills)
     try:
         return bytes(b).decode("cp949")
     except UnicodeDecodeError:
@@ -310,36 +331,54 @@ def language_of(df: DataFrame, text: str) -> tuple[np.ndarray, dict[str, int]]:
     """Word counts by bucket and character counts over all texts; both tables have a fixed bound."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, chars = np.zeros(BUCKETS, np.int64), np.zeros(0x110000, np.int64)
+        words, chars = np.zeros((ROWS, BUCKETS), np.int64), np.zeros(0x110000, np.int64)
         for b in batches:
-            texts = [x for x in b.column(0).to_pylist() if x]
-            if not texts:
-                continue
-            joined = "\n".join(texts)
-            chars += np.bincount(np.frombuffer(joined.encode("utf-32-le"), np.uint32), minlength=0x110000)
             pieces: Counter[str] = Counter()
-            for w, n in Counter(joined.split()).items():
-                for m in _WORD.findall(w):
-                    pieces[m] += n
-                if len(w) <= 40 and _MARKED.search(w):
-                    pieces[w] += n
-            for w, n in pieces.items():
-                words[bucket(w)] += n
+            held, size = [], 0
+            for text in b.column(0):
+                t = text.as_py()
+                if not t:
+                    continue
+                held.append(t)
+                size += len(t)
+                if size > PART:  # a batch of long texts isn't joined as a whole
+                    chars += _characters(held)
+                    held, size = [], 0
+                for w, n in Counter(t.split()).items():
+                    for m in _WORD.findall(w):
+                        pieces[m] += n
+                    if len(w) <= 40 and _MARKED.search(w):
+                        pieces[w] += n
+                if len(pieces) > TOKENS_CACHED:
+                    _add(words, pieces)
+            chars += _characters(held)
+            _add(words, pieces)
         w, c = np.flatnonzero(words), np.flatnonzero(chars)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate([np.zeros(len(w), np.int32), np.ones(len(c), np.int32)])),
                 pa.array(np.concatenate([w, c]).astype(np.int32)),
-                pa.array(np.concatenate([words[w], chars[c]])),
+                pa.array(np.concatenate([words.ravel()[w], chars[c]])),
             ],
             ["kind", "k", "n"],
         )
 
     t = df.select(text).mapInArrow(count, "kind int, k int, n bigint").groupBy("kind", "k").agg(F.sum("n").alias("n")).toArrow()
     kind, k, n = (t.column(c).to_numpy() for c in ("kind", "k", "n"))
-    words = np.zeros(BUCKETS, np.int64)
+    words = np.zeros(ROWS * BUCKETS, np.int64)
     words[k[kind == 0]] = n[kind == 0]
-    return words, {chr(c): int(x) for c, x in zip(k[kind == 1], n[kind == 1])}
+    return words.reshape(ROWS, BUCKETS), {chr(c): int(x) for c, x in zip(k[kind == 1], n[kind == 1])}
+
+
+def _characters(texts: list[str]) -> np.ndarray:
+    return np.bincount(np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32), minlength=0x110000)
+
+
+def _add(words: np.ndarray, pieces: Counter[str]) -> None:
+    for w, n in pieces.items():
+        for r, k in enumerate(buckets(w)):
+            words[r, k] += n
+    pieces.clear()
 
 
 def restored(df: DataFrame, text: str = "text", to: str = "restored", flag: str = "garbled", lost: str = "beyond_repair") -> DataFrame:
@@ -350,8 +389,8 @@ def restored(df: DataFrame, text: str = "text", to: str = "restored", flag: str
     @F.pandas_udf("restored string, garbled boolean")
     def fix(texts: pd.Series) -> pd.DataFrame:
         d = kept.get(0) or kept.setdefault(0, Decoder(Language(*shared.value)))
-        return pd.DataFrame([d.restore(t) if t and _SUSPECT.search(t) else (None, False) for t in texts], columns=["restored", "garbled"])
+        return pd.DataFrame([d.restore(t) if t and not t.isascii() else (None, False) for t in texts], columns=["restored", "garbled"])
 
-    out = df.withColumn("__fixed", fix(F.col(text)))  # texts that can't be garbled come back as null, not copied
+    out = df.withColumn("__fixed", fix(F.col(text)))  # plain ASCII comes back as null, not copied
     out = out.withColumn(to, F.coalesce(F.col("__fixed.restored"), F.col(text))).withColumn(flag, F.col("__fixed.garbled")).drop("__fixed")
     return out.withColumn(lost, F.coalesce(F.col(to).contains(LOST), F.lit(False)))
