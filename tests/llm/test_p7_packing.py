@@ -24,10 +24,10 @@ def test_complements():
     counts = np.zeros(21, int)
     for s in (3, 4, 4, 9):
         counts[s] += 1
-    sizes = np.flatnonzero(counts)
-    assert packing._complement(counts, sizes, 9) == [9] and sorted(packing._complement(counts, sizes, 8)) == [4, 4]
-    assert sorted(packing._complement(counts, sizes, 11)) == [3, 4, 4] and packing._complement(counts, sizes, 12) in ([9, 3], [3, 9])
-    assert packing._complement(counts, sizes, 6) is None
+    find = lambda gap: packing.Sums(counts).closing(counts, gap)
+    assert find(9) == [9] and sorted(find(8)) == [4, 4]
+    assert sorted(find(11)) == [3, 4, 4] and find(12) in ([9, 3], [3, 9])
+    assert find(6) is None
 
 
 def test_assignment(spark):
@@ -46,3 +46,27 @@ def test_assignment(spark):
             assert sum(pieces[i]) == (n or 0) and len(pieces[i]) == max(1, -(-(n or 0) // cap))
         assert len([c for c, n in load.items() if n]) <= -(-sum(n or 0 for _, n in sizes) // cap) * 1.15 + 1
     assert packing.pack(df.limit(0), [(1, 64)]).collect() == []
+
+
+def test_index_stays_exact_while_counts_fall():
+    import itertools
+
+    import numpy as np
+
+    for k in range(200):
+        rng = random.Random(k)
+        counts = np.zeros(41, np.int64)
+        for _ in range(rng.randint(2, 9)):
+            counts[rng.randint(1, 20)] += rng.randint(1, 3)
+        index = packing.Sums(counts)
+        while counts.any():
+            rest = counts.copy()
+            taken = rng.choice(np.flatnonzero(counts).tolist())
+            rest[taken] -= 1  # of the container that is being filled
+            items = [s for s in range(41) for _ in range(min(3, rest[s]))]
+            gap = rng.randint(1, 40)
+            there = any(sum(c) == gap for n in (1, 2, 3) for c in itertools.combinations(items, n))
+            got = index.closing(rest, gap)
+            assert (got is not None) == there and (got is None or sum(got) == gap and all(got.count(s) <= rest[s] for s in got))
+            for s in [taken, *(got or [])]:
+                counts[s] -= 1
