@@ -1,13 +1,19 @@
 """Problem 4: one consistent form for texts that look the same.
 
 Code points and short strings that look alike are joined into transitive classes
-by union-find: a character with its width and compatibility form, letters of
-Latin, Greek and Cyrillic that share a shape, kinds of space, dashes of one
-width, and composed characters with their decomposed strings. Only characters
-that occur in the corpus are looked at (at most one row a code point, so that
-table is bounded by Unicode). Each class is represented by its most frequent
-member; a multi-pattern automaton rewrites, leftmost-longest, every other
-member. Characters without any shape are rewritten to nothing beforehand.
+by union-find: a character with its width and compatibility form, be it one
+character or a string; letters and signs of several scripts that share a shape;
+kinds of space; and a letter with marks, in every composition that occurs, with
+the same marks on every letter of the same shape. Only characters and strings
+that occur in the corpus are looked at. Characters are at most one row a code
+point; of the strings those count that are one character in some class, so both
+tables are bounded by Unicode.
+
+Each class has a plain member, in which no other class has a part, and a
+representative, its most frequent member. One automaton rewrites, leftmost and
+longest first, every member by the plain one until nothing changes; classes that
+overlap ("ffi", letters under marks) meet there. A second automaton puts the
+representatives in. Characters without any shape are rewritten to nothing.
 
 A different case, accent, digit, word or punctuation mark stays different.
 Null texts stay null; empty and blank texts are ordinary texts.
@@ -23,15 +29,19 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Letters of other scripts and the Latin letters of the same shape, in pairs.
 SAME_SHAPE = {
-    "АВЕЅІЈКМНОРСТХУԛԜ": "ABESIJKMHOPCTXYqW",
-    "аеорсухіјѕһԁԝ": "aeopcyxijshdw",
-    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ": "ABEZHIKMNOPTYX",
-    "ονι": "ovi",
+    "АВЕЅІЈКМНОРСТХУӀҮԌԜ": "ABESIJKMHOPCTXYIYGW",
+    "аеорсухіјѕһԁԛԝѵӏ": "aeopcyxijshdqwvl",
+    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ": "ABEZHIKMNOPTYXCJ",
+    "ονιαρϲϳ": "oviapcj",
+    "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ": "ABCDEGHJKLMPRSTVWZ",
+    "ոսօհցզՍՕ": "nuohgqUO",
+    "ɑɡ": "ag",
 }
 #: Signs of one shape that no compatibility form joins.
 SAME_SIGN = {
@@ -44,6 +54,8 @@ SAME_SIGN = {
     "⁄∕": "//",
     "∙⋅・･ㆍ‧": "······",
     "˗": "-",
+    "∼〜": "~~",
+    "ǃ": "!",
     "µ": "μ",
     "º˚": "°°",
     "×": "×",
@@ -92,99 +104,97 @@ def _compatible(c: str) -> str | None:
     return form if form != c and form.strip() else None
 
 
-def rewrites(frequency: dict[str, int]) -> dict[str, str]:
-    """Pattern -> representative, from the number of times each character occurs.
+#: Letters with marks, and conjoining letters of Korean: strings that can be one character.
+_UNIT = regex.compile(r"[\u1100-\u1112][\u1161-\u1175][\u11A8-\u11C2]?|[가-힣][\u11A8-\u11C2]|\P{M}\p{M}+")
+#: No character is composed of more; longer strings of marks are put in canonical order as they are met.
+MOST_PARTS = 4
+_LONG = regex.compile(rf"\P{{M}}\p{{M}}{{{MOST_PARTS},}}")
+
+
+class Forms:
+    """Classes over the characters and strings that occur, with the plain member of each."""
+
+    def __init__(self, characters: set[str], strings: set[str]):
+        self.classes = Classes()
+        shapes = {a: b for t in (SAME_SHAPE, SAME_SIGN) for k, v in t.items() for a, b in zip(k, v)}
+        self.root: dict[str, str] = {}
+        for a, b in shapes.items():
+            self.classes.union(a, b)
+            self.root[a] = b
+        self.hidden = {c for c in characters if invisible(c)}
+        for c in characters - self.hidden:
+            if ud.category(c) == "Zs":
+                self.classes.union(c, " ")
+            elif self.plain(c) != c:
+                self.classes.union(c, self.plain(c))
+        for u in strings:
+            apart = ud.normalize("NFD", "".join(self.root.get(x, x) for x in u))
+            # a hidden character in between can leave a string composed in part
+            for x in {u, apart, *(ud.normalize("NFC", apart[:i]) + apart[i:] for i in range(2, len(apart)))}:
+                if self.plain(x) != x:
+                    self.classes.union(x, self.plain(x))
+
+    def plain(self, u: str) -> str:
+        """The plain member of the class of a character, or of a letter with marks."""
+        if len(u) == 1:
+            if ud.category(u) == "Zs":
+                return " "
+            form = _compatible(u)
+            if form is not None:
+                return "".join(map(self.plain, form)) if form != u else u
+        parts = [self.root.get(x, x) for x in ud.normalize("NFD", u)]
+        return ud.normalize("NFC", "".join(parts))
+
+    def of_strings(self) -> list[str]:
+        """Members of more than one character."""
+        return [x for x in self.classes.parent if len(x) > 1]
+
+
+class _Alone(dict):
+    """Table for ``str.translate``: each character's plain member, nothing for one without a shape."""
 
-    Representatives are final: none holds a pattern. Frequencies of strings are
-    not needed: a class that joins a character with a string is represented by
-    the string, whose own characters are represented first.
-    """
-    classes = Classes()
-    strings: list[tuple[str, str]] = []
-    shapes = {a: b for t in (SAME_SHAPE, SAME_SIGN) for k, v in t.items() for a, b in zip(k, v)}
-    for c in frequency:
-        if invisible(c):
-            continue
-        if ud.category(c) == "Zs":
-            classes.union(c, " ")
-        if c in shapes:
-            classes.union(c, shapes[c])
-        form = _compatible(c)
-        if form is not None:
-            if len(form) == 1:
-                classes.union(c, form)
-                if form in shapes:
-                    classes.union(form, shapes[form])
-            else:
-                strings.append((c, form))
-    one: dict[str, str] = {}
-    for members in classes.members().values():
-        best = max(members, key=lambda m: (frequency.get(m, 0), m.isascii(), -ord(m)))
-        one |= {m: best for m in members if m != best}
-    out = dict(one)
-    for c, form in strings:
-        out[c] = "".join(one.get(x, x) for x in form)
-    for c in frequency:
-        if invisible(c):
-            out[c] = ""
-    return out
-
-
-def compositions(frequency: dict[str, int]) -> dict[str, str]:
-    """Decomposed string -> composed character, for what the corpus' letters and marks can form.
+    def __init__(self) -> None:
+        self.forms = Forms(set(), set())
 
-    Composition is what normal form C does; the strings come from its own rule.
-    """
-    marks = [c for c in frequency if ud.category(c) in _MARK]
-    bases = [c for c in frequency if ud.category(c)[0] == "L"]
-    out: dict[str, str] = {}
-    for m in marks:
-        for b in bases:
-            joined = ud.normalize("NFC", b + m)
-            if len(joined) == 1:
-                out[b + m] = joined
-                for n in marks:
-                    twice = ud.normalize("NFC", joined + n)
-                    if len(twice) == 1:
-                        out[b + m + n] = out[joined + n] = twice
-    return out
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = "" if invisible(c) else self.forms.plain(c)
+        return self[code]
 
 
 class Rewriter:
-    """Greedy rewriting by one automaton of patterns, the characters first and then the compositions."""
+    """Greedy rewriting by automata: members to the plain ones until nothing changes, then those to the most frequent ones."""
 
     def __init__(self, frequency: dict[str, int]):
-        self.single = rewrites(frequency)
-        self.table = {ord(k): v for k, v in self.single.items()}
-        seen = {x for c in frequency for x in self.single.get(c, c)}
-        # conjoining jamo compose by arithmetic, so their strings are added only as far as they occur
-        plain = {c: 1 for c in seen if not 0x1100 <= ord(c) <= 0x11FF}
-        self.automaton = ahocorasick.Automaton()
-        patterns = dict(self.single) | compositions(plain)
-        self.jamo = [c for c in seen if 0x1100 <= ord(c) <= 0x11FF]
-        if self.jamo:
-            lead = [c for c in self.jamo if ord(c) < 0x1113]
-            vowel = [c for c in self.jamo if 0x1161 <= ord(c) < 0x1176]
-            tail = [c for c in self.jamo if 0x11A8 <= ord(c) < 0x11C3]
-            for a in lead:
-                for b in vowel:
-                    open_ = ud.normalize("NFC", a + b)
-                    patterns[a + b] = open_
-                    for z in tail:
-                        patterns[a + b + z] = patterns[open_ + z] = ud.normalize("NFC", open_ + z)
-            for z in tail:  # an open syllable written whole, its tail apart
-                for c in seen:
-                    if 0xAC00 <= ord(c) <= 0xD7A3 and (ord(c) - 0xAC00) % 28 == 0:
-                        patterns[c + z] = ud.normalize("NFC", c + z)
+        forms = Forms({x for x in frequency if len(x) == 1}, {x for x in frequency if len(x) > 1 and _UNIT.fullmatch(x)})
+        plain, chosen = {c: "" for c in forms.hidden}, {}
+        for members in forms.classes.members().values():
+            key = forms.plain(members[0])
+            plain |= {m: key for m in members if m != key}
+            best = max(members, key=lambda m: (frequency.get(m, 0), m == key, m))
+            if best != key:
+                chosen[key] = best
+        # a part of a string that stays may be rewritten on its own, so a representative is final only among the chosen
+        self.plain, self.chosen = self._automaton(plain), self._automaton(chosen)
+        self.patterns = [*plain, *chosen]
+        self.empty = not self.patterns
+
+    @staticmethod
+    def _automaton(patterns: dict[str, str]) -> ahocorasick.Automaton | None:
+        if not patterns:
+            return None
+        a = ahocorasick.Automaton()
         for k, v in patterns.items():
-            self.automaton.add_word(k, (len(k), v))
-        if patterns:
-            self.automaton.make_automaton()
-        self.empty = not patterns
+            a.add_word(k, (len(k), v))
+        a.make_automaton()
+        return a
 
-    def _once(self, text: str) -> str:
+    @staticmethod
+    def _once(automaton: ahocorasick.Automaton | None, text: str) -> str:
+        if automaton is None:
+            return text
         out, at = [], 0
-        for end, (n, to) in self.automaton.iter_long(text):
+        for end, (n, to) in automaton.iter_long(text):
             out.append(text[at : end + 1 - n])
             out.append(to)
             at = end + 1
@@ -194,26 +204,79 @@ class Rewriter:
     def __call__(self, text: str | None) -> str | None:
         if text is None or self.empty:
             return text
-        # rewritten characters can complete a composed string, so the pass is repeated until nothing changes
-        while (new := self._once(text)) != text:
+        if _LONG.search(text):
+            text = ud.normalize("NFC", text)
+        # rewritten characters can complete a string, so the pass is repeated until nothing changes
+        while (new := self._once(self.plain, text)) != text:
             text = new
-        return text
+        return self._once(self.chosen, text)
+
+
+#: Characters that are counted at once, but for those of one text.
+PART = 1 << 20
 
 
 def frequencies(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    """How often each character occurs in the columns: at most one row a code point reaches the driver."""
+    """How often each character, and each string that a class can hold, occurs in the columns.
+
+    At most one row a code point and one a composed form reaches the driver. Strings that stand for one
+    character (as "mg" for the sign of a milligram) are known when the characters are, so they are counted in a
+    second pass, and only where such characters occur.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0x110000, np.int64)
+        total, units, alone = np.zeros(0x110000, np.int64), Counter(), _Alone()
+        held, size = [], 0
         for b in batches:
             for col in b.columns:
-                joined = "".join(x for x in col.to_pylist() if x)
-                total += np.bincount(np.frombuffer(joined.encode("utf-32-le"), np.uint32), minlength=0x110000) if joined else 0
+                for value in col:
+                    t = value.as_py()
+                    if not t:
+                        continue
+                    held.append(t)
+                    size += len(t)
+                    if not t.isascii():
+                        units.update(u for u in _UNIT.findall(t) if len(u) <= MOST_PARTS)
+                        # strings that come about when the characters are rewritten
+                        for u in _UNIT.findall(t.translate(alone)):
+                            units[u] += 0
+                    if size > PART:
+                        total += _characters(held)
+                        held, size = [], 0
+        total += _characters(held)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["c", "n"])
+        # a string that no class changes stays where it is
+        forms = Forms(set(), set())
+        kept = {u: n for u, n in units.items() if len(u) <= MOST_PARTS and forms.plain(u) != u}
+        names = [*map(chr, at), *kept]
+        yield pa.RecordBatch.from_arrays([pa.array([c.encode("utf-8", "surrogatepass") for c in names], pa.binary()), pa.array([*total[at].tolist(), *kept.values()], pa.int64())], ["c", "n"])
+
+    def summed(rows: DataFrame) -> dict[str, int]:
+        return {bytes(r.c).decode("utf-8", "surrogatepass"): r.n for r in rows.groupBy("c").agg(F.sum("n").alias("n")).collect()}
+
+    texts = df.select(*columns)
+    found = summed(texts.mapInArrow(count, "c binary, n bigint"))
+    forms = Forms({c for c in found if len(c) == 1}, set())
+    strings = [x for x in forms.of_strings() if not _UNIT.fullmatch(x) and x not in found]
+    if not strings:
+        return found
+
+    def count_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = dict.fromkeys(strings, 0)
+        for b in batches:
+            for col in b.columns:
+                for value in col:
+                    t = value.as_py()
+                    if t:
+                        for x in strings:
+                            total[x] += t.count(x)
+        yield pa.RecordBatch.from_arrays([pa.array([x.encode() for x in total], pa.binary()), pa.array(list(total.values()), pa.int64())], ["c", "n"])
+
+    return found | {c: n for c, n in summed(texts.mapInArrow(count_strings, "c binary, n bigint")).items() if n}
+
 
-    rows = df.select(*columns).mapInArrow(count, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n")).collect()
-    return {chr(r.c): r.n for r in rows}
+def _characters(texts: list[str]) -> np.ndarray:
+    return np.bincount(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), minlength=0x110000)
 
 
 def rewritten(df: DataFrame, columns: list[str], frequency: dict[str, int], suffix: str = "") -> DataFrame:
@@ -226,9 +289,9 @@ def rewritten(df: DataFrame, columns: list[str], frequency: dict[str, int], suff
         r = kept.get(0) or kept.setdefault(0, Rewriter(shared.value))
         return texts.map(r, na_action="ignore")
 
-    # a text of plain ASCII and whole syllables may still hold a non-representative; only the rest is surely untouched
-    changed = Rewriter(frequency)
-    risky = "".join(f"\\x{{{ord(c):X}}}" for c in sorted({k[-1] for k in changed.automaton.keys()})) if not changed.empty else ""
+    # every pattern ends in one of these; a text without any is surely untouched
+    patterns = Rewriter(frequency).patterns
+    risky = "".join(f"\\x{{{ord(c):X}}}" for c in sorted({k[-1] for k in patterns}))
     out = df
     for c in columns:
         # the function runs on every row that reaches it, so rows without a pattern pass it as null
