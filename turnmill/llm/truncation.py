@@ -12,8 +12,13 @@ Stored values hold cut ones themselves. Rows with plain evidence (a count above
 the stored length, a broken remnant) are therefore no negatives, and after a
 first fit neither are those that look cut; nor are values without a full stop
 whose length is a limit of their source. Negatives are also shown without
-their full stop. Cuts that happen to fall behind a whole sentence are left out,
-as nothing tells them from a text that ends there.
+their full stop. An artificial cut behind a whole sentence is used where the
+source counts before it stores, as the count betrays it; elsewhere nothing tells
+such a cut from a text that ends there, and it is left out. The evidence is
+features of the classifier like all else; its probability alone decides.
+
+Texts are read twice: once to write what is counted (lengths, habits of a source
+and the rows of the sample, the latter with their texts), once to score.
 
 The classifier is fitted on at most ``SAMPLE_ROWS`` rows, chosen by a hash of
 the key; limits, counting habits and scores are computed over all rows. A null
@@ -33,11 +38,13 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnmill.session import cut_lineage
+
 #: Bound of the rows that the classifier is fitted on.
 SAMPLE_ROWS = 20_000
 #: Hashed features, and how many a row can have.
 DIMENSIONS = 1 << 18
-MOST = 28
+MOST = 32
 STEPS = 150
 RIDGE = 2e-5
 #: A row is cut from this probability on; a stored value from the second on is no sure negative.
@@ -97,7 +104,8 @@ def features(text: str, reference: str | None, hyp_len: float | None, source: st
     if hyp_len is None or hyp_len != hyp_len:
         f.append("count:none")
     else:
-        f.append(f"count:{'over' if hyp_len > there else 'same' if hyp_len == there else 'under'}:{before}")
+        told = "over" if hyp_len > there else "same" if hyp_len == there else "under"
+        f += [f"count:{told}", f"count:{told}:{before}", f"count:{told}:{stop}"]
     f += [f"limit:{at_limit}:{stop}", f"limit:{at_limit}:{left}"]
     if reference:
         r = _WEEKDAY.sub("요일", _DIGITS.sub("0", _normal(reference)))
@@ -113,12 +121,12 @@ def features(text: str, reference: str | None, hyp_len: float | None, source: st
 _LEFT = [("", 10), ("�", 1), ("…", 1), ("...", 1), ("jamo", 2), ("&am", 1), ("&#x", 1), ("\\u00", 1), ("=EC=9", 1)]
 
 
-def artificial(text: str, limits: list[int], rng: np.random.Generator) -> str | None:
-    """A cut head of the text, or None if it would end like a whole one."""
+def artificial(text: str, limits: list[int], rng: np.random.Generator, betrayed: bool = False) -> str | None:
+    """A cut head of the text, or None if it would end like a whole one and no count betrays it."""
     fitting = [n for n in limits if 2 <= n < len(text)]
     n = int(rng.choice(fitting)) if fitting and rng.random() < 0.5 else int(rng.integers(2, max(3, len(text))))
     head = text[:n]
-    if _STOP.search(_normal(head)) or not head.strip() or not text[n:].strip(" .?!．？"):
+    if (_STOP.search(_normal(head)) and not betrayed) or not head.strip() or not text[n:].strip(" .?!．？"):
         return None
     weights = np.array([w for _, w in _LEFT], float)
     left = _LEFT[int(rng.choice(len(_LEFT), p=weights / weights.sum()))][0]
@@ -136,18 +144,24 @@ def _matrix(rows: list[list[int]]) -> np.ndarray:
 
 
 def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Logistic regression by Adam over the whole sample; column 0 is padding and stays 0, column 1 is the bias."""
-    w, m, v = (np.zeros(DIMENSIONS) for _ in range(3))
+    """Logistic regression by Adam over the whole sample; column 0 is padding and stays 0, column 1 is the bias.
+
+    Only the columns that occur in the sample are carried: all others would stay 0.
+    """
+    used, flat = np.unique(x.ravel(), return_inverse=True)
+    w, m, v = (np.zeros(len(used)) for _ in range(3))
+    dense, many = flat.reshape(x.shape), x.shape[1]
     weight = weight / weight.sum()
-    flat, many = x.ravel(), x.shape[1]
     for step in range(1, STEPS + 1):
-        g = weight * (probabilities(w, x) - y)
-        grad = np.bincount(flat, np.repeat(g, many), DIMENSIONS) + RIDGE * w
-        grad[0] = 0.0
+        g = weight * (probabilities(w, dense) - y)
+        grad = np.bincount(flat, np.repeat(g, many), len(used)) + RIDGE * w
+        grad[used == 0] = 0.0
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    return w
+    out = np.zeros(DIMENSIONS)
+    out[used] = w
+    return out
 
 
 def probabilities(w: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -176,10 +190,11 @@ def train(sample: pd.DataFrame, limits: dict[str, list[int]], seed: int = 7) ->
             label.append(0)
             plain.append(True)
         for _ in range(2):
-            head = artificial(t, limits.get(r.source, []), rng)
+            over = bool(known and (r.before or rng.random() < 0.25))  # the count was taken before the cut
+            head = artificial(t, limits.get(r.source, []), rng, over)
             if head is None:
                 continue
-            n = None if not known else there if r.before else counted(head)
+            n = None if not known else there if over else counted(head)
             core = len(head)
             at = any(abs(core - k) <= 3 for k in limits.get(r.source, []))
             rows.append(features(head, r.reference, n, r.source, r.before, at))
@@ -199,13 +214,9 @@ def train(sample: pd.DataFrame, limits: dict[str, list[int]], seed: int = 7) ->
     return _fit(x[keep], y[keep], weight[keep])
 
 
-def _prepared(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Adds, over all rows: whether the source counts before storing, and whether the length is at a limit of the source."""
-    rows = rows.withColumn("chars", F.length("text")).withColumn("bytes", F.octet_length("text"))
-    squeezed = F.length(F.translate("text", " \n\t", ""))
-    # composed letters count once, so only texts without decomposed ones tell how the source counts
-    tells = (F.col("hyp_len") > squeezed).cast("int")
-    habit = rows.groupBy(F.col("source").alias("of")).agg((F.coalesce(F.avg(tells), F.lit(0.0)) > 0.002).alias("before"))
+def _habits(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Of (source, chars, bytes, over): whether a source counts before it stores, and the lengths that are its limits."""
+    habit = rows.groupBy(F.col("source").alias("of")).agg((F.coalesce(F.avg("over"), F.lit(0.0)) > 0.002).alias("before"))
     marks = []
     for length in ("chars", "bytes"):
         by = rows.groupBy("source", length).agg(F.count("*").alias("n"))
@@ -213,41 +224,45 @@ def _prepared(rows: DataFrame, key: list[str]) -> DataFrame:
         usual = (F.sum("n").over(near) - F.col("n")) / 20
         by = by.where(F.col(length).isNotNull()).withColumn("usual", usual)
         marks.append(by.where((F.col(length) >= SHORTEST_LIMIT) & (F.col("n") >= 6) & (F.col("n") >= 4 * F.col("usual"))).select("source", length, F.lit(True).alias(f"at_{length}")))
+    return habit, marks
+
+
+def _told(rows: DataFrame, habit: DataFrame, marks: list[DataFrame], key: list[str]) -> DataFrame:
+    """Adds what the source's habit and limits say about each row."""
     out = rows.join(habit, F.col("source").eqNullSafe(F.col("of")), "left")
     for length, mark in zip(("chars", "bytes"), marks):
         out = out.join(mark, ["source", length], "left")
-    return out.select(*key, "source", "text", "reference", "hyp_len", "chars", F.coalesce("before", F.lit(False)).alias("before"), (F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))).alias("at_limit"), F.coalesce("at_chars", F.lit(False)).alias("at_chars"))
+    at = F.coalesce("at_chars", F.lit(False))
+    return out.select(*key, "source", "text", "reference", "hyp_len", "chars", F.coalesce("before", F.lit(False)).alias("before"), (at | F.coalesce("at_bytes", F.lit(False))).alias("at_limit"), at.alias("at_chars"))
 
 
 def scored(rows: DataFrame, key: list[str]) -> DataFrame:
     """(key, source, probability, cut) of every row of (key, source, text, reference, hyp_len)."""
-    rows = rows.select(*key, "source", "text", "reference", F.col("hyp_len").cast("double").alias("hyp_len"))
-    ready = _prepared(rows, key)
-    full = ready.where(F.trim("text") != "")
-    n = full.count()
-    part = int((1 << 30) * min(1.0, SAMPLE_ROWS / max(1, n)))
-    sample = full.where(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < part).orderBy(*key).toPandas()
+    rows = rows.select(*key, "source", "text", "reference", F.col("hyp_len").cast("double").alias("hyp_len"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
+    part = int((1 << 30) * min(1.0, SAMPLE_ROWS / max(1, rows.count())))
+    picked = (F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < part) & (F.trim("text") != "")
+    # composed letters count once, so only texts without decomposed ones tell how the source counts
+    squeezed = F.length(F.translate("text", " \n\t", ""))
+    kept = [F.when(picked, F.col(c)).alias(c) for c in ("text", "reference")]
+    slim = cut_lineage(rows.select(*key, "source", *kept, "hyp_len", "chars", "bytes", (F.col("hyp_len") > squeezed).cast("int").alias("over")))
+    habit, marks = (cut_lineage(h) if isinstance(h, DataFrame) else [cut_lineage(m) for m in h] for h in _habits(slim.select("source", "chars", "bytes", "over")))
+    sample = _told(slim.where("text is not null"), habit, marks, key).orderBy(*key).toPandas()
     limits = {s: sorted(g["chars"].unique().tolist()) for s, g in sample[sample["at_chars"]].groupby("source")}
-    weights = train(sample, limits).astype(np.float32)
-    shared = rows.sparkSession.sparkContext.broadcast(weights)
+    shared = rows.sparkSession.sparkContext.broadcast(train(sample, limits).astype(np.float32))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value.astype(float)
         for b in batches:
             d = b.to_pydict()
+            has = np.array([bool(t and t.strip()) for t in d["text"]], bool)
             x = _matrix(
                 [
-                    features(t, r, h, s, bf, at) if t and t.strip() else [0]
-                    for t, r, h, s, bf, at in zip(d["text"], d["reference"], d["hyp_len"], d["source"], d["before"], d["at_limit"])
+                    features(t, r, h, s, bf, at) if there else [0]
+                    for there, t, r, h, s, bf, at in zip(has, d["text"], d["reference"], d["hyp_len"], d["source"], d["before"], d["at_limit"])
                 ]
             )
-            p = probabilities(shared.value.astype(float), x)
-            has = np.array([bool(t and t.strip()) for t in d["text"]], bool)
-            p = np.where(has, p, 0.0)
-            # plain evidence: more was counted than is stored, or a remnant of a broken character
-            more = np.array([h is not None and t is not None and h > counted(t) for t, h in zip(d["text"], d["hyp_len"])], bool)
-            rest = np.array([bool(t) and broken(t) for t in d["text"]], bool)
-            cut = has & ((p >= CUT) | more | rest)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in key), b.column("source"), pa.array(p), pa.array(cut)], [*key, "source", "probability", "cut"])
+            p = np.where(has, probabilities(weights, x), 0.0)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in key), b.column("source"), pa.array(p), pa.array(p >= CUT)], [*key, "source", "probability", "cut"])
 
     types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in key)
-    return ready.mapInArrow(score, f"{types}, source string, probability double, cut boolean")
+    return _told(rows, habit, marks, key).mapInArrow(score, f"{types}, source string, probability double, cut boolean")
