@@ -69,11 +69,32 @@ def test_chunks_carry_a_split_run(spark, monkeypatch):
         cells = sorted((int(s * 1000 + 0.5) >> 20, int(s * 1000 + 0.5), int(e * 1000 + 0.5)) for k, s, e, *_ in rows if k == f)
         for c, s, e in cells:
             for cell in range(c, (e - 1 >> 20) + 1) if e > s else ():
-                batches.append((f, cell, max(0, s - (cell << 20)), min(1 << 20, e - (cell << 20))))
+                batches.append((f, cell, max(0, s - (cell << 20)), min(1 << 20, e - (cell << 20)), 0))
     batches.sort(key=lambda r: r[:2])
-    arrow = [pa.RecordBatch.from_pydict(dict(zip(("entity", "cell", "lo", "hi"), map(list, zip(*batches[i : i + 17]))))) for i in range(0, len(batches), 17)]
+    arrow = [pa.RecordBatch.from_pydict(dict(zip(("entity", "cell", "lo", "hi", "reach"), map(list, zip(*batches[i : i + 17]))))) for i in range(0, len(batches), 17)]
     periods = [(b["entity"][i].as_py(), x["period_start"], x["period_end"]) for b in I._cell_summaries(iter(arrow)) for i in range(b.num_rows) for x in b["periods"][i].as_py()]
     merged = {}
     for f, s, e in sorted(periods):
         merged.setdefault(f, []).append((s, e))
     assert sorted((f, *x) for f, v in merged.items() for x in brute(v)) == sorted(expect[1])
+
+
+def test_long_intervals_equal_brute_force(spark):
+    rng = random.Random(9)
+    cell = 1048.576
+    rows = []
+    for f in "uvw":
+        for _ in range(60):
+            a = rng.choice([rng.uniform(0, 60 * cell), cell * rng.randint(0, 60)])
+            b = a + rng.choice([rng.uniform(0, 300), rng.uniform(0, 9 * cell), cell * rng.randint(1, 4)])
+            rows.append((f, a, b, None, 0))
+    rows += [("far", 1e12, 2e12, None, 0), ("far", -1e13, -5e12, None, 0), ("far", 1.5e12, 2.1e12, None, 0), ("inf", 0.0, float("inf"), None, 0)]
+    spans = {}
+    for f, a, b, *_ in rows:
+        if f != "inf":
+            spans.setdefault(f, []).append((int(np.floor(a * 1000 + 0.5)), int(np.floor(b * 1000 + 0.5))))
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted((f, *x) for f, s in spans.items() for x in brute(s))
+    assert sorted(map(tuple, I.periods(df, "file_id", "start", "end").collect())) == want
+    gaps = sorted((f, p[1], q[0]) for f in spans for ps in [brute(spans[f])] for p, q in zip(ps, ps[1:]))
+    assert sorted(map(tuple, I.gaps(df, "file_id", "start", "end", shorter_than=None).collect())) == gaps

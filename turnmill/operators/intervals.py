@@ -5,7 +5,9 @@ Equal blocks collapse, complete sibling pairs are promoted to their parent,
 blocks below a present ancestor are dropped, and what is left is coalesced into
 maximal periods. Work is keyed by (entity, cell), a cell being ``2**CELL_BITS``
 milliseconds, so that one entity holding a third of all rows is spread over
-many tasks; only one summary row per cell meets the others of its entity.
+many tasks; only one summary row per cell meets the others of its entity. An
+interval touches the cells of its two ends only; the whole cells between them are
+the reach of the first one and, as an ancestor does, cover what lies under them.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: A cell is 2**20 ms, about 17.5 minutes.
 CELL_BITS = 20
-#: Bounds beyond this many seconds from zero (31 years) count as missing.
-MAX_SECONDS = 1e9
+#: Bounds are held within this many units from zero, so that sums of them fit a bigint.
+FURTHEST = 1 << 62
 #: Rows gathered before the vectorised merge runs.
 CHUNK_ROWS = 1 << 17
 
@@ -113,10 +115,11 @@ def _cell_summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         if isinstance(entity, pa.ChunkedArray):
             entity = entity.chunk(0) if entity.num_chunks else pa.array([], pa.string())
         cell = t.column("cell").to_numpy()
-        lo, hi = t.column("lo").to_numpy(), t.column("hi").to_numpy()
+        lo, hi, reach = (t.column(c).to_numpy() for c in ("lo", "hi", "reach"))
         flags = _run_starts(entity, cell)
         run = np.cumsum(flags) - 1
         heads = np.flatnonzero(flags)
+        far = np.maximum.reduceat(reach, heads)
         base = run.astype(np.int64) << CELL_BITS
         s, e = merge_on_line(base + lo, base + hi)
         of = s >> CELL_BITS
@@ -128,7 +131,7 @@ def _cell_summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             mine = of == n
             m = int(mine.sum())
             kept = pa.Table.from_arrays(
-                [entity.take(pa.array(np.full(m, heads[n]))), pa.array(np.full(m, cell[heads[n]])), pa.array(s[mine]), pa.array(e[mine])],
+                [entity.take(pa.array(np.full(m, heads[n]))), pa.array(np.full(m, cell[heads[n]])), pa.array(s[mine]), pa.array(e[mine]), pa.array(np.full(m, far[n]))],
                 schema=t.schema,
             )
             s, e, of = s[~mine], e[~mine], of[~mine]
@@ -145,8 +148,9 @@ def _cell_summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     entity.take(pa.array(heads[:n])),
                     pa.array(cell[heads[:n]]),
                     pa.ListArray.from_arrays(pa.array(offsets), period),
+                    pa.array(far[:n]),
                 ],
-                ["entity", "cell", "periods"],
+                ["entity", "cell", "periods", "reach"],
             ),
             kept,
         )
@@ -167,39 +171,44 @@ def _cell_summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def cell_periods(df: DataFrame, entity: str, start: str, end: str, per_second: int = 1000) -> DataFrame:
-    """(entity, cell, periods): the merged periods of every entity within each cell.
+    """(entity, cell, periods, reach): the merged periods of every entity within each cell, and the whole cells covered after it.
 
-    Bounds are seconds, rounded half up to whole ``1/per_second``; a row that
-    lacks a bound (null or NaN), lies beyond ``MAX_SECONDS`` or doesn't end
-    after it starts covers nothing. A null entity is an entity of its own.
+    Bounds are seconds, rounded half up to whole ``1/per_second`` and held within ``FURTHEST``; a row that
+    lacks a bound (null, NaN or infinite) or doesn't end after it starts covers nothing. A null entity is an
+    entity of its own. Cells that an earlier one reaches over are in the result; ``_uncovered`` drops them.
     """
     s, e = df[start].cast("double"), df[end].cast("double")
-    ms = lambda c: F.floor(c * per_second + F.lit(0.5)).cast("bigint")
-    known = (F.abs(s) <= MAX_SECONDS) & (F.abs(e) <= MAX_SECONDS) & ~F.isnan(s) & ~F.isnan(e)
+    endless = F.lit(float("inf"))
+    ms = lambda c: F.floor(F.greatest(F.least(c * per_second + F.lit(0.5), F.lit(float(FURTHEST))), F.lit(float(-FURTHEST)))).cast("bigint")
+    known = (F.abs(s) < endless) & (F.abs(e) < endless)  # NaN is above infinity
     spans = df.where(known & (s < e)).select(df[entity].cast("string").alias("entity"), ms(s).alias("s"), ms(e).alias("e"))
-    spans = spans.where("s < e")
-    size = 1 << CELL_BITS
-    cells = spans.select(
-        "entity",
-        "s",
-        "e",
-        F.explode(F.sequence(F.shiftright("s", CELL_BITS), F.shiftright(F.col("e") - 1, CELL_BITS))).alias("cell"),
-    ).select(
-        "entity",
-        "cell",
-        F.greatest(F.col("s") - F.col("cell") * size, F.lit(0).cast("bigint")).alias("lo"),
-        F.least(F.col("e") - F.col("cell") * size, F.lit(size).cast("bigint")).alias("hi"),
-    )
+    spans = spans.where("s < e").withColumn("c1", F.shiftright("s", CELL_BITS)).withColumn("c2", F.shiftright(F.col("e") - 1, CELL_BITS))
+    size, zero = 1 << CELL_BITS, F.lit(0).cast("bigint")
+
+    def piece(cell, lo, hi, reach):
+        return F.struct(cell.alias("cell"), lo.alias("lo"), hi.alias("hi"), reach.alias("reach"))
+
+    head = piece(F.col("c1"), F.col("s") - F.col("c1") * size, F.least(F.col("e") - F.col("c1") * size, F.lit(size).cast("bigint")), F.greatest(F.col("c2") - F.col("c1") - 1, zero))
+    tail = piece(F.col("c2"), zero, F.col("e") - F.col("c2") * size, zero)
+    cells = spans.select("entity", F.inline(F.when(F.col("c2") > F.col("c1"), F.array(head, tail)).otherwise(F.array(head))))
     return (
         cells.repartition("entity", "cell")
         .sortWithinPartitions("entity", "cell")
         .mapInArrow(
             _cell_summaries,
-            "entity string, cell bigint, periods array<struct<period_start: bigint, period_end: bigint>>",
+            "entity string, cell bigint, periods array<struct<period_start: bigint, period_end: bigint>>, reach bigint",
         )
     )
 
 
+def _uncovered(per: DataFrame) -> DataFrame:
+    """Cells that no earlier one reaches over, with ``covered``: where the furthest reach before each of them ends."""
+    line = Window.partitionBy("entity").orderBy("cell")
+    ends = F.when(F.col("reach") > 0, (F.col("cell") + 1 + F.col("reach")) * (1 << CELL_BITS))
+    per = per.withColumn("ends", ends).withColumn("covered", F.max("ends").over(line.rowsBetween(Window.unboundedPreceding, -1)))
+    return per.where(F.col("covered").isNull() | (F.col("covered") <= F.col("cell") * (1 << CELL_BITS)))
+
+
 def gaps(df: DataFrame, entity: str, start: str, end: str, shorter_than: int | None = 3_600_000, names: tuple[str, str] = ("gap_start_ms", "gap_end_ms")) -> DataFrame:
     """The gaps between neighbouring periods of each entity: (entity, start, end) in ms.
 
@@ -207,7 +216,7 @@ def gaps(df: DataFrame, entity: str, start: str, end: str, shorter_than: int | N
     ``shorter_than`` or more are breaks and left out (None keeps them).
     An entity with fewer than two periods has no gap; an empty table gives none.
     """
-    per = cell_periods(df, entity, start, end)
+    per = _uncovered(cell_periods(df, entity, start, end))
     line = Window.partitionBy("entity").orderBy("cell")
     inner = F.transform(
         F.sequence(F.lit(1), F.size("periods") - 1),
@@ -219,7 +228,7 @@ def gaps(df: DataFrame, entity: str, start: str, end: str, shorter_than: int | N
         "cell",
         inner.alias("inner"),
         F.element_at("periods", 1)["period_start"].alias("first"),
-        F.element_at("periods", -1)["period_end"].alias("last"),
+        F.coalesce("ends", F.element_at("periods", -1)["period_end"]).alias("last"),
     )
     per = per.withColumn("next", F.lead("first").over(line))
     across = F.array(F.struct(F.col("last").alias("s"), F.coalesce("next", "last").alias("e")))
@@ -236,9 +245,12 @@ def periods(df: DataFrame, entity: str, start: str, end: str) -> DataFrame:
     new period unless it touches the end of the cell before. Pieces that reach
     no cell edge are final within their cell and skip the stitching.
     """
-    per = cell_periods(df, entity, start, end)
+    per = _uncovered(cell_periods(df, entity, start, end))
     size = 1 << CELL_BITS
-    flat = per.select("entity", F.inline("periods"))
+    # the last period of a cell goes on to the end of its reach
+    n = F.size("periods")
+    reached = F.transform("periods", lambda p, i: F.struct(p["period_start"].alias("period_start"), F.when(i == n - 1, F.coalesce("ends", p["period_end"])).otherwise(p["period_end"]).alias("period_end")))
+    flat = per.select("entity", F.inline(reached))
     edge = (F.pmod("period_start", F.lit(size)) == 0) | (F.pmod("period_end", F.lit(size)) == 0)
     flat = flat.withColumn("edge", edge)
     line = Window.partitionBy("entity", "edge").orderBy("period_start")
