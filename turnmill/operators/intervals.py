@@ -175,7 +175,7 @@ def cell_periods(df: DataFrame, entity: str, start: str, end: str, per_second: i
 
     Bounds are seconds, rounded half up to whole ``1/per_second`` and held within ``FURTHEST``; a row that
     lacks a bound (null, NaN or infinite) or doesn't end after it starts covers nothing. A null entity is an
-    entity of its own. Cells that an earlier one reaches over are in the result; ``_uncovered`` drops them.
+    entity of its own. Cells that an earlier one reaches over are in the result; ``_uncovered`` settles them.
     """
     s, e = df[start].cast("double"), df[end].cast("double")
     endless = F.lit(float("inf"))
@@ -202,11 +202,17 @@ def cell_periods(df: DataFrame, entity: str, start: str, end: str, per_second: i
 
 
 def _uncovered(per: DataFrame) -> DataFrame:
-    """Cells that no earlier one reaches over, with ``covered``: where the furthest reach before each of them ends."""
+    """Cells that no earlier one reaches over; one that is covered but reaches further holds just what it adds.
+
+    ``ends`` is where a cell's reach ends, null without any.
+    """
     line = Window.partitionBy("entity").orderBy("cell")
-    ends = F.when(F.col("reach") > 0, (F.col("cell") + 1 + F.col("reach")) * (1 << CELL_BITS))
+    size = 1 << CELL_BITS
+    ends = F.when(F.col("reach") > 0, (F.col("cell") + 1 + F.col("reach")) * size)
     per = per.withColumn("ends", ends).withColumn("covered", F.max("ends").over(line.rowsBetween(Window.unboundedPreceding, -1)))
-    return per.where(F.col("covered").isNull() | (F.col("covered") <= F.col("cell") * (1 << CELL_BITS)))
+    under = F.coalesce(F.col("covered") > F.col("cell") * size, F.lit(False))
+    added = F.array(F.struct(F.col("covered").alias("period_start"), F.col("ends").alias("period_end")))
+    return per.where(~under | (F.col("ends") > F.col("covered"))).withColumn("periods", F.when(under, added).otherwise(F.col("periods")))
 
 
 def gaps(df: DataFrame, entity: str, start: str, end: str, shorter_than: int | None = 3_600_000, names: tuple[str, str] = ("gap_start_ms", "gap_end_ms")) -> DataFrame:
