@@ -12,8 +12,8 @@ KEY = ["model_key", "result_id"]
 
 def _scored(spark, sf_dir):
     cols = [*KEY, "source", F.col("hypothesis").alias("text"), "reference", "hyp_len"]
-    a, b = (table(spark, sf_dir, f"{m}_result_no_prompt").select(*cols) for m in ("jangmin", "seastar105"))
-    return truncation.scored(spread(a.unionByName(b)), KEY)
+    a, b = (spread(table(spark, sf_dir, f"{m}_result_no_prompt").select(*cols)) for m in ("jangmin", "seastar105"))
+    return truncation.scored(a.unionByName(b), KEY)
 
 
 def p2_found(spark, sf_dir):
