@@ -209,9 +209,9 @@ def _(s, d):
 def _(s, d):
     """All results whose texts differ by more than 0.3 of the reference's words; a missing text counts as all wrong."""
     cols = ["model_key", "source", "result_id", "cer", "reference", "hypothesis"]
-    a, b = (table(s, d, f"{m}_result_no_prompt").select(*cols) for m in ("jangmin", "seastar105"))
+    a, b = (spread(table(s, d, f"{m}_result_no_prompt").select(*cols)) for m in ("jangmin", "seastar105"))
     words = lambda c: T.n2_words(F.regexp_replace(c, "[…·\\-–—]", " "))
-    rows = spread(a.unionByName(b)).where(~F.col("reference").eqNullSafe(F.col("hypothesis")))
+    rows = a.unionByName(b).where(~F.col("reference").eqNullSafe(F.col("hypothesis")))
     x = M.aligned(words(F.col("reference")), words(F.col("hypothesis")))
     # without reference words any word is an error of 1
     wer = F.when(x["distance"].isNull(), 1.0).when(x["ref_length"] == 0, F.least(x["hyp_length"], F.lit(1)).cast("double")).otherwise(x["distance"] / x["ref_length"])

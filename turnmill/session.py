@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,11 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is chosen here.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    session of one machine (tests) gets a temporary folder; on a cluster no
+    machine-local folder would do, so that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None and sc.getCheckpointDir() is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="turnmill-"))
     return named or sc.getCheckpointDir()
@@ -54,10 +58,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores.
+    """The rows of a table that is a single file, dealt out; any other table as it is read.
 
-    A table of few files gives few tasks to work that is bound by the CPU; only
-    then its rows are dealt out. Tables of many files stay as they are read.
+    One small file is one task, which leaves work bound by the CPU to a single core. The results are the same
+    either way, and no text of a table in several files is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+    files = df.inputFiles()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(files) == 1 else df
