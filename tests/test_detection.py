@@ -40,18 +40,23 @@ def test_misheard_and_queue(spark):
 
 
 def test_bigram_scores_against_counts(spark):
-    texts = [(1, "a b a b"), (2, "a c"), (3, "x"), (4, None), (5, "")]
+    texts = [(1, "a b a b"), (2, "a c"), (3, "x"), (4, None), (5, ""), (6, "new a b")]
     df = spark.createDataFrame(texts, "k int, text string")
-    got = {r.k: r.score for r in D.bigram_scores(df, ["k"]).collect()}
-    words = [t.split() for _, t in texts if t and len(t.split()) > 1]
+    model = spark.createDataFrame([(1, "a b a b"), (2, "a c"), (3, "x"), (4, None)], "k int, text string")
+    got = {r.k: r.score for r in D.bigram_scores(df, model, ["k"]).collect()}
     one, two = {}, {}
-    for w in words:
+    for t in ("a b a b", "a c", "x"):
+        w = t.split()
         for x in w:
             one[x] = one.get(x, 0) + 1
         for p in zip(w, w[1:]):
             two[p] = two.get(p, 0) + 1
-    expect = sum(math.log((two[p] + 1) / (one[p[0]] + len(one))) for p in zip("aba", "bab")) / 4
-    assert math.isclose(got[1], expect, abs_tol=1e-5) and set(got) == {1, 2}
+    p = lambda a, b: math.log((two.get((a, b), 0) + 1) / (one[a] + len(one))) if a in one else math.log(1 / (len(one) + 1))
+    assert set(got) == {1, 2, 3, 5, 6} and got[3] == got[5] == 0.0
+    for k, t in texts:
+        if k in got and len((t or "").split()) > 1:
+            w = t.split()
+            assert math.isclose(got[k], sum(p(a, b) for a, b in zip(w, w[1:])) / len(w), abs_tol=1e-5)
 
 
 def test_rule_tables(spark):

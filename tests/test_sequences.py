@@ -64,15 +64,59 @@ def test_pattern_rules(spark):
 
 def test_categories_follow_the_recursion(spark):
     rng = random.Random(4)
-    words = [w for ws in roles.NOTE_WORDS.values() for w in ws] + ["", None]
-    data = [("f", i, rng.choice(words)) for i in range(9000)]
-    df = spark.createDataFrame(data, "file_id string, seq int, text string")
-    got = {r.seq: r.category for r in roles.categorised(df).collect()}
-    state = -1
-    for _, i, t in data:
-        s = [sum(w in (t or "") for w in roles.NOTE_WORDS[c]) + (k == state) for k, c in enumerate(roles.CATEGORIES)]
-        state = s.index(max(s)) if max(s) else -1
-        assert got[i] == (roles.CATEGORIES[state] if state >= 0 else "unknown")
+    words = [w for ws in roles.NOTE_WORDS.values() for w in ws] + ["", None, "안녕하세요", "감사합니다", "음"]
+    data = [("f", i, " ".join(rng.choice(words) or "" for _ in range(rng.randint(1, 4))), rng.choice(["의사", "환자", None])) for i in range(9000)]
+    df = spark.createDataFrame(data, "file_id string, seq int, text string, role string")
+    got = {r.seq: (r.category, r.sure) for r in roles.categorised(df).collect()}
+    prev = None
+    for _, i, t, who in data:
+        kind = {"의사": "doctor", "환자": "patient"}.get(who, "unknown")
+        s = [round(sum(v for w, v in roles.NOTE_WORDS[c].items() if w in t) * roles.ROLE_WEIGHTS[kind][k], 4) + (c == prev) for k, c in enumerate(roles.CATEGORIES)]
+        if not t.strip():
+            want = ("unknown", 0.0)
+        elif len(t) <= 50 and "안녕하세요" in t:
+            want = ("greeting", 0.9)
+        elif len(t) <= 60 and "감사합니다" in t:
+            want = ("farewell", 0.9)
+        elif sum(s) == 0:
+            want = {"patient": ("S", 0.3), "doctor": ("P", 0.3)}.get(kind, ("unknown", 0.1))
+        else:
+            c = roles.CATEGORIES[s.index(max(s))]
+            many = sum(w in t for w in roles.NOTE_WORDS[c]) >= 3
+            want = (c, min(max(s) / sum(s) + 0.1 * many, 1.0))
+        prev = want[0] if want[0] in roles.CATEGORIES else prev
+        assert got[i][0] == want[0] and abs(got[i][1] - want[1]) < 6e-4, (i, t, got[i], want)
+
+
+def test_shifted_rows_cross_short_blocks(spark):
+    from turnmill.operators import blocked
+
+    rng = random.Random(8)
+    data = [("f", i, sorted(rng.choices(range(30), k=1))[0]) for i in range(100)]
+    rows = spark.createDataFrame([(f, i, i // rng.choice([7])) for f, i, _ in data] + [("g", i, i) for i in range(9)], "file_id string, seq int, block int")
+    got = {(r.file_id, r.seq): ([r[f"prev{k}"] and r[f"prev{k}"].seq for k in (1, 2, 3)], [r[f"next{k}"] and r[f"next{k}"].seq for k in (1, 2)]) for r in blocked.shifted(rows, ["file_id"], "block", ["seq"], ["seq"], 3, 2).collect()}
+    assert len(got) == 109
+    for (f, i), (before, after) in got.items():
+        n = 100 if f == "f" else 9
+        assert before == [i - k if i - k >= 0 else None for k in (1, 2, 3)] and after == [i + k if i + k < n else None for k in (1, 2)]
+
+
+def test_chunk_fold_equals_plain_loop(spark):
+    rng = random.Random(6)
+    words = ["검사를 먼저 하고 약을", "약을 드시면 됩니다", "네", "검사를 먼저 하고 약을 드시면 됩니다", "하고 약을 드시면 됩니다", ""]
+    data = [("f", i, s, s + rng.choice([0.5, 1.0, 4.0]), rng.choice(words)) for i, s in enumerate(sorted(rng.random() * 200 for _ in range(300)))]
+    data += [("f", 900, None, 1.0, "x"), ("f", 901, 1.0, None, None)]
+    df = spark.createDataFrame(data, "file_id string, seq int, start double, end double, text string")
+    kept = []
+    for r in data[:300]:
+        if kept:
+            t, p = r[4].strip(), kept[-1][4].strip()
+            short, long = sorted((t, p), key=len)
+            tails = any(p[-k:] == t[:k] for k in range(6, 13) if min(len(p), len(t)) >= k)
+            if t and p and r[2] <= kept[-1][3] + 0.35 and (t == p or (len(short) >= 6 and short in long) or tails):
+                continue
+        kept.append(r)
+    assert sorted(r.seq for r in folds.without_chunk_repeats(df).collect()) == [r[1] for r in kept] + [900, 901]
 
 
 def test_overlap_fold_equals_plain_loop(spark):

@@ -36,9 +36,23 @@ def n1(c: Column) -> Column:
     return squeeze(F.translate(nfc(c), "。，？！·", ".,?! "))
 
 
+# The marks that each normal form takes for punctuation, its glosses, and what the last one evens out.
+MARKS_OF_WORDS = r"[.,!?;:\"'()\[\]{}…·\-–—]"
+MARKS_OF_N4 = r"[.,!?;:()\\\[\]{}\"']+"
+MARKS_OF_N5 = r"[.,!?;:()\[\]{}\"'`~@#$%^&*+=<>/\\|_\-]"
+GLOSS_OF_N4 = r"[A-Za-z\-]+\(([가-힣\s]+)\)"
+GLOSS_OF_N5 = r"[A-Za-z]+\(([가-힣]+)\)"
+LATIN_IN_BRACKETS = r"\([A-Za-z\s]+\)"
+SOUNDS_OF_N6 = ["음", "어", "아", "그", "네", "예", "에"]
+ENDINGS_OF_N6 = [("하세요|하십시오|합니다|해요|합니까", "해"), ("입니다|이에요|예요", "야"), ("습니다|읍니다", ""), ("거든요|거든", "거든"), ("잖아요|잖아", "잖아")]
+
+#: What a word is made of, where the end of one matters.
+LETTER = r"[\p{L}\p{N}_]"
+
+
 def n2_words(c: Column) -> Column:
     """Words once punctuation is space."""
-    return F.filter(F.split(squeeze(F.regexp_replace(c, r"[.,!?;:()\[\]{}\"']", " ")), " "), lambda w: w != "")
+    return F.filter(F.split(squeeze(F.regexp_replace(c, MARKS_OF_WORDS, " ")), " "), lambda w: w != "")
 
 
 def n3(c: Column) -> Column:
@@ -48,15 +62,33 @@ def n3(c: Column) -> Column:
 
 def n4(c: Column) -> Column:
     """Composed, loan words by their Korean spelling, punctuation dropped, lower case."""
-    t = F.regexp_replace(F.trim(nfc(c)), r"[A-Za-z\-]+\(([가-힣\s]+)\)", "$1")
-    return F.lower(F.regexp_replace(squeeze(t), r"[.,!?;:()\[\]{}\"']", ""))
+    t = F.regexp_replace(F.trim(nfc(c)), GLOSS_OF_N4, "$1")
+    return F.lower(F.regexp_replace(F.regexp_replace(t, r"\s+", " "), MARKS_OF_N4, ""))
 
 
 def n5(c: Column) -> Column:
-    """As n4, with Latin glosses dropped, more punctuation dropped and no white space."""
-    t = F.regexp_replace(nfc(c), r"[A-Za-z]+\(([가-힣]+)\)", "$1")
-    t = F.regexp_replace(t, r"\([A-Za-z\s]+\)", "")
-    return F.lower(F.regexp_replace(t, r"[.,!?;:()\[\]{}\"'·…~\-\s]", ""))
+    """As n4, with Latin glosses, more punctuation and white space dropped."""
+    return F.lower(F.regexp_replace(_marks_dropped(c), r"\s+", ""))
+
+
+def _marks_dropped(c: Column) -> Column:
+    t = F.regexp_replace(nfc(c), GLOSS_OF_N5, "$1")
+    return F.regexp_replace(F.regexp_replace(t, LATIN_IN_BRACKETS, ""), MARKS_OF_N5, "")
+
+
+def n6(c: Column, sounds: list[str] = SOUNDS_OF_N6, endings: list[tuple[str, str]] = ENDINGS_OF_N6) -> Column:
+    """As n5, with lone sounds dropped, polite endings evened out and the last 요 of words dropped."""
+    t = _marks_dropped(c)
+    for x in sounds:
+        t = F.regexp_replace(t, f"(?<!{LETTER}){x}(?!{LETTER})", "")
+    for pattern, to in endings:
+        t = F.regexp_replace(t, pattern, to)
+    return F.lower(F.regexp_replace(F.regexp_replace(t, f"요(?!{LETTER})", ""), r"\s+", ""))
+
+
+def coalesced(*columns: Column) -> Column:
+    """The first text that isn't null or blank, trimmed; empty if there is none."""
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns], F.lit(""))
 
 
 def n7(c: Column) -> Column:

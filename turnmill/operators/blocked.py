@@ -46,6 +46,26 @@ def neighbours(df: DataFrame, key: list[str], block: str, order: list[str], colu
     return out.drop("__p", "__n", "__pe", "__ne")
 
 
+def shifted(df: DataFrame, key: list[str], block: str, order: list[str], columns: list[str], before: int, after: int = 0) -> DataFrame:
+    """Adds ``prev1`` to ``prevN`` and ``next1`` to ``nextN``: structs of the columns of the rows that many places away; null beyond the ends.
+
+    Rows inside a block see their neighbours there. The few rows at its edges, and only they, meet the edges of other
+    blocks in a window over the key, where their neighbours are edge rows too. No row is joined or copied.
+    """
+    within, line = Window.partitionBy(*key, block).orderBy(*order), Window.partitionBy(*key).orderBy(block, *order)
+    row, reach = F.struct(*columns), max(before, after, 1)
+    names = [(f"prev{i}", i, F.lag, "__place") for i in range(1, before + 1)] + [(f"next{i}", i, F.lead, "__left") for i in range(1, after + 1)]
+    out = df.withColumn("__place", F.row_number().over(within))
+    out = out.withColumn("__left", F.count("*").over(within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - F.col("__place") + 1)
+    for name, i, shift, _ in names:
+        out = out.withColumn(name, shift(row, i).over(within))
+    edge = (F.col("__place") <= reach) | (F.col("__left") <= reach)
+    edges = out.where(edge)
+    for name, i, shift, place in names:
+        edges = edges.withColumn(name, F.when(F.col(place) > i, F.col(name)).otherwise(shift(row, i).over(line)))
+    return out.where(~edge).unionByName(edges).drop("__place", "__left")
+
+
 def running_count(df: DataFrame, key: list[str], block: str, order: list[str], flag: Column, name: str) -> DataFrame:
     """Adds how many rows up to and with this one have the flag: an island number if the flag marks island starts."""
     within, line = _windows(key, block, order)

@@ -107,16 +107,33 @@ def decided(queue: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("status") == "pending", F.coalesce("__new", "status")).otherwise(F.col("status"))).drop("__new")
 
 
-def bigram_scores(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """(key, words, score): mean log probability of each text's word pairs, smoothed by one, under the counts of all texts."""
-    w = texts.where(F.col(text).isNotNull()).select(*key, F.filter(F.split(text, " "), lambda x: x != "").alias("w")).where(F.size("w") >= 2)
-    pairs = w.select(*key, F.size("w").alias("words"), F.inline(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.element_at("w", i).alias("a"), F.element_at("w", i + 1).alias("b")))))
-    one = w.select(F.explode("w").alias("a")).groupBy("a").agg(F.count("*").alias("na"))
-    two = pairs.groupBy("a", "b").agg(F.count("*").alias("nab")).join(one, "a")
-    size = one.agg(F.count("*").alias("v")).first()["v"]
-    p = F.log((F.col("nab") + 1) / (F.col("na") + F.lit(size)))
+def _word_list(text: str) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.trim(F.col(text)), r"\s+", " "), " "), lambda x: x != "")
+
+
+def _pairs(words: Column) -> Column:
+    """Neighbouring words as structs (a, b)."""
+    return F.when(F.size(words) >= 2, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.struct(F.element_at(words, i).alias("a"), F.element_at(words, i + 1).alias("b"))))
+
+
+def bigram_scores(texts: DataFrame, model: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """(key, words, score): the log probabilities of each text's word pairs by its number of words, under the counts of ``model``.
+
+    Probabilities are smoothed by one; a pair whose first word the model doesn't know has one over the number of its
+    words and one. A text of one word, or of none, scores 0; a null text isn't scored.
+    """
+    w = texts.where(F.col(text).isNotNull()).select(*key, _word_list(text).alias("w"))
+    m = model.where(F.col(text).isNotNull()).select(_word_list(text).alias("w"))
+    one = m.select(F.explode("w").alias("a")).groupBy("a").agg(F.count("*").alias("na"))
+    two = m.select(F.inline(_pairs(F.col("w")))).groupBy("a", "b").agg(F.count("*").alias("nab"))
+    size = F.coalesce(one.agg(F.count("*").alias("v")).scalar(), F.lit(0))
+    pairs = w.select(*key, F.inline(_pairs(F.col("w"))))
     # each distinct pair is scored once and then met by its occurrences
-    return pairs.join(two.select("a", "b", p.alias("p")), ["a", "b"]).groupBy(*key, "words").agg(F.round(F.sum("p") / F.col("words"), 6).alias("score"))
+    met = pairs.groupBy("a", "b").agg(F.count("*").alias("__n")).drop("__n").join(one, "a", "left").join(two, ["a", "b"], "left")
+    p = F.when(F.col("na").isNull(), F.log(1 / (size + 1))).otherwise(F.log((F.coalesce("nab", F.lit(0)) + 1) / (F.col("na") + size)))
+    sums = pairs.join(met.select("a", "b", p.alias("p")), ["a", "b"]).groupBy(*key).agg(F.sum("p").alias("p"))
+    words = w.select(*key, F.size("w").alias("words"))
+    return words.join(sums, key, "left").select(*key, "words", F.round(F.coalesce(F.col("p"), F.lit(0.0)) / F.greatest("words", F.lit(1)), 6).alias("score"))
 
 
 def unseen_pairs(texts: DataFrame, model: DataFrame, key: list[str], text: str = "text") -> DataFrame:
@@ -127,11 +144,32 @@ def unseen_pairs(texts: DataFrame, model: DataFrame, key: list[str], text: str =
     return pairs_of(texts, key).join(known, "a", "left_semi").join(seen, ["a", "b"], "left_anti").select(*key, "a", "b").distinct()
 
 
-def candidate_score(lm: Column, text: Column, ref_length: Column) -> Column:
-    """Ten times the model's score, less for odd lengths and for few different words."""
-    ratio = F.length(text) / F.greatest(ref_length, F.lit(1))
-    words = F.filter(F.split(text, " "), lambda x: x != "")
-    return 10 * lm - F.when((ratio < 0.5) | (ratio > 2), 50).otherwise(0) - F.when(F.size(F.array_distinct(words)) < 0.3 * F.size(words), 20).otherwise(0)
+# What a candidate loses for an odd length, for months and numbers that run on, and for few different words.
+ODD_LENGTH, MONTHS, NUMBERS, FEW_WORDS = 5.0, 100.0, 50.0, 20.0
+
+
+def candidate_score(lm: Column, text: Column, mean_length: Column) -> Column:
+    """Ten times the model's score, less the penalties; ``mean_length`` is that of all candidates."""
+    ratio = F.length(text) / F.greatest(mean_length, F.lit(1.0))
+    words = F.filter(F.split(F.regexp_replace(F.trim(text), r"\s+", " "), " "), lambda x: x != "")
+    few = (F.size(words) > 3) & (F.size(F.array_distinct(words)) < 0.3 * F.size(words))
+    off = [
+        ((ratio < 0.5) | (ratio > 2.0), ODD_LENGTH),
+        (text.rlike(r"(?:\d{2,}월부터\.?\s*){3,}"), MONTHS),
+        (text.rlike(r"(?:\d\s+){6,}"), NUMBERS),
+        (few, FEW_WORDS),
+    ]
+    return 10 * lm - sum((F.when(c, w).otherwise(0.0) for c, w in off), F.lit(0.0))
+
+
+def best_candidates(candidates: DataFrame, model: DataFrame, group: list[str], order: str, text: str = "text") -> DataFrame:
+    """Of each group's candidate texts the one with the highest score, the first by ``order`` of several; null texts are none."""
+    c = candidates.where(F.col(text).isNotNull()).select(*group, order, F.col(text).alias("text"))
+    scores = bigram_scores(c, model.select(F.col(text).alias("text")), [*group, order]).drop("words")
+    mean = c.groupBy(*group).agg(F.avg(F.length("text")).alias("__mean"))
+    x = c.join(scores, [*group, order]).join(mean, group).withColumn("score", F.round(candidate_score(F.col("score"), F.col("text"), F.col("__mean")), 6))
+    best = F.max_by(F.struct("text", "score", order), F.struct(F.col("score"), -F.col(order)))
+    return x.groupBy(*group).agg(best.alias("b"), F.count("*").alias("candidates")).select(*group, "candidates", f"b.{order}", "b.score", "b.text")
 
 
 def looks_hallucinated(text: Column, mean_logprob: Column, banned: list[str]) -> Column:

@@ -2,22 +2,28 @@
 
 Both folds compare a segment with the last one kept. Where a segment begins
 after everything before it has ended, it is kept whatever the state, so a chain
-ends there and chains are folded apart from each other.
+ends there and chains are folded apart from each other, each as a stream of
+sorted rows with one row of state. Segments without both bounds belong to no
+chain and are kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnmill.operators import blocked
 
+COLUMNS = ["file_id", "seq", "start", "end", "text"]
+BOUNDED = "`start` is not null and `end` is not null"
+
 
 class Row(NamedTuple):
-    place: int
+    at: tuple[int, int]  # batch and place in it
     start: float
     end: float
     text: str | None
@@ -25,7 +31,7 @@ class Row(NamedTuple):
 
 def chains(df: DataFrame, slack: float = 0.0) -> DataFrame:
     """Adds ``chain``: a new one begins where a segment starts more than ``slack`` after the furthest end so far (at it, if slack is 0)."""
-    rows = df.where("`start` is not null and `end` is not null").withColumn("block", blocked.block_of(F.col("start"), 1800.0))
+    rows = df.where(BOUNDED).withColumn("block", blocked.block_of(F.col("start"), 1800.0))
     within = Window.partitionBy("file_id", "block").orderBy("start", "seq")
     line = Window.partitionBy("file_id").orderBy("block")
     edges = rows.groupBy("file_id", "block").agg(F.max("end").alias("m"))
@@ -36,51 +42,48 @@ def chains(df: DataFrame, slack: float = 0.0) -> DataFrame:
     return blocked.running_count(rows, ["file_id"], "block", ["start", "seq"], apart, "chain").drop("block", "near", "far")
 
 
-#: Chains that are folded in one array.
-TOGETHER = 256
-
-
-def _fold(df: DataFrame, slack: float, step) -> DataFrame:
-    """The rows that ``step`` keeps; chains travel as arrays, many in one Arrow batch."""
-
-    @F.pandas_udf("array<int>")
-    def kept(arrays: pd.Series) -> pd.Series:
-        out = []
-        for rows in arrays:
-            places: list[int] = []
-            stack: list = []
-            chain = None
-            for i, r in enumerate(rows):
-                if r["chain"] != chain:
-                    chain, stack = r["chain"], []
-                    base = len(places)
-                row = Row(i, r["start"], r["end"], r["text"])
-                step(stack, row)
-                places[base:] = [k.place for k in stack]
-            out.append(places)
-        return pd.Series(out)
-
-    rows = chains(df.select("file_id", "seq", "start", "end", "text"), slack)
-    size = Window.partitionBy("file_id", "chain")
-    rows = rows.withColumn("n", F.count("*").over(size))
-    # a chain of one is kept as it is; only real chains go through Python
-    many = rows.where("n > 1").groupBy("file_id", F.floor(F.col("chain") / TOGETHER).alias("part")).agg(F.array_sort(F.collect_list(F.struct("start", "seq", "end", "text", "chain"))).alias("rows"))
-    picked = many.select("file_id", F.explode(F.transform(kept("rows"), lambda i: F.col("rows")[i])).alias("r")).select("file_id", "r.seq", "r.start", "r.end", "r.text")
-    return rows.where("n = 1").select("file_id", "seq", "start", "end", "text").unionByName(picked)
+#: What a step does with a row: keep it too, keep it instead of the last one, or drop it.
+APPEND, REPLACE, DROP = 0, 1, 2
+
+
+def _fold(df: DataFrame, slack: float, step: Callable[[Row, Row], int]) -> DataFrame:
+    """The rows that ``step(last kept, row)`` leaves; a batch holds all state but the last kept row of the batch before."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: Row | None = None
+        chain, waiting = None, None  # the last kept row may still be replaced, so it is given out when the next is kept
+        for n, b in enumerate(batches):
+            d = {c: b.column(c).to_pylist() for c in ("file_id", "chain", "start", "end", "text")}
+            take: list[int] = []
+            for i in range(b.num_rows):
+                row, at = Row((n, i), d["start"][i], d["end"][i], d["text"][i]), (d["file_id"][i], d["chain"][i])
+                act = APPEND if last is None or at != chain else step(last, row)
+                if act == DROP:
+                    continue
+                if act == APPEND and last is not None:
+                    if last.at[0] == n:
+                        take.append(last.at[1])
+                    else:
+                        yield waiting
+                last, chain, waiting = row, at, None
+            if last is not None and last.at[0] == n:
+                waiting = b.slice(last.at[1], 1).select(COLUMNS)
+            yield b.take(pa.array(take, pa.int64())).select(COLUMNS)
+        if last is not None:
+            yield waiting
+
+    rows = chains(df.select(*COLUMNS), slack).repartition("file_id", "chain").sortWithinPartitions("file_id", "chain", "start", "seq")
+    types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in COLUMNS)
+    return rows.mapInArrow(kept, types).unionByName(df.where(f"not ({BOUNDED})").select(*COLUMNS))
 
 
 def without_overlaps(df: DataFrame, share: float = 0.5) -> DataFrame:
     """Of a segment and the last kept one that share more than ``share`` of the new one's time, the longer text stays; segments without length are kept."""
 
-    def step(kept, r):
-        if kept and r.end > r.start:
-            last = kept[-1]
-            overlap = min(last.end, r.end) - max(last.start, r.start)
-            if overlap / (r.end - r.start) > share:
-                if len(r.text or "") > len(last.text or ""):
-                    kept[-1] = r
-                return
-        kept.append(r)
+    def step(last: Row, r: Row) -> int:
+        if r.end > r.start and (min(last.end, r.end) - max(last.start, r.start)) / (r.end - r.start) > share:
+            return REPLACE if len(r.text or "") > len(last.text or "") else DROP
+        return APPEND
 
     return _fold(df, 0.0, step)
 
@@ -88,15 +91,12 @@ def without_overlaps(df: DataFrame, share: float = 0.5) -> DataFrame:
 def without_chunk_repeats(df: DataFrame, slack: float = 0.35, least: int = 6, tail: int = 12) -> DataFrame:
     """Drops a segment that begins at most ``slack`` after the last kept one ends and repeats it: equal, contained, or its head is the other's tail."""
 
-    def step(kept, r):
-        t = (r.text or "").strip()
-        if kept and t:
-            last = kept[-1]
-            p = (last.text or "").strip()
-            if r.start <= last.end + slack and p:
-                shorter = min(t, p, key=len)
-                if t == p or (len(shorter) >= least and shorter in max(t, p, key=len)) or any(p[-k:] == t[:k] for k in range(least, tail + 1) if len(p) >= k and len(t) >= k):
-                    return
-        kept.append(r)
+    def step(last: Row, r: Row) -> int:
+        t, p = (r.text or "").strip(), (last.text or "").strip()
+        if t and p and r.start <= last.end + slack:
+            shorter, longer = sorted((t, p), key=len)
+            if t == p or (len(shorter) >= least and shorter in longer) or any(p[-k:] == t[:k] for k in range(least, tail + 1) if min(len(p), len(t)) >= k):
+                return DROP
+        return APPEND
 
     return _fold(df, slack, step)

@@ -80,6 +80,11 @@ def compared(before: DataFrame, after: DataFrame, on: list[str], metric: str, to
     return a.join(b, on, "full").select(*on, "before", "after", diff.alias("diff"), status.alias("status"))
 
 
+def against_baseline(before: DataFrame, after: DataFrame, on: list[str], metric: str, tolerance: float) -> DataFrame:
+    """As ``compared``, but only what both runs have."""
+    return compared(before, after, on, metric, tolerance).where("before is not null and after is not null")
+
+
 def keyword_hits(text: Column, keywords: list[str]) -> Column:
     """How many distinct keywords the text holds; 0 for null."""
     return F.coalesce(sum((F.when(F.contains(text, F.lit(k)), 1).otherwise(0) for k in keywords), F.lit(0)), F.lit(0))

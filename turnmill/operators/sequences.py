@@ -50,10 +50,13 @@ def without_repeats(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def merged_same_speaker(df: DataFrame, within: float = 0.2) -> DataFrame:
-    """Runs of one speaker whose pauses are shorter than ``within`` seconds, as one row: first start, last end, joined text, least confidence."""
-    rows = in_blocks(df.where("`start` is not null and `end` is not null"))
-    rows = blocked.neighbours(rows, KEY, "block", ORDER, ["speaker", "end"])
-    starts = ~(F.col("speaker").eqNullSafe(F.col("prev_speaker")) & (F.col("start") - F.col("prev_end") < within)) | F.col("prev_end").isNull()
+    """Runs of one speaker whose pauses are shorter than ``within`` seconds, as one row: first start, last end, joined text, least confidence.
+
+    Where a bound is missing no pause is known, so the run ends there.
+    """
+    rows = blocked.neighbours(in_blocks(df), KEY, "block", ORDER, ["speaker", "end"])
+    goes_on = F.col("speaker").eqNullSafe(F.col("prev_speaker")) & (F.col("start") - F.col("prev_end") < within)
+    starts = ~F.coalesce(goes_on, F.lit(False))
     rows = blocked.running_count(rows, KEY, "block", ORDER, starts, "island")
     return rows.groupBy("file_id", "island").agg(
         F.min("seq").alias("first_seq"),
@@ -76,10 +79,23 @@ def runs(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def with_runs(df: DataFrame, column: str) -> DataFrame:
+    """Adds ``run`` and ``run_length``: the number within the file, and the rows, of the maximal run of one value that a row is in."""
+    rows = blocked.neighbours(in_blocks(df), KEY, "block", ORDER, [column, "seq"])
+    starts = F.col("prev_seq").isNull() | ~F.col(column).eqNullSafe(F.col(f"prev_{column}"))
+    rows = blocked.running_count(rows, KEY, "block", ORDER, starts, "run")
+    lengths = rows.groupBy("file_id", "run").agg(F.count("*").alias("run_length"))
+    return rows.drop(f"prev_{column}", "prev_seq", "block").join(lengths, ["file_id", "run"])
+
+
 def spread(df: DataFrame, flag: Column, reach: int = 2) -> DataFrame:
-    """Adds ``marked``: whether a flagged row lies at most ``reach`` places away; places are ``seq`` numbers without holes."""
-    flagged = df.where(flag).select("file_id", F.explode(F.sequence(F.col("seq") - reach, F.col("seq") + reach)).alias("seq")).distinct()
-    return df.join(flagged.withColumn("__m", F.lit(True)), ["file_id", "seq"], "left").withColumn("marked", F.coalesce("__m", F.lit(False))).drop("__m")
+    """Adds ``marked``: whether a flagged row lies at most ``reach`` places away in the file's order."""
+    rows = blocked.shifted(in_blocks(df).withColumn("__f", F.coalesce(flag, F.lit(False))), KEY, "block", ORDER, ["__f"], reach, reach)
+    near = F.col("__f")
+    for i in range(1, reach + 1):
+        near = near | F.coalesce(f"prev{i}.__f", F.lit(False)) | F.coalesce(f"next{i}.__f", F.lit(False))
+    names = [f"{side}{i}" for side in ("prev", "next") for i in range(1, reach + 1)]
+    return rows.withColumn("marked", near).drop("__f", "block", *names)
 
 
 def filled(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -93,15 +109,11 @@ def batches(df: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("batch", F.floor((F.col("place") - 1) / size)).drop("block")
 
 
-def context(df: DataFrame, before: int, after: int, text: str = "text") -> DataFrame:
-    """Adds ``context``: the texts of the rows up to ``before`` places before and ``after`` places after, joined.
-
-    Each row is sent to the places that see it, so no ordered pass over a file is needed.
-    """
-    placed = batches(df, 1).select("file_id", "seq", "place", F.col(text).alias("__t"))
-    offers = placed.where("__t is not null").select("file_id", F.explode(F.sequence(F.col("place") - after, F.col("place") + before)).alias("to"), "place", "__t")
-    seen = offers.where("to <> place").groupBy("file_id", "to").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "__t"))), lambda x: x["__t"]), " ").alias("context"))
-    return placed.join(seen.withColumnRenamed("to", "place"), ["file_id", "place"], "left").select("file_id", "seq", F.coalesce("context", F.lit("")).alias("context"))
+def context(df: DataFrame, before: int, after: int, text: str = "text", own: bool = False) -> DataFrame:
+    """(file_id, seq, context): the texts of up to ``before`` rows before and ``after`` rows after (and of the row itself), joined; null texts are left out."""
+    rows = blocked.shifted(in_blocks(df.select(*KEY, *ORDER, F.col(text).alias("__t"))), KEY, "block", ORDER, ["__t"], before, after)
+    seen = [F.col(f"prev{i}.__t") for i in range(before, 0, -1)] + ([F.col("__t")] if own else []) + [F.col(f"next{i}.__t") for i in range(1, after + 1)]
+    return rows.select(*KEY, *ORDER, F.concat_ws(" ", *seen).alias("context"))
 
 
 def overlapping_windows(df: DataFrame, length: float = 60.0, overlap: float = 2.0) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries of text functions, rewrite rules, roles, notes and folds."""
+"""Queries of text functions, rewrite rules and folds."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from turnmill.functions import cleaning as C
 from turnmill.functions import text as T
-from turnmill.operators import folds, roles, rules
+from turnmill.operators import folds, rules
 from turnmill.plans.sequences import SEGMENTS_SQL, segments
 from turnmill.session import table
 
@@ -42,20 +42,11 @@ def _(s, d):
     return _refs(s, d).select("result_id", F.length(T.n8(F.col("reference"))).alias("n"))
 
 
-@query("n2_words", f"WITH {SEGMENTS_SQL} SELECT file_id, seq, len(list_filter(string_split(regexp_replace(regexp_replace(text, '[.,!?;:()\\[\\]{{}}\"'']', ' ', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: w <> '')) AS words FROM seg WHERE text IS NOT NULL")
+@query("n2_words", f"WITH {SEGMENTS_SQL} SELECT file_id, seq, list_filter(string_split(regexp_replace(regexp_replace(text, '[.,!?;:\"''()\\[\\]{{}}…·\\-–—]', ' ', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: w <> '') AS words FROM seg WHERE text IS NOT NULL")
 def _(s, d):
-    return segments(s, d).where("text is not null").select("file_id", "seq", F.size(T.n2_words(F.col("text"))).alias("words"))
+    return segments(s, d).where("text is not null").select("file_id", "seq", T.n2_words(F.col("text")).alias("words"))
 
 
-@query("n4_normal")
-def _(s, d):
-    return _refs(s, d).select("result_id", T.n4(F.col("reference")).alias("t"))
-
-
-@query("n5_normal")
-def _(s, d):
-    return _refs(s, d).select("result_id", T.n5(F.col("reference")).alias("t"))
-
 
 @query("n7_normal")
 def _(s, d):
@@ -159,55 +150,28 @@ def _(s, d):
     return rules.learnable(single, e)
 
 
-# roles and notes ---------------------------------------------------------
-
-
-def _score_sql(signs):
-    return "round(" + " + ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '{p}') THEN {w} ELSE 0.0 END" for p, w in signs) + ", 4)"
-
-
-_SCORED = f"WITH {SEGMENTS_SQL}, sc AS (SELECT file_id, seq, speaker, text, CAST({_score_sql(roles.DOCTOR_SIGNS)} AS DOUBLE) AS doctor_score, CAST({_score_sql(roles.PATIENT_SIGNS)} AS DOUBLE) AS patient_score FROM seg)"
-_PREDICTED = "CASE WHEN abs(doctor_score - patient_score) < 0.3 - 1e-9 THEN NULL WHEN doctor_score > patient_score THEN 'doctor' ELSE 'patient' END"
-
-
-@query("r1_role_evidence", _SCORED + f" SELECT file_id, seq, doctor_score, patient_score, {_PREDICTED} AS predicted_role, CASE WHEN doctor_score + patient_score > 0 THEN round(abs(doctor_score - patient_score) / (doctor_score + patient_score), 4) ELSE 0.0 END AS role_confidence FROM sc")
-def _(s, d):
-    return roles.scored(segments(s, d)).select("file_id", "seq", "doctor_score", "patient_score", "predicted_role", "role_confidence")
-
-
-@query("seq9_context_role", _SCORED + f", p AS (SELECT *, {_PREDICTED} AS predicted_role FROM sc) SELECT file_id, seq, CASE WHEN regexp_matches(lag(text) OVER w, '\\?\\s*$') THEN CASE lag(predicted_role) OVER w WHEN 'doctor' THEN 'patient' WHEN 'patient' THEN 'doctor' END END AS context_role FROM p WINDOW w AS (PARTITION BY file_id ORDER BY seq)")
-def _(s, d):
-    return roles.with_context(roles.scored(segments(s, d))).select("file_id", "seq", "context_role")
-
-
-@query("r4_phases", f"WITH {SEGMENTS_SQL}, h AS (SELECT file_id, seq, " + ", ".join("(" + " + ".join(f"CASE WHEN contains(coalesce(text, ''), '{w}') THEN 1 ELSE 0 END" for w in ws) + f") AS {k}" for k, ws in roles.PHASES.items()) + " FROM seg) SELECT file_id, seq, CASE greatest(" + ", ".join(roles.PHASES) + ") WHEN 0 THEN NULL " + " ".join(f"WHEN {k} THEN '{k}'" for k in roles.PHASES) + " END AS phase FROM h")
-def _(s, d):
-    return segments(s, d).select("file_id", "seq", roles.best_of(F.col("text"), roles.PHASES).alias("phase"))
-
-
-@query("r9_speaker_roles")
-def _(s, d):
-    return roles.speaker_roles(segments(s, d))
-
-
-@query("seq11_note_categories")
-def _(s, d):
-    return roles.categorised(segments(s, d))
-
-
-@query("ag12_note_shares")
-def _(s, d):
-    return roles.categorised(segments(s, d)).groupBy("file_id", "category").agg(F.count("*").alias("segments"))
-
-
 # folds -------------------------------------------------------------------
 
+# One step a segment in the order of a file: the last kept one is carried, and every one kept opens a slot whose last holder stays.
+_FOLD = """WITH RECURSIVE {seg}, b AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY "start", seq) AS rn FROM seg WHERE "start" IS NOT NULL AND "end" IS NOT NULL),
+ step AS (
+  SELECT file_id, rn, seq AS kept, "start" AS s, "end" AS e, text AS t, 1::BIGINT AS slot FROM b WHERE rn = 1
+  UNION ALL
+  SELECT b.file_id, b.rn, CASE act WHEN 2 THEN kept ELSE seq END, CASE act WHEN 2 THEN s ELSE "start" END, CASE act WHEN 2 THEN e ELSE "end" END, CASE act WHEN 2 THEN t ELSE text END, slot + CASE act WHEN 0 THEN 1 ELSE 0 END
+  FROM (SELECT b.*, step.kept, step.s, step.e, step.t, step.slot, {act} AS act FROM step JOIN b ON b.file_id = step.file_id AND b.rn = step.rn + 1) b
+ ), held AS (SELECT file_id, kept AS seq FROM step QUALIFY row_number() OVER (PARTITION BY file_id, slot ORDER BY rn DESC) = 1)
+SELECT file_id, seq, "start", "end", text FROM seg WHERE "start" IS NULL OR "end" IS NULL OR (file_id, seq) IN (SELECT (file_id, seq) FROM held)"""
+_OVERLAP = """CASE WHEN "end" > "start" AND (least(step.e, "end") - greatest(step.s, "start")) / ("end" - "start") > 0.5 THEN CASE WHEN length(coalesce(text, '')) > length(coalesce(step.t, '')) THEN 1 ELSE 2 END ELSE 0 END"""
+_X, _P = "trim(coalesce(text, ''), ' ')", "trim(coalesce(step.t, ''), ' ')"
+_TAILS = " OR ".join(f"(length({_X}) >= {k} AND length({_P}) >= {k} AND right({_P}, {k}) = left({_X}, {k}))" for k in range(6, 13))
+_REPEAT = f"""CASE WHEN {_X} <> '' AND {_P} <> '' AND "start" <= step.e + 0.35 AND ({_X} = {_P} OR (least(length({_X}), length({_P})) >= 6 AND (contains({_X}, {_P}) OR contains({_P}, {_X}))) OR {_TAILS}) THEN 2 ELSE 0 END"""
+
 
-@query("seq6_without_overlaps")
+@query("seq6_without_overlaps", _FOLD.format(seg=SEGMENTS_SQL, act=_OVERLAP))
 def _(s, d):
     return folds.without_overlaps(segments(s, d))
 
 
-@query("seq7_without_chunk_repeats")
+@query("seq7_without_chunk_repeats", _FOLD.format(seg=SEGMENTS_SQL, act=_REPEAT))
 def _(s, d):
     return folds.without_chunk_repeats(segments(s, d))

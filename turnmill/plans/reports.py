@@ -130,11 +130,6 @@ def _(s, d):
     return _runs(s, d).groupBy("model_key").agg(F.round(F.avg("cer"), 2).alias("avg_cer"), F.count("cer").alias("evaluated"), (F.count("*") - F.count("cer")).alias("failed"))
 
 
-@query("ag5_weighted_rate", f"WITH {RUNS_SQL} SELECT model_key, round(sum(cer * ref_len) / sum(ref_len), 4) AS weighted, round(avg(cer), 4) AS macro FROM runs WHERE cer IS NOT NULL AND ref_len IS NOT NULL GROUP BY model_key")
-def _(s, d):
-    return _runs(s, d).where("cer is not null and ref_len is not null").groupBy("model_key").agg(F.round(F.sum(F.col("cer") * F.col("ref_len")) / F.sum("ref_len"), 4).alias("weighted"), F.round(F.avg("cer"), 4).alias("macro"))
-
-
 _GRADE = "CASE WHEN cer <= 10 THEN 'S' WHEN cer <= 20 THEN 'A' WHEN cer <= 35 THEN 'B' WHEN cer <= 50 THEN 'C' WHEN cer <= 70 THEN 'D' WHEN cer IS NOT NULL THEN 'F' END"
 
 
@@ -253,37 +248,6 @@ def _texts(s, d):
     return table(s, d, "seastar105_result_no_prompt").where("reference is not null and hypothesis is not null")
 
 
-@query("m5_character_error_rate")
-def _(s, d):
-    return _texts(s, d).select("result_id", F.round(M.character_error_rate(F.col("reference"), F.col("hypothesis")), 4).alias("cer"))
-
-
-@query("m6_capped_error_rate")
-def _(s, d):
-    return _texts(s, d).select("result_id", F.round(M.character_error_rate(F.col("reference"), F.col("hypothesis"), capped=True), 4).alias("cer"))
-
-
-@query("m3_word_errors")
-def _(s, d):
-    x = M.word_errors(F.col("reference"), F.col("hypothesis"))
-    return _texts(s, d).withColumn("x", x).select("result_id", "x.distance", "x.substitutions", "x.deletions", "x.insertions", F.round(M.rate(F.col("x.distance"), F.col("x.ref_length")), 4).alias("wer"))
-
-
-@query("ag8_common_errors")
-def _(s, d):
-    x = M.word_errors(F.col("reference"), F.col("hypothesis"))
-    ops = _texts(s, d).select("type", F.explode(x["ops"]).alias("o")).select("type", "o.*")
-    # the top twenty of each type is the report; ranks are taken after counting
-    n = ops.groupBy("type", "op", "ref", "hyp").agg(F.count("*").alias("times"))
-    w = Window.partitionBy("type").orderBy(F.desc("times"), "op", "ref", "hyp")
-    return n.withColumn("place", F.row_number().over(w)).where("place <= 20")
-
-
-@query("ag9_common_errors_overall")
-def _(s, d):
-    return QUERIES["ag8_common_errors"](s, d).groupBy("op", "ref", "hyp").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "op", "ref", "hyp").limit(15)
-
-
 @query("m9_improvement", "WITH a AS (SELECT type, avg(cer) AS b FROM jangmin_result_no_prompt GROUP BY type), c AS (SELECT type, avg(cer) AS a FROM seastar105_result_no_prompt GROUP BY type) SELECT type, round(CASE WHEN b > 0 THEN (b - a) / b * 100 ELSE 0.0 END, 2) AS improvement FROM a JOIN c USING (type)")
 def _(s, d):
     a, b = (table(s, d, f"{m}_result_no_prompt").groupBy("type").agg(F.avg("cer").alias(n)) for m, n in (("jangmin", "b"), ("seastar105", "a")))

@@ -26,7 +26,7 @@ QUERIES = {
     "seq3_merged_same_speaker": lambda s, d: S.merged_same_speaker(segments(s, d)),
     "seq4_runs": lambda s, d: S.runs(segments(s, d).withColumn("who", _kind()), "who"),
     "seq4_longest_run": lambda s, d: S.runs(segments(s, d).withColumn("who", _kind()), "who").groupBy("file_id").agg(F.max("length").alias("longest"), F.count_if(F.col("length") >= 3).alias("long_runs")),
-    "seq5_run_expansion": lambda s, d: S.spread(segments(s, d).select("file_id", "seq", "confidence"), F.col("confidence") < 0.3).where("marked").select("file_id", "seq"),
+    "seq5_run_expansion": lambda s, d: S.spread(S.with_runs(segments(s, d).select("file_id", "seq", _kind().alias("who")), "who"), F.col("run_length") >= 3).where("marked").select("file_id", "seq"),
     "seq8_filled": lambda s, d: S.filled(segments(s, d).withColumn("phase", F.when(F.col("text").contains("검사"), F.lit("exam")).when(F.col("text").contains("약"), F.lit("drug"))), "phase", "filled").select("file_id", "seq", "filled"),
     "seq12_context": lambda s, d: S.context(segments(s, d), 2, 2),
     "seq13_context_radius3": lambda s, d: S.context(segments(s, d).withColumn("text", F.when(F.trim("text") != "", F.col("text"))), 3, 3),
@@ -51,14 +51,14 @@ UNION ALL SELECT file_id, 'head', 0.0, "start" FROM t WHERE rn = 1 AND "start" >
 UNION ALL SELECT t.file_id, 'tail', "end", duration_s FROM t JOIN recordings r USING (file_id) WHERE back = 1 AND duration_s - "end" > 1.0""",
     "seq2_without_repeats": f"""WITH {SEGMENTS_SQL} SELECT file_id, seq, text FROM seg WINDOW w AS (PARTITION BY file_id ORDER BY seq)
  QUALIFY text IS NULL OR lag(trim(text, ' ')) OVER w IS NULL OR lag(trim(text, ' ')) OVER w <> trim(text, ' ')""",
-    "seq3_merged_same_speaker": f"""WITH {SEGMENTS_SQL}, k AS (SELECT * FROM seg WHERE "start" IS NOT NULL AND "end" IS NOT NULL),
+    "seq3_merged_same_speaker": f"""WITH {SEGMENTS_SQL}, k AS (SELECT * FROM seg),
  n AS (SELECT *, CASE WHEN lag("end") OVER w IS NOT NULL AND speaker IS NOT DISTINCT FROM lag(speaker) OVER w AND "start" - lag("end") OVER w < 0.2 THEN 0 ELSE 1 END AS fresh FROM k WINDOW w AS (PARTITION BY file_id ORDER BY seq)),
  i AS (SELECT *, sum(fresh) OVER (PARTITION BY file_id ORDER BY seq) AS island FROM n)
-SELECT file_id, island, min(seq) AS first_seq, first(speaker ORDER BY seq) AS speaker, arg_min("start", seq) AS "start", arg_max("end", seq) AS "end", min(confidence) AS confidence,
+SELECT file_id, island, min(seq) AS first_seq, first(speaker ORDER BY seq) AS speaker, first("start" ORDER BY seq) AS "start", last("end" ORDER BY seq) AS "end", min(confidence) AS confidence,
  count(*) AS segments, coalesce(string_agg(text, ' ' ORDER BY seq), '') AS text FROM i GROUP BY file_id, island""",
     "seq4_runs": _RUNS + " SELECT * FROM r",
     "seq4_longest_run": _RUNS + " SELECT file_id, max(length) AS longest, count(*) FILTER (length >= 3) AS long_runs FROM r GROUP BY file_id",
-    "seq5_run_expansion": f"WITH {SEGMENTS_SQL} SELECT file_id, seq FROM seg s WHERE EXISTS (SELECT 1 FROM seg f WHERE f.file_id = s.file_id AND f.confidence < 0.3 AND f.seq BETWEEN s.seq - 2 AND s.seq + 2)",
+    "seq5_run_expansion": _RUNS + """, l AS (SELECT *, count(*) OVER (PARTITION BY file_id, run) AS n FROM i), e AS (SELECT file_id, seq, max(CASE WHEN n >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM l) SELECT file_id, seq FROM e WHERE near = 1""",
     "seq8_filled": f"""WITH {SEGMENTS_SQL}, m AS (SELECT *, CASE WHEN contains(text, '검사') THEN 'exam' WHEN contains(text, '약') THEN 'drug' END AS phase FROM seg)
 SELECT file_id, seq, coalesce(last_value(phase IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY seq), first_value(phase IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM m""",
     "seq12_context": _PLACED
