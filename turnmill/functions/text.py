@@ -133,30 +133,6 @@ def char_jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
-def without_repeated_sentences(c: Column) -> Column:
-    """Consecutive equal sentences once."""
-    s = F.split(c, r"(?<=[.?!])\s+")
-    # each beside the one before it, so that the lambda sees its own element only
-    pairs = F.arrays_zip(s.alias("x"), F.concat(F.array(F.lit(None).cast("string")), s).alias("before"))
-    return F.array_join(F.transform(F.filter(pairs, lambda p: p["x"].isNotNull() & (p["before"].isNull() | (F.trim(p["x"]) != F.trim(p["before"])))), lambda p: p["x"]), " ")
-
-
-def spaced_punctuation(c: Column) -> Column:
-    """Runs of one mark collapsed, no space before a mark, one after it, a full stop at the end."""
-    t = F.regexp_replace(c, r"([.?!,])\1+", "$1")
-    t = F.regexp_replace(t, r"\s+([.,!?])", "$1")
-    t = F.regexp_replace(t, r"([!?])([가-힣A-Za-z])", "$1 $2")
-    t = squeeze(F.regexp_replace(t, r",([^\s\d])", ", $1"))
-    return F.when((t != "") & ~t.rlike(r"[.!?]$"), F.concat(t, F.lit("."))).otherwise(t)
-
-
-def collapsed_repeats(c: Column, times: int = 3, rounds: int = 3) -> Column:
-    """Phrases of 2 to 40 characters said ``times`` or more in a row, once; ``rounds`` passes for nested ones."""
-    for _ in range(rounds):
-        c = F.regexp_replace(c, rf"(.{{2,40}}?)\1{{{times - 1},}}", "$1")
-    return c
-
-
 def sound_marks_removed(c: Column, marks: list[str]) -> Column:
     """Bracketed sound marks and music signs removed."""
     words = "|".join(marks)
@@ -170,22 +146,19 @@ def valid_segment(c: Column, least: int = 2) -> Column:
 
 
 def sino_number(c: Column) -> Column:
-    """A Sino-Korean numeral as a number; null for an unknown sign, for zero and for nothing."""
-    digit = F.create_map(*[x for k, v in zip("일이삼사오육칠팔구", range(1, 10)) for x in (F.lit(k), F.lit(v))])
-    unit = F.create_map(F.lit("십"), F.lit(10), F.lit("백"), F.lit(100), F.lit("천"), F.lit(1000))
-    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("part"), F.lit(0).alias("last"), F.lit(True).alias("ok"))
+    """A Sino-Korean numeral as a number, evaluated inside the JVM; null for an unknown sign, for zero and for nothing."""
+    digit = F.create_map(*[x for k, v in zip("영일이삼사오육칠팔구", range(10)) for x in (F.lit(k), F.lit(v))])
+    unit = F.create_map(F.lit("십"), F.lit(10), F.lit("백"), F.lit(100), F.lit("천"), F.lit(1000), F.lit("만"), F.lit(10000))
+    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("held"), F.lit(True).alias("ok"))
 
     def step(acc: Column, ch: Column) -> Column:
-        d, u = F.coalesce(digit[ch], F.lit(-1)), F.coalesce(unit[ch], F.lit(-1))
-        big = ch == "만"
-        held = acc["part"] + acc["last"]
-        total = F.when(big, acc["total"] + F.when(held == 0, 1).otherwise(held) * 10000).otherwise(acc["total"])
-        part = F.when(big, 0).when(u > 0, acc["part"] + F.when(acc["last"] == 0, 1).otherwise(acc["last"]) * u).otherwise(acc["part"])
-        last = F.when(d > 0, d).otherwise(0)
-        return F.struct(total.alias("total"), part.alias("part"), last.alias("last"), (acc["ok"] & ((d > 0) | (u > 0) | big)).alias("ok"))
+        d, u = digit[ch], unit[ch]
+        held = F.when(acc["held"] == 0, F.lit(1).cast("bigint")).otherwise(acc["held"])
+        total = F.when(u == 10000, (acc["total"] + held) * 10000).when(u.isNotNull(), acc["total"] + held * u).otherwise(acc["total"])
+        return F.struct(total.cast("bigint").alias("total"), F.coalesce(d, F.lit(0)).cast("bigint").alias("held"), (acc["ok"] & (d.isNotNull() | u.isNotNull())).alias("ok"))
 
     done = F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), start, step)
-    value = done["total"] + done["part"] + done["last"]
+    value = done["total"] + done["held"]
     return F.when(done["ok"] & (value > 0), value)
 
 

@@ -2,96 +2,128 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnmill.functions.text import LEADS, TAILS, VOWELS, without_particle
+from turnmill.functions.cleaning import only_particle_differs
+from turnmill.functions.text import char_jaccard, without_particle
 from turnmill.operators.joins import similar_words
+from turnmill.operators.rules import CHANGES, Corrector, corrected, learnable
+from turnmill.session import cut_lineage
 
 
-@lru_cache(1 << 16)
-def _letters(s: str) -> str:
-    out = []
-    for c in s:
-        k = ord(c) - 0xAC00
-        out.append(LEADS[k // 588] + VOWELS[k % 588 // 28] + TAILS[k % 28].strip() if 0 <= k < 11172 else c)
-    return "".join(out)
+# Words that are never taken for misheard terms, and particles, the longest first.
+SAFE_WORDS = (
+    "영상 사진 화면 소리 시간 기간 방법 방향 상태 상황 관계 관련 부분 부위 기능 기본 정도 정상 주변 주위 내용 내부 외부 전체 현재 이전 이후 이상 이하 결과 검사 치료 수술 설명 운동 생활 식사 음식 감사 인사"
+    " 남성 여성 나이 연세 비용 자기 본인 우리 거기 여기 저기 어디 언제 어떻게 다음 처음 병원 선생님 환자 보호자 가족 아버지 어머니 아들 딸 남편 아내 형제 자매 하고 하면 하는 하는데 한다 했어 했는데 같은 같이 있는 없는 되는 많은 좋은"
+    " 이런 그런 저런 아직 지금 오늘 내일 상담 보험 급여 서류 진료 예약 접수 대기 처방 입원 퇴원 외래 재활 통증 증상 약물 복용 경과 검진 진단 골반 무릎 허리 어깨 발목 손목 척추 고관절 가슴 머리 골절 연골 인대 관절 근육 혈관 신경"
+    " 세포 조직 피부 혈액 소변 대변 호흡 맥박 혈압 수액 주사 캡슐 알약 연고 시술 마취 초음파 내시경 심전도 합병증 재발 혈전 종양"
+).split()
+PARTICLES = (
+    "에서부터 에서는 에서도 에서의 으로는 으로도 으로서 으로의 에게는 에게도 에게서 까지는 까지도 부터는 이라는 이라고 이라면 으로 에서 에게 까지 부터 처럼 같이 보다 에는 에도 이라 이나 이든 이고 인데 이면 이랑 과는 와는"
+    " 에 을 를 은 는 이 가 도 와 과 의 로 만"
+).split()
+AUTO, REVIEW = 0.85, 0.70
 
 
-@lru_cache(1 << 18)
-def _similarity(a: str, b: str) -> float:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row, before = [i] + [0] * len(b), row
-        for j, y in enumerate(b, 1):
-            row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
-    return 1 - row[-1] / max(len(a), len(b), 1)
+def _stem(c: Column, particles: list[str]) -> Column:
+    return without_particle(c, particles)
 
 
-def phonetic(text: str, rules: list[dict]) -> tuple[str, list[str]]:
-    """Windows as long as a rule's word that sound like it (by letters) become its replacement, given a hint nearby; no overlaps."""
-    applied = []
-    for r in rules:
-        n, goal = len(r["wrong"]), _letters(r["wrong"])
-        if not r["hints"] or not any(h.lower() in text.lower() for h in r["hints"]):
-            continue
-        out, i, hit = [], 0, False
-        while i < len(text):
-            w = text[i : i + n]
-            if len(w) == n and not any(c.isspace() for c in w) and w != r["correct"] and _similarity(_letters(w), goal) >= (r["confidence"] or 1.0):
-                out.append(r["correct"])
-                i, hit = i + n, True
-            else:
-                out.append(text[i])
-                i += 1
-        if hit:
-            text = "".join(out)
-            applied.append(r["id"])
-    return text, applied
-
-
-def phonetic_corrections(c: Column, rules: list[dict]) -> Column:
-    """struct(text, applied); texts without any hint skip Python."""
-    hints = sorted({h for r in rules for h in r["hints"]})
-
-    @F.pandas_udf("text string, applied array<string>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, []) if t is None else phonetic(t, rules) for t in texts], columns=["text", "applied"])
-
-    hinted = F.lower(c).rlike("|".join(rf"\Q{h.lower()}\E" for h in hints)) if hints else F.lit(False)
-    # so declared, its result stays a column of its own and isn't put into later lambdas
-    x = run.asNondeterministic()(F.when(hinted, c))
-    return F.struct(F.coalesce(x["text"], c).alias("text"), x["applied"].alias("applied"))
-
-
-def misheard(words: DataFrame, vocabulary: DataFrame, rules: DataFrame, particles: list[str], safe: list[str] = (), auto: float = 0.85, review: float = 0.70) -> DataFrame:
-    """(word, term, similarity, action) of words that may be misheard terms.
-
-    Safe words, words of rules and exact terms (also without their particle) are
-    passed over; the best candidate decides: replace from ``auto`` on, review
-    from ``review`` on, else ignore. Works on distinct words.
+def candidates(words: DataFrame, vocabulary: DataFrame, scope: str | None = None, least: float = 0.6, top: int = 3) -> DataFrame:
+    """(word, term, specialty, similarity, place): the most similar terms of each distinct word.
+
+    With a scope that the vocabulary has, its terms alone are offered; a word that finds none there is looked up among
+    all. A term of several specialties counts under the least of them.
     """
-    w = words.where(F.length("word") >= 2).select("word").distinct().withColumn("stem", without_particle(F.col("word"), particles))
-    known = vocabulary.select(F.col("term").alias("stem")).union(rules.select("wrong")).union(rules.select("correct")).where("stem is not null").distinct()
-    w = w.join(known, "stem", "left_anti").join(known.withColumnRenamed("stem", "word"), "word", "left_anti")
+    named = vocabulary.where("term is not null").select("term", "specialty")
+
+    def found(w: DataFrame, v: DataFrame) -> DataFrame:
+        of = v.groupBy("term").agg(F.min("specialty").alias("specialty"))
+        return similar_words(w, v.select("term"), least, top).join(of, "term").select("word", "term", "specialty", "similarity", "place")
+
+    if scope is None:
+        return found(words, named)
+    inside = found(words, named.where(F.col("specialty") == scope))
+    rest = words.select("word").distinct().join(inside.select("word").distinct(), "word", "left_anti")
+    return inside.unionByName(found(rest, named))
+
+
+def misheard(words: DataFrame, vocabulary: DataFrame, rules: DataFrame, particles: list[str] = PARTICLES, safe: list[str] = SAFE_WORDS, scope: str | None = None, auto: float = AUTO, review: float = REVIEW) -> DataFrame:
+    """(word, term, specialty, similarity, action) of distinct words that may be misheard terms.
+
+    Passed over, in order: safe words and words with a safe stem; words of enabled rules; exact terms, also by their
+    stem; words of which a candidate is the word itself; those that differ from the best candidate by particles only;
+    those whose best candidate is a safe word. The similarity of the best candidate decides: replace from ``auto`` on,
+    review from ``review`` on, else ignore.
+    """
+    w = words.where(F.length("word") >= 2).select("word").distinct().withColumn("stem", _stem(F.col("word"), particles))
+    if safe:
+        w = w.where(~F.col("word").isin(list(safe)) & ~F.col("stem").isin(list(safe)))
+    on = rules.where("enabled") if "enabled" in rules.columns else rules
+    known = on.select(F.col("wrong").alias("word")).union(on.select("correct")).where("word is not null").distinct()
+    terms = vocabulary.where("term is not null").select(F.col("term").alias("word")).distinct()
+    w = w.join(known, "word", "left_anti").join(terms, "word", "left_anti").join(terms.withColumnRenamed("word", "stem"), "stem", "left_anti")
+    best = candidates(w.select("word"), vocabulary.select("term", vocabulary.specialty if "specialty" in vocabulary.columns else F.lit("general").alias("specialty")), scope, top=1).drop("place")
+    if particles:
+        best = best.where(~only_particle_differs(F.col("word"), F.col("term"), list(particles)))
     if safe:
-        w = w.where(~F.col("word").isin(*safe) & ~F.col("stem").isin(*safe))
-    best = similar_words(w.select(F.col("stem").alias("word")), vocabulary, least=0.6, top=1)
-    out = w.join(best.withColumnRenamed("word", "stem"), "stem")
+        best = best.where(~F.col("term").isin(list(safe)))
     action = F.when(F.col("similarity") >= auto, "replace").when(F.col("similarity") >= review, "review").otherwise("ignore")
-    return out.select("word", "term", "similarity", action.alias("action"))
+    return best.select("word", "term", "specialty", "similarity", action.alias("action"))
 
 
-def scoped(hits: DataFrame, scope: str, bonus: float = 0.02, top: int = 3) -> DataFrame:
-    """Candidates (word, term, similarity, specialty): those of the scope weigh a little more; a word without any there keeps all others."""
-    from pyspark.sql import Window
+def scoped(hits: DataFrame, scopes: list[str], bonus: float = 0.02, top: int = 3) -> DataFrame:
+    """Of candidates (word, term, similarity, specialty) in one of the scopes the ``top`` best, those of the first scope weighing ``bonus`` more."""
+    s = F.round(F.col("similarity") + F.when(F.col("specialty") == scopes[0], bonus).otherwise(0.0), 6)
+    order = F.array_position(F.array(*map(F.lit, scopes)), F.col("specialty"))
+    w = Window.partitionBy("word").orderBy(F.desc("score"), order, "term")
+    return hits.where(F.col("specialty").isin(scopes)).withColumn("score", s).withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
 
-    s = F.least(F.col("similarity") + F.when(F.col("specialty") == scope, bonus).otherwise(0.0), F.lit(1.0))
-    w = Window.partitionBy("word").orderBy(F.desc("score"), "term", "specialty")
-    return hits.withColumn("score", F.round(s, 6)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+
+def applied(texts: DataFrame, found: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """Second tier: (key, text, logs, replaced, pending) from the words found by ``misheard``.
+
+    In the order in which words first occur, sure ones are replaced everywhere in the text, unsure ones are only
+    logged. Texts meet the distinct words, never the vocabulary. What is learned from one batch of texts serves the next.
+    """
+    of = found.where("action <> 'ignore'").select("word", "term", "similarity", "action")
+    said = texts.select(*key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit("([가-힣]{2,})"), 1)).alias("at", "word")).groupBy(*key, "word").agg(F.min("at").alias("at"))
+    hits = said.join(of, "word").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "word", "term", "similarity", "action"))).alias("__hits"))
+    x = texts.select(*key, F.col(text).alias("text")).join(hits, key, "left")
+    none = F.array().cast(CHANGES)
+    start = F.struct(F.col("text"), none.alias("logs"))
+
+    def step(acc: Column, h: Column) -> Column:
+        sure = h["action"] == "replace"
+        go = ~sure | F.contains(acc["text"], h["word"])
+        how = F.concat(F.when(sure, F.lit("auto_")).otherwise(F.lit("review_")), F.format_string("%.2f", h["similarity"]))
+        entry = F.struct(h["word"].alias("original"), h["term"].alias("corrected"), how.alias("rule"), F.when(sure, F.lit("tier2_auto")).otherwise(F.lit("tier2_review")).alias("tier"))
+        logs = F.when(go, F.concat(acc["logs"], F.array(entry))).otherwise(acc["logs"])
+        return F.struct(F.when(sure, F.replace(acc["text"], h["word"], h["term"])).otherwise(acc["text"]).alias("text"), logs.alias("logs"))
+
+    done = F.aggregate(F.coalesce("__hits", F.array().cast("array<struct<at: int, word: string, term: string, similarity: double, action: string>>")), start, step)
+    y = x.select(*key, done.alias("x")).select(*key, "x.text", "x.logs")
+    of_tier = lambda t: F.size(F.filter("logs", lambda l: l["tier"] == t))
+    return y.withColumn("replaced", of_tier("tier2_auto")).withColumn("pending", of_tier("tier2_review"))
+
+
+def corrected_in_full(texts: DataFrame, corrector: Corrector, vocabulary: DataFrame, rules: DataFrame, key: list[str], text: str = "text", scope: str | None = None) -> DataFrame:
+    """Both tiers: (key, text, logs, tier1, tier2, pending). A null text stays null, with no logs."""
+    one = cut_lineage(texts.select(*key, corrected(F.col(text), corrector).alias("x")).select(*key, "x.text", "x.logs"))
+    words = one.select(F.explode(F.regexp_extract_all("text", F.lit("([가-힣]{2,})"), 1)).alias("word")).distinct()
+    two = applied(one, misheard(words, vocabulary, rules, scope=scope), key).withColumnRenamed("logs", "logs2")
+    x = one.drop("text").join(two, key)
+    first = F.size(F.filter("logs", lambda l: l["tier"] == "tier1_dict"))
+    return x.select(*key, "text", F.concat(F.coalesce("logs", F.array().cast(CHANGES)), "logs2").alias("logs"), F.coalesce(first, F.lit(0)).alias("tier1"), F.col("replaced").alias("tier2"), "pending")
+
+
+def learned(found: DataFrame, rules: DataFrame, particles: list[str] = PARTICLES, safe: list[str] = SAFE_WORDS) -> DataFrame:
+    """New rules (wrong, correct, priority, category, notes) from sure finds, as far as they pass the gates of ``learnable``."""
+    sure = found.where("action = 'replace'")
+    new = learnable(sure.select(F.col("word").alias("wrong"), F.col("term").alias("correct")), rules, safe, particles)
+    of = sure.select(F.col("word").alias("wrong"), "specialty", "similarity")
+    return new.join(of, "wrong").select("wrong", "correct", "priority", F.col("specialty").alias("category"), F.format_string("auto (similarity %.2f, source=auto)", F.col("similarity")).alias("notes"))
 
 
 def queued(queue: DataFrame, found: DataFrame) -> DataFrame:
@@ -172,7 +204,54 @@ def best_candidates(candidates: DataFrame, model: DataFrame, group: list[str], o
     return x.groupBy(*group).agg(best.alias("b"), F.count("*").alias("candidates")).select(*group, "candidates", f"b.{order}", "b.score", "b.text")
 
 
-def looks_hallucinated(text: Column, mean_logprob: Column, banned: list[str]) -> Column:
-    """Too short, holds a banned phrase, was unlikely, or is a long list of words between commas."""
-    t = F.coalesce(F.trim(text), F.lit(""))
-    return (F.length(t) < 3) | F.exists(F.array(*map(F.lit, banned)), lambda b: F.contains(t, b)) | F.coalesce(mean_logprob < -0.9, F.lit(False)) | (F.size(F.split(t, ",")) > 8)
+# Broken terms, words one of which must be near, and what they may stand for; with ``head`` near, one of
+# ``needs`` decides for the first candidate. The second rule of each dialogue is applied to what the first one made.
+GLOSSARY_RULES = [
+    {"pattern": r"당월\s*섭스", "anchors": ["혈당", "당뇨", "공복", "식후", "췌장", "인슐린", "주사", "펜", "단위", "당화", "혈색소", "혈색"], "candidates": ["당화혈색소"], "head": None, "needs": []},
+    {"pattern": "이슈주의", "anchors": ["인슐린", "주사", "펜", "단위", "혈당", "공복", "식후", "췌장"], "candidates": ["인슐린 주사", "인슐린 펜", "인슐린"], "head": "인슐린", "needs": ["주사", "펜", "단위"]},
+]
+
+
+def glossary_corrected(text: Column, near: Column, rules: list[dict] = GLOSSARY_RULES) -> Column:
+    """The first match of each rule's pattern replaced where one of its anchors is near.
+
+    The longest candidate that is mentioned near is taken, else by the head word, else the first one.
+    """
+
+    def any_of(words: list[str]) -> Column:
+        found = F.lit(False)
+        for w in words:
+            found = found | F.contains(near, F.lit(w))
+        return found
+
+    for r in rules:
+        pick = F.when(F.lit(False), F.lit(None).cast("string"))
+        for c in sorted(r["candidates"], key=len, reverse=True):
+            pick = pick.when(F.contains(near, F.lit(c)), c)
+        if r["head"]:
+            pick = pick.when(any_of(r["needs"]) & F.contains(near, F.lit(r["head"])), r["candidates"][0]).when(F.contains(near, F.lit(r["head"])), r["head"])
+        pick = pick.otherwise(r["candidates"][0])
+        at = F.regexp_instr(text, F.lit(r["pattern"]))
+        rest = F.substring(text, at + F.length(F.regexp_extract(text, r["pattern"], 0)), F.length(text))
+        text = F.when(any_of(r["anchors"]) & (at > 0), F.concat(F.substring(text, F.lit(1), at - 1), pick, rest)).otherwise(text)
+    return text
+
+
+# What recognition says in silence.
+BANNED = ["시청해", "구독", "좋아요", "알림 설정", "자막", "유튜브"]
+
+
+def looks_hallucinated(text: Column, other: Column, mean_logprob: Column, no_speech: Column, banned: list[str] = BANNED) -> Column:
+    """Whether a second recognition of a piece of speech is made up, beside the first one (``other``).
+
+    Fewer than three characters; a banned phrase; a mean log probability under -0.9; likely silence and fewer than 50
+    characters; a short list of short words between commas unlike the first; nothing in common with a first one of six
+    characters or more.
+    """
+    t, o = F.coalesce(F.trim(text), F.lit("")), F.coalesce(F.trim(other), F.lit(""))
+    parts = F.filter(F.transform(F.split(t, ","), lambda p: F.trim(p)), lambda p: p != "")
+    alike = char_jaccard(o, t)
+    listed = (F.size(parts) >= 3) & (F.length(t) <= 48) & F.forall(parts, lambda p: F.length(p).between(2, 14)) & ((o == "") | (alike < 0.2))
+    apart = (F.length(o) >= 6) & (alike < 0.06) & (F.length(t) >= 8)
+    unlikely = F.coalesce(mean_logprob < -0.9, F.lit(False)) | (F.coalesce(no_speech > 0.5, F.lit(False)) & (F.length(t) < 50))
+    return (F.length(t) < 3) | F.exists(F.array(*map(F.lit, banned)), lambda b: F.contains(t, b)) | unlikely | listed | apart

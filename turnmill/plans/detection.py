@@ -1,21 +1,15 @@
-"""Queries of cleaning pipelines, detection, language model scores and role decisions."""
+"""Queries of context glossaries and unseen word pairs."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnmill.functions import cleaning as C
-from turnmill.functions import metrics as M
-from turnmill.functions import text as T
 from turnmill.operators import detection as D
-from turnmill.operators import rules
 from turnmill.operators import sequences as S
-from turnmill.plans.reports import RUNS_SQL
 from turnmill.plans.sequences import SEGMENTS_SQL, segments
-from turnmill.session import spread, table
+from turnmill.session import table
 
 QUERIES, ORACLES = {}, {}
-PARTICLES = ["에서", "까지", "부터", "이나", "으로", "은", "는", "이", "가", "을", "를", "의", "에", "로", "도", "만"]
 
 
 def query(name, sql=None):
@@ -32,85 +26,27 @@ def _said(s, d):
     return segments(s, d).where("text is not null")
 
 
-@query("t5_without_sequences", f"WITH {SEGMENTS_SQL}, t AS (SELECT file_id, seq, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?:\\d{{1,2}}월[\\s,]*){{3,}}', ' ', 'g'), '(?:\\d+[\\s,]+){{5,}}\\d+', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS t FROM seg WHERE text IS NOT NULL) SELECT file_id, seq, CASE WHEN length(t) < 2 THEN '' ELSE t END AS text FROM t")
-def _(s, d):
-    return _said(s, d).select("file_id", "seq", C.without_sequences(F.col("text")).alias("text"))
-
-
-@query("t7_spoken_numbers")
-def _(s, d):
-    return _said(s, d).select("file_id", "seq", C.spoken_numbers(F.col("text")).alias("text"))
-
-
-@query("t15_question_marks")
-def _(s, d):
-    return _said(s, d).select("file_id", "seq", C.question_marks(F.col("text")).alias("text"))
-
-
-@query("t16_context", f"WITH {SEGMENTS_SQL} SELECT file_id, seq, CASE WHEN regexp_matches(text, '숨|혈압') THEN regexp_replace(text, '심장(내과)?', '심장내과', 'g') ELSE text END AS text FROM seg WHERE text IS NOT NULL")
-def _(s, d):
-    return _said(s, d).select("file_id", "seq", C.in_context(F.col("text"), [("숨|혈압", "심장(내과)?", "심장내과")]).alias("text"))
-
-
-@query("t18_polished")
-def _(s, d):
-    e = table(s, d, "medical_dict_entries")
-    found = lambda strategy: sorted(rules.ordered_rules(e, [strategy]), key=lambda r: r["id"])
-    regex, exact, phonetic = found("regex"), rules.ordered_rules(e, ["exact"]), found("phonetic")
-    dictionary = [lambda c: rules.patterns(c, regex), lambda c: rules.exact(c, exact)["text"], lambda c: D.phonetic_corrections(c, phonetic)["text"]]
-    rows = _said(s, d).select("file_id", "seq", "text")
-    # a column for each stage, as an expression of all would repeat the inner ones many times
-    for stage in C.stages(dictionary=dictionary):
-        rows = rows.withColumn("text", stage(F.col("text")))
-    return rows
-
-
-@query("t23_glossary_first")
-def _(s, d):
-    near = S.context(segments(s, d), 3, 3).withColumnRenamed("context", "near")
-    both = _said(s, d).join(near, ["file_id", "seq"])
-    return both.select("file_id", "seq", F.when(F.col("near").contains("혈압"), C.first_only(F.col("text"), "수치", "혈압 수치")).otherwise(F.col("text")).alias("text"))
-
-
-@query("t25_fences")
-def _(s, d):
-    return table(s, d, "documents").where("text is not null").select("doc_id", F.length(C.without_fences(F.col("text"))).alias("n"))
-
+_WINDOW = f"""WITH {SEGMENTS_SQL}, t AS (SELECT file_id, seq, text, nullif(trim(text, ' '), '') AS x FROM seg), win AS (SELECT file_id, seq, text, coalesce(string_agg(x, ' ') OVER (PARTITION BY file_id ORDER BY seq ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), '') AS win FROM t)"""
 
-@query("c5_phonetic_rules")
-def _(s, d):
-    r = rules.ordered_rules(table(s, d, "medical_dict_entries"), ["phonetic"])
-    x = table(s, d, "seastar105_result_no_prompt").where("hypothesis is not null").select("result_id", D.phonetic_corrections(F.col("hypothesis"), r).alias("x"))
-    return x.select("result_id", "x.text", "x.applied")
-
-
-def _vocabulary(s, d):
-    return table(s, d, "medical_dict_entries").where("correct is not null").select(F.col("correct").alias("term"), F.col("category").alias("specialty")).distinct()
-
-
-def _words(s, d):
-    return table(s, d, "seastar105_result_no_prompt").select(F.explode(F.regexp_extract_all("hypothesis", F.lit("([가-힣]{2,})"), 1)).alias("word")).distinct()
 
+def _has(c, words):
+    return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
 
-@query("c8_misheard_words")
-def _(s, d):
-    return D.misheard(_words(s, d), _vocabulary(s, d).select("term"), table(s, d, "medical_dict_entries"), PARTICLES)
-
-
-@query("j4_scoped_candidates")
-def _(s, d):
-    from turnmill.operators.joins import similar_words
 
-    hits = similar_words(table(s, d, "medical_dict_entries").select(F.col("wrong").alias("word")), _vocabulary(s, d).select("term"), top=10).drop("place")
-    return D.scoped(hits.join(_vocabulary(s, d), "term"), "약물").select("word", "term", "specialty", "score", "place")
+def _glossary_sql():
+    out = "text"
+    for r in D.GLOSSARY_RULES:
+        longest = sorted(r["candidates"], key=len, reverse=True)
+        pick = "CASE " + " ".join(f"WHEN contains(win, '{c}') THEN '{c}'" for c in longest) + " " + (f"WHEN {_has('win', r['needs'])} AND contains(win, '{r['head']}') THEN '{r['candidates'][0]}' WHEN contains(win, '{r['head']}') THEN '{r['head']}'" if r["head"] else "") + f" ELSE '{r['candidates'][0]}' END"
+        out = f"CASE WHEN {_has('win', r['anchors'])} THEN regexp_replace({out}, '{r['pattern']}', {pick}) ELSE {out} END"
+    return out
 
 
-@query("c11_review_queue")
+@query("t23_glossary_first", f"{_WINDOW} SELECT file_id, seq, {_glossary_sql()} AS text FROM win WHERE trim(text, ' ') <> ''")
 def _(s, d):
-    found = QUERIES["c8_misheard_words"](s, d)
-    empty = found.limit(0).select("word", "term", "similarity", F.lit("pending").alias("status"))
-    queue = D.queued(empty, found)
-    return D.decided(queue, queue.where("similarity >= 0.8").withColumn("status", F.lit("approved")))
+    near = S.context(segments(s, d).withColumn("text", F.nullif(F.trim("text"), F.lit(""))), 3, 3, own=True).withColumnRenamed("context", "near")
+    both = _said(s, d).where("trim(text) <> ''").join(near, ["file_id", "seq"])
+    return both.select("file_id", "seq", D.glossary_corrected(F.col("text"), F.col("near")).alias("text"))
 
 
 _W = "list_filter(string_split({}, ' '), lambda x: x <> '')"
@@ -122,22 +58,3 @@ SELECT DISTINCT result_id, a, b FROM hp WHERE a IN (SELECT a FROM k) AND NOT EXI
 def _(s, d):
     texts = table(s, d, "seastar105_result_no_prompt").select("result_id", F.col("hypothesis").alias("text"))
     return D.unseen_pairs(texts, table(s, d, "jangmin_result_no_prompt").select(F.col("reference").alias("text")), ["result_id"])
-
-
-@query("m18_hallucinated")
-def _(s, d):
-    return segments(s, d).select("file_id", "seq", D.looks_hallucinated(F.col("text"), F.col("confidence") - 1, ["시청해 주셔서", "구독"]).alias("hallucinated")).where("hallucinated")
-
-
-@query("ag17_strategy_scores", f"WITH {RUNS_SQL}, p AS (SELECT a.source, b.cer - a.cer AS d FROM jangmin_result_no_prompt a JOIN seastar105_result_no_prompt b USING (run_id, type) WHERE a.cer IS NOT NULL AND b.cer IS NOT NULL) SELECT source, count_if(d < -1) AS improved, count_if(d > 1) AS worsened, count_if(d BETWEEN -1 AND 1) AS neutral, count_if(d < -1) - count_if(d > 1) AS net FROM p GROUP BY source")
-def _(s, d):
-    a = table(s, d, "jangmin_result_no_prompt").select("run_id", "type", "source", F.col("cer").alias("x"))
-    b = table(s, d, "seastar105_result_no_prompt").select("run_id", "type", F.col("cer").alias("y"))
-    p = a.join(b, ["run_id", "type"]).where("x is not null and y is not null").withColumn("d", F.col("y") - F.col("x"))
-    up, down = F.count_if(F.col("d") < -1), F.count_if(F.col("d") > 1)
-    return p.groupBy("source").agg(up.alias("improved"), down.alias("worsened"), F.count_if(F.col("d").between(-1, 1)).alias("neutral"), (up - down).alias("net"))
-
-
-@query("pf10_settled_reviews")
-def _(s, d):
-    return QUERIES["c11_review_queue"](s, d).where("status <> 'pending'").select("word", "term", "status")

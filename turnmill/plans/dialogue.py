@@ -61,48 +61,11 @@ def _(s, d):
     return table(s, d, "medical_dict_entries").select("id", T.jamo(F.col("wrong")).alias("letters"))
 
 
-@query("m12_jamo_similarity")
-def _(s, d):
-    return table(s, d, "medical_dict_entries").select("id", F.round(T.jamo_similarity(F.col("wrong"), F.col("correct")), 6).alias("similarity"))
-
-
-@query("t6_marks_removed", f"WITH {SEGMENTS_SQL} SELECT file_id, seq, trim(regexp_replace(regexp_replace(regexp_replace(text, '[\\[(<{{*【]\\s*(?:웃음|기침|한숨|noise|filler)\\s*[\\])>}}*】]', ' ', 'g'), '[♩♪♫♬]+', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS text FROM seg WHERE text IS NOT NULL")
-def _(s, d):
-    return segments(s, d).where("text is not null").select("file_id", "seq", T.sound_marks_removed(F.col("text"), ["웃음", "기침", "한숨", "noise", "filler"]).alias("text"))
-
-
-@query("t13_punctuation")
-def _(s, d):
-    return segments(s, d).where("text is not null").select("file_id", "seq", T.spaced_punctuation(F.col("text")).alias("text"))
-
-
-@query("t3_repeats_collapsed")
-def _(s, d):
-    return segments(s, d).where("text is not null").select("file_id", "seq", T.without_repeated_sentences(T.collapsed_repeats(F.col("text"))).alias("text"))
-
-
-@query("t8_sino_numbers")
-def _(s, d):
-    words = segments(s, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"([일이삼사오육칠팔구십백천만]+)(?= (?:분|번|시|일))"), 1)).alias("word")).distinct()
-    return words.select("word", T.sino_number(F.col("word")).alias("value"))
-
-
-@query("t20_without_particles", "SELECT DISTINCT word, CASE WHEN ends_with(word, '에서') AND length(word) > 3 THEN left(word, length(word) - 2) WHEN ends_with(word, '까지') AND length(word) > 3 THEN left(word, length(word) - 2) WHEN ends_with(word, '은') AND length(word) > 2 THEN left(word, length(word) - 1) WHEN ends_with(word, '는') AND length(word) > 2 THEN left(word, length(word) - 1) WHEN ends_with(word, '을') AND length(word) > 2 THEN left(word, length(word) - 1) WHEN ends_with(word, '를') AND length(word) > 2 THEN left(word, length(word) - 1) ELSE word END AS stem FROM (SELECT unnest(regexp_extract_all(text, '[가-힣]{2,}')) AS word FROM transcribe_segments)")
-def _(s, d):
-    w = table(s, d, "transcribe_segments").select(F.explode(F.regexp_extract_all("text", F.lit("([가-힣]{2,})"), 1)).alias("word")).distinct()
-    return w.select("word", T.without_particle(F.col("word"), ["에서", "까지", "은", "는", "을", "를"]).alias("stem"))
-
-
 @query("t22_medical_terms", f"WITH {SEGMENTS_SQL} SELECT term, count(*) AS times FROM (SELECT unnest(regexp_extract_all(text, '[가-힣]+(?:캡슐|시럽|연고|내시경|초음파)')) AS term FROM seg) GROUP BY term")
 def _(s, d):
     return segments(s, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"([가-힣]+(?:캡슐|시럽|연고|내시경|초음파))"), 1)).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
 
 
-@query("t24_sanitised", f"WITH {SEGMENTS_SQL} SELECT file_id, seq, left(replace(text, chr(0), ''), 60) || CASE WHEN length(text) > 60 THEN '...' ELSE '' END AS text FROM seg WHERE text IS NOT NULL")
-def _(s, d):
-    return segments(s, d).where("text is not null").select("file_id", "seq", C.sanitised(F.col("text")).alias("text"))
-
-
 @query("t26_word_positions", f"WITH {SEGMENTS_SQL}, w AS (SELECT file_id, seq, regexp_extract_all(text, '[가-힣]{{2,}}') AS w FROM seg), p AS (SELECT file_id, seq, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place FROM w) SELECT file_id, seq, word, min(place) AS place FROM p GROUP BY file_id, seq, word")
 def _(s, d):
     w = segments(s, d).select("file_id", "seq", F.posexplode(F.regexp_extract_all("text", F.lit("([가-힣]{2,})"), 1)).alias("place", "word"))
@@ -116,25 +79,6 @@ def _entries(s, d):
     return table(s, d, "medical_dict_entries")
 
 
-@query("c2_exact_rules")
-def _(s, d):
-    r = rules.ordered_rules(_entries(s, d), ["exact", "phonetic", "regex"])
-    x = table(s, d, "seastar105_result_no_prompt").where("hypothesis is not null").select("result_id", rules.exact(F.col("hypothesis"), r).alias("x"))
-    return x.select("result_id", "x.text", "x.applied")
-
-
-@query("c4_regex_rules")
-def _(s, d):
-    r = rules.ordered_rules(_entries(s, d), ["regex"])
-    return segments(s, d).where("text is not null").select("file_id", "seq", rules.patterns(F.col("text"), r).alias("text"))
-
-
-@query("c13_rule_matches", "SELECT result_id, (SELECT count(*) FROM medical_dict_entries e WHERE e.enabled AND contains(hypothesis, e.wrong) AND (len(e.context_hint) = 0 OR e.context_hint IS NULL OR len(list_filter(e.context_hint, lambda h: contains(lower(hypothesis), lower(h)))) > 0)) AS rules FROM seastar105_result_no_prompt WHERE hypothesis IS NOT NULL")
-def _(s, d):
-    r = rules.ordered_rules(_entries(s, d), ["exact", "phonetic", "regex"])
-    return table(s, d, "seastar105_result_no_prompt").where("hypothesis is not null").select("result_id", rules.matches(F.col("hypothesis"), r).cast("bigint").alias("rules"))
-
-
 @query("c12_rule_upsert", "SELECT id, wrong, correct, CASE WHEN priority < 60 THEN 60 ELSE priority END AS priority FROM medical_dict_entries")
 def _(s, d):
     e = _entries(s, d).select("id", "wrong", "correct", "priority")
@@ -142,14 +86,6 @@ def _(s, d):
     return rules.upserted(e, changes)
 
 
-@query("c10_learnable", "SELECT wrong, any_value(correct) AS correct, 50 + length(wrong) AS priority FROM (SELECT correct AS wrong, wrong AS correct FROM medical_dict_entries WHERE correct IS NOT NULL AND wrong IS NOT NULL AND correct <> wrong AND NOT ((contains(correct, wrong) OR contains(wrong, correct)) AND abs(length(wrong) - length(correct)) <= 2)) c WHERE wrong NOT IN (SELECT wrong FROM medical_dict_entries WHERE wrong IS NOT NULL) GROUP BY wrong HAVING count(DISTINCT correct) = 1")
-def _(s, d):
-    e = _entries(s, d)
-    swapped = e.where("wrong is not null and correct is not null").select(F.col("correct").alias("wrong"), F.col("wrong").alias("correct"))
-    single = swapped.groupBy("wrong").agg(F.count_distinct("correct").alias("n"), F.min("correct").alias("correct")).where("n = 1").select("wrong", "correct")
-    return rules.learnable(single, e)
-
-
 # folds -------------------------------------------------------------------
 
 # One step a segment in the order of a file: the last kept one is carried, and every one kept opens a slot whose last holder stays.

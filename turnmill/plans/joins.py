@@ -26,23 +26,12 @@ def _words(s, d):
     return e.where("wrong is not null").select(F.col("wrong").alias("word")), e.where("correct is not null").select(F.col("correct").alias("term"))
 
 
-def j2(s, d):
-    words, terms = _words(s, d)
-    return J.similar_words(words, terms)
-
-
 def j5_anti(s, d):
     words, terms = _words(s, d)
     said = table(s, d, "transcribe_segments").select(F.explode(F.regexp_extract_all("text", F.lit(r"([가-힣]{2,})"), 1)).alias("word")).distinct()
     return said.join(terms.withColumnRenamed("term", "word"), "word", "left_anti").join(words, "word", "left_anti")
 
 
-def j5_semi(s, d):
-    words, _ = _words(s, d)
-    said = table(s, d, "seastar105_result_no_prompt").select(F.explode(F.regexp_extract_all("hypothesis", F.lit(r"([가-힣]{2,})"), 1)).alias("word")).groupBy("word").agg(F.count("*").alias("times"))
-    return said.join(words, "word", "left_semi")
-
-
 def _results(s, d, m):
     t = table(s, d, f"{m}_result_no_prompt")
     return t.groupBy("run_id", "type").agg(F.min_by("cer", "result_id").alias("cer"), F.min_by("hypothesis", "result_id").alias("hypothesis"))
@@ -109,9 +98,7 @@ def so5(s, d):
 
 QUERIES = {
     "j1_interval_speaker": j1,
-    "j2_similar_words": j2,
     "j5_unknown_words": j5_anti,
-    "j5_known_wrong_words": j5_semi,
     "j6_first_match": j6,
     "j7_zipped": j7,
     "j9_compared_runs": j9,
@@ -138,7 +125,6 @@ ORACLES = {
  x AS (SELECT * FROM p WHERE stab OR overlap >= 0.05 QUALIFY row_number() OVER (PARTITION BY file_id, seq ORDER BY stab DESC, CASE WHEN stab THEN 0.0 ELSE -overlap END, ord) = 1)
 SELECT a.file_id, a.seq, x.speaker FROM a LEFT JOIN x ON a.file_id = x.file_id AND a.seq = x.seq""",
     "j5_unknown_words": f"WITH {_SAID} SELECT DISTINCT word FROM said WHERE word NOT IN (SELECT correct FROM medical_dict_entries WHERE correct IS NOT NULL) AND word NOT IN (SELECT wrong FROM medical_dict_entries WHERE wrong IS NOT NULL)",
-    "j5_known_wrong_words": "WITH said AS (SELECT unnest(regexp_extract_all(hypothesis, '[가-힣]{2,}')) AS word FROM seastar105_result_no_prompt) SELECT word, count(*) AS times FROM said WHERE word IN (SELECT wrong FROM medical_dict_entries) GROUP BY word",
     "j6_first_match": """WITH f AS (SELECT run_id, type, arg_min_null(cer, result_id) AS right_cer, arg_min_null(source, result_id) AS right_source FROM jangmin_result_no_prompt GROUP BY run_id, type)
 SELECT s.run_id, s.type, s.result_id, s.cer, right_cer, right_source, right_cer IS NULL AS missing FROM seastar105_result_no_prompt s LEFT JOIN f USING (run_id, type)""",
     "j7_zipped": f"""WITH {_RES} SELECT coalesce(a.run_id, b.run_id) AS run_id, coalesce(a.type, b.type) AS type, coalesce(a.hypothesis, '[none]') AS left_value, coalesce(b.hypothesis, '[none]') AS right_value,
