@@ -70,7 +70,7 @@ def test_t18_has_all_stages(spark, tmp_path):
         ("...", ""),
         ("가누졸젱 두 알 드세요", "가누졸정 2알 드세요?"),
         ("두통에 쌈전도를 보죠", "두통에 심전도를 보죠."),
-        ("씨티이 찍어요", "CT 찍어요."),
+        ("씨티이 찍어요", "CT 찍어요?"),
         ("소변에서 심장 기능이 나빠요", "소변에서 신장 기능이 나빠요."),
         ("진로 의뢰서요", "진료 의뢰서요."),
         ("13월부터. 14월부터. 약을 드세요", "약을 드세요?"),

@@ -170,11 +170,10 @@ def without_hesitation(text: str, log: Log, keep: bool = False) -> str:
     return text.strip()
 
 
-def sino(word: str, strict: bool = False) -> int | None:
+def sino(word: str, strict: bool = True) -> int | None:
     """A Sino-Korean numeral as a number; null for an unknown sign, for zero and for nothing.
 
-    By default a bare 만 behind tens adds a one before it multiplies (십만 is 110000), as users of these rules have it;
-    ``strict`` gives the numeral its value.
+    Not ``strict``, a bare 만 behind tens adds a one before it multiplies (십만 is 110000), as some users of these rules have it.
     """
     total = held = 0
     for c in word.replace(" ", ""):

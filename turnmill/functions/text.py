@@ -154,7 +154,8 @@ def sino_number(c: Column) -> Column:
     def step(acc: Column, ch: Column) -> Column:
         d, u = digit[ch], unit[ch]
         held = F.when(acc["held"] == 0, F.lit(1).cast("bigint")).otherwise(acc["held"])
-        total = F.when(u == 10000, (acc["total"] + held) * 10000).when(u.isNotNull(), acc["total"] + held * u).otherwise(acc["total"])
+        ten_thousands = acc["total"] + F.when((acc["held"] == 0) & (acc["total"] > 0), F.lit(0).cast("bigint")).otherwise(held)
+        total = F.when(u == 10000, ten_thousands * 10000).when(u.isNotNull(), acc["total"] + held * u).otherwise(acc["total"])
         return F.struct(total.cast("bigint").alias("total"), F.coalesce(d, F.lit(0)).cast("bigint").alias("held"), (acc["ok"] & (d.isNotNull() | u.isNotNull())).alias("ok"))
 
     done = F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), start, step)

@@ -125,7 +125,7 @@ _NUMERAL = "regexp_extract_all(text, '([영일이삼사오육칠팔구십백천
 
 @query("t8_sino_numbers", f"""WITH {SEGMENTS_SQL}, w AS (SELECT DISTINCT unnest({_NUMERAL}) AS word FROM seg),
  f AS (SELECT word, list_reduce(list_transform(string_split(word, ''), lambda c: struct_pack(c := c, total := 0::BIGINT, held := 0::BIGINT)), lambda a, r: struct_pack(c := r.c,
-  total := CASE r.c WHEN '만' THEN (a.total + greatest(a.held, 1)) * 10000 WHEN '천' THEN a.total + greatest(a.held, 1) * 1000 WHEN '백' THEN a.total + greatest(a.held, 1) * 100 WHEN '십' THEN a.total + greatest(a.held, 1) * 10 ELSE a.total END,
+  total := CASE r.c WHEN '만' THEN (a.total + CASE WHEN a.held = 0 AND a.total > 0 THEN 0 ELSE greatest(a.held, 1) END) * 10000 WHEN '천' THEN a.total + greatest(a.held, 1) * 1000 WHEN '백' THEN a.total + greatest(a.held, 1) * 100 WHEN '십' THEN a.total + greatest(a.held, 1) * 10 ELSE a.total END,
   held := CAST(greatest(strpos('영일이삼사오육칠팔구', r.c) - 1, 0) AS BIGINT)), struct_pack(c := '', total := 0::BIGINT, held := 0::BIGINT)) AS f FROM w)
 SELECT word, nullif(f.total + f.held, 0) AS value FROM f""")
 def _(s, d):

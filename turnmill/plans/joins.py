@@ -119,11 +119,12 @@ _SAID = "said AS (SELECT unnest(regexp_extract_all(text, '[가-힣]{2,}')) AS wo
 _CHARS = "list_distinct(list_filter(string_split(regexp_replace({}, '\\s', '', 'g'), ''), lambda x: x <> ''))"
 
 ORACLES = {
-    "j1_interval_speaker": f"""WITH {SEGMENTS_SQL}, a AS (SELECT * FROM seg WHERE seq % 2 = 0), t AS (SELECT * FROM seg WHERE seq % 2 = 1 AND "start" <= "end"),
- p AS (SELECT a.file_id, a.seq, t.seq AS ord, t.speaker, (a."start" + a."end") / 2 BETWEEN t."start" AND t."end" AS stab, least(a."end", t."end") - greatest(a."start", t."start") AS overlap
-  FROM a JOIN t ON a.file_id = t.file_id AND a."start" <= a."end" AND t."start" <= a."end" AND t."end" >= a."start"),
+    "j1_interval_speaker": f"""WITH {SEGMENTS_SQL}, n AS (SELECT *, CASE WHEN lag("end") OVER w IS NOT NULL AND speaker IS NOT DISTINCT FROM lag(speaker) OVER w AND "start" - lag("end") OVER w < 0.2 THEN 0 ELSE 1 END AS fresh FROM seg WINDOW w AS (PARTITION BY file_id ORDER BY seq)),
+ i AS (SELECT *, sum(fresh) OVER (PARTITION BY file_id ORDER BY seq) AS island FROM n), m AS (SELECT file_id, min(seq) AS ord, first(speaker ORDER BY seq) AS speaker, first("start" ORDER BY seq) AS "start", last("end" ORDER BY seq) AS "end" FROM i GROUP BY file_id, island), t AS (SELECT * FROM m WHERE "start" <= "end"),
+ p AS (SELECT a.file_id, a.seq, t.ord, t.speaker, (a."start" + a."end") / 2 BETWEEN t."start" AND t."end" AS stab, least(a."end", t."end") - greatest(a."start", t."start") AS overlap
+  FROM seg a JOIN t ON a.file_id = t.file_id AND a."start" <= a."end" AND t."start" <= a."end" AND t."end" >= a."start"),
  x AS (SELECT * FROM p WHERE stab OR overlap >= 0.05 QUALIFY row_number() OVER (PARTITION BY file_id, seq ORDER BY stab DESC, CASE WHEN stab THEN 0.0 ELSE -overlap END, ord) = 1)
-SELECT a.file_id, a.seq, x.speaker FROM a LEFT JOIN x ON a.file_id = x.file_id AND a.seq = x.seq""",
+SELECT a.file_id, a.seq, x.speaker FROM seg a LEFT JOIN x ON a.file_id = x.file_id AND a.seq = x.seq""",
     "j5_unknown_words": f"WITH {_SAID} SELECT DISTINCT word FROM said WHERE word NOT IN (SELECT correct FROM medical_dict_entries WHERE correct IS NOT NULL) AND word NOT IN (SELECT wrong FROM medical_dict_entries WHERE wrong IS NOT NULL)",
     "j6_first_match": """WITH f AS (SELECT run_id, type, arg_min_null(cer, result_id) AS right_cer, arg_min_null(source, result_id) AS right_source FROM jangmin_result_no_prompt GROUP BY run_id, type)
 SELECT s.run_id, s.type, s.result_id, s.cer, right_cer, right_source, right_cer IS NULL AS missing FROM seastar105_result_no_prompt s LEFT JOIN f USING (run_id, type)""",

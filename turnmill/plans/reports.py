@@ -95,9 +95,14 @@ def _(s, d):
     return segments(s, d).groupBy(M.confidence_level(F.col("confidence")).alias("level")).agg(F.count("*").alias("segments"))
 
 
-@query("pf12_without_segments", "SELECT r.file_id FROM recordings r WHERE NOT EXISTS (SELECT 1 FROM transcribe_segments t WHERE t.file_id = r.file_id AND t.speaker = 'RN')")
+@query("pf12_without_reference", "SELECT file_id, type_num FROM recordings r WHERE NOT EXISTS (SELECT 1 FROM jangmin_result_no_prompt t WHERE t.type = r.type_num AND trim(t.reference, ' ') <> '')")
 def _(s, d):
-    return table(s, d, "recordings").join(table(s, d, "transcribe_segments").where("speaker = 'RN'").select("file_id"), "file_id", "left_anti").select("file_id")
+    """Recordings that no reference text belongs to, those of unknown type among them."""
+    known = table(s, d, "jangmin_result_no_prompt").where("trim(reference) <> ''").select(F.col("type").alias("type_num")).distinct()
+    return table(s, d, "recordings").select("file_id", "type_num").join(known, "type_num", "left_anti").select("file_id", "type_num")
+
+
+
 
 
 @query("pf14_truncation_flag", f"WITH {RUNS_SQL} SELECT result_id, round(hyp_len / ref_len, 4) AS length_ratio, hyp_len / ref_len < 0.5 AND ref_len > 50 AS short FROM runs WHERE ref_len > 0 AND hyp_len IS NOT NULL")
@@ -119,12 +124,13 @@ def _(s, d):
     return rules(s, d).groupBy("category", "strategy").agg(F.count("*").alias("rules"), F.count_if("enabled").alias("enabled"), F.count_if(~F.col("enabled")).alias("disabled"))
 
 
-@query("ag3_learning_stats", "SELECT count(*) AS total, count_if(contains(notes, 'source=auto')) AS auto, count_if(contains(notes, 'llm')) AS llm, count(*) - count_if(contains(notes, 'source=auto')) - count_if(contains(notes, 'llm')) AS manual FROM medical_dict_entries")
+@query("ag3_learning_stats", "SELECT count(*) AS total, CAST(count_if(contains(notes, 'source=auto')) AS BIGINT) AS auto, CAST(count_if(contains(lower(notes), 'llm')) AS BIGINT) AS llm, CAST(count(*) - count_if(contains(notes, 'source=auto')) - count_if(contains(lower(notes), 'llm')) AS BIGINT) AS manual FROM medical_dict_entries")
 def _(s, d):
-    auto, llm = F.count_if(F.contains("notes", F.lit("source=auto"))), F.count_if(F.contains("notes", F.lit("llm")))
+    auto, llm = F.count_if(F.contains("notes", F.lit("source=auto"))), F.count_if(F.contains(F.lower("notes"), F.lit("llm")))
     return rules(s, d).agg(F.count("*").alias("total"), auto.alias("auto"), llm.alias("llm"), (F.count("*") - auto - llm).alias("manual"))
 
 
+
 @query("ag4_macro_average", f"WITH {RUNS_SQL} SELECT model_key, round(avg(cer), 2) AS avg_cer, count(cer) AS evaluated, count(*) - count(cer) AS failed FROM runs GROUP BY model_key")
 def _(s, d):
     return _runs(s, d).groupBy("model_key").agg(F.round(F.avg("cer"), 2).alias("avg_cer"), F.count("cer").alias("evaluated"), (F.count("*") - F.count("cer")).alias("failed"))
@@ -151,15 +157,6 @@ def _(s, d):
     return t.groupBy("file_id", "speaker").agg(F.count("*").alias("segments"), F.sum("n").alias("characters"), F.round(F.avg("n"), 4).alias("avg_length"), F.round(F.avg(short), 4).alias("short_share"))
 
 
-@query("ag11_role_share", f"""WITH {SEGMENTS_SQL}, r AS (SELECT file_id, count(*) AS segments, count_if(speaker LIKE '%의사%' OR speaker LIKE '%원장%') AS doctors, count_if(confidence < 0.5) AS low FROM seg GROUP BY file_id)
-SELECT file_id, segments, round(doctors / segments, 4) AS doctor_share, doctors / segments < 0.25 OR doctors / segments > 0.75 AS imbalanced, round(low / segments, 4) AS low_share FROM r""")
-def _(s, d):
-    doctor = F.col("speaker").like("%의사%") | F.col("speaker").like("%원장%")
-    r = segments(s, d).groupBy("file_id").agg(F.count("*").alias("segments"), F.count_if(doctor).alias("doctors"), F.count_if(F.col("confidence") < 0.5).alias("low"))
-    share = F.col("doctors") / F.col("segments")
-    return r.select("file_id", "segments", F.round(share, 4).alias("doctor_share"), ((share < 0.25) | (share > 0.75)).alias("imbalanced"), F.round(F.col("low") / F.col("segments"), 4).alias("low_share"))
-
-
 _SPECIALTY = {"heart": ["혈압", "심전도", "숨"], "digestion": ["복통", "위내시경", "설사"], "bone": ["무릎", "허리", "어깨"]}
 
 
@@ -205,14 +202,6 @@ def _(s, d):
     return _runs(s, d).groupBy("type", "source").agg(F.min("elapsed_s").alias("least"), F.max("elapsed_s").alias("most"), F.round(F.avg("elapsed_s"), 4).alias("mean"), F.round(F.sum("elapsed_s"), 2).alias("total"))
 
 
-@query("ag18_length_bins", f"""WITH {SEGMENTS_SQL} SELECT CASE WHEN length(text) < 5 THEN '0-4' WHEN length(text) < 15 THEN '5-14' WHEN length(text) < 40 THEN '15-39' WHEN length(text) < 80 THEN '40-79' ELSE '80-' END AS bin, count(*) AS segments,
- count_if(confidence IS NULL OR confidence = 0) AS unknown, count(DISTINCT file_id) AS files FROM seg WHERE text IS NOT NULL GROUP BY 1""")
-def _(s, d):
-    n = F.length("text")
-    b = F.when(n < 5, "0-4").when(n < 15, "5-14").when(n < 40, "15-39").when(n < 80, "40-79").otherwise("80-")
-    return segments(s, d).where("text is not null").groupBy(b.alias("bin")).agg(F.count("*").alias("segments"), F.count_if(F.col("confidence").isNull() | (F.col("confidence") == 0)).alias("unknown"), F.count_distinct("file_id").alias("files"))
-
-
 @query("ag19_best_run", f"WITH {RUNS_SQL} SELECT type, arg_min(result_id, (cer, result_id)) AS result_id, min(cer) AS cer FROM runs WHERE cer IS NOT NULL AND type IS NOT NULL GROUP BY type")
 def _(s, d):
     best = F.min(F.struct("cer", "result_id"))
@@ -281,7 +270,7 @@ def _(s, d):
     return rules(s, d).where("enabled").select("id", F.row_number().over(Window.orderBy(F.desc("priority"), F.desc(F.length("wrong")), "id")).alias("place"))
 
 
-@query("s8_best_results", f"WITH {RUNS_SQL} SELECT model_key, result_id, cer FROM runs WHERE cer IS NOT NULL ORDER BY cer, result_id LIMIT 100")
+@query("s8_best_results", f"WITH {RUNS_SQL} SELECT model_key, result_id, cer FROM runs WHERE cer IS NOT NULL")
 def _(s, d):
     return _runs(s, d).where("cer is not null").select("model_key", "result_id", "cer").orderBy("cer", "result_id")
 
@@ -289,9 +278,13 @@ def _(s, d):
 # sources -----------------------------------------------------------------
 
 
-@query("src5_types", "SELECT type_num, count(*) AS files FROM recordings WHERE type_num IS NOT NULL GROUP BY type_num HAVING count(DISTINCT source) = 2")
+@query("src5_types", "SELECT type_num, count(*) AS files, count_if(source = 'donkey') AS donkey, count_if(source = 'dalpha') AS dalpha, round(sum(duration_s), 3) AS seconds, max(max(type_num)) OVER () + 1 AS next_type FROM recordings WHERE type_num IS NOT NULL GROUP BY type_num HAVING count(DISTINCT source) = 2")
 def _(s, d):
-    return table(s, d, "recordings").where("type_num is not null").groupBy("type_num").agg(F.count("*").alias("files"), F.count_distinct("source").alias("n")).where("n = 2").drop("n")
+    """Types that both sources deliver, with their files and seconds, and the number that a new type would get."""
+    r = table(s, d, "recordings").where("type_num is not null")
+    n = r.groupBy("type_num").agg(F.count("*").alias("files"), F.count_if(F.col("source") == "donkey").alias("donkey"), F.count_if(F.col("source") == "dalpha").alias("dalpha"), F.round(F.sum("duration_s"), 3).alias("seconds"), F.count_distinct("source").alias("n"))
+    return n.where("n = 2").drop("n").withColumn("next_type", n.where("n = 2").agg(F.max("type_num")).scalar() + 1)
+
 
 
 @query("src6_union_scan", f"WITH {SEGMENTS_SQL} SELECT s.file_id, seq, type_num, r.source FROM seg s JOIN recordings r USING (file_id) WHERE trim(text, ' ') <> ''")

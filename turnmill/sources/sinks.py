@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -21,3 +21,11 @@ def history(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
 def augmentation_manifest(files: DataFrame, variations: list[str]) -> DataFrame:
     """Each file with each variation of a fixed list and the name its output gets."""
     return files.select("*", F.explode(F.array(*map(F.lit, variations))).alias("variation")).withColumn("output", F.concat_ws("_", "file_id", "variation"))
+
+
+def text_report(df: DataFrame, title: str) -> DataFrame:
+    """(line, text): a heading, the names of the columns and a line of text for every row, in the order of the columns."""
+    rows = df.select(F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in df.columns]), " | ").alias("text"), F.struct(*df.columns).alias("by"))
+    body = rows.withColumn("line", F.row_number().over(Window.orderBy("by")) + 2).select("line", "text")
+    head = df.sparkSession.createDataFrame([(1, title), (2, " | ".join(df.columns))], "line int, text string")
+    return head.unionByName(body)
