@@ -130,3 +130,17 @@ def test_rule_tables(spark):
     assert [x.id for x in rules.deleted(r, r.where("id = '1'")).collect()] == ["2"]
     c = spark.createDataFrame([("x1", "x"), ("new", "other"), ("a", "zzz"), ("same", "same")], "wrong string, correct string")
     assert [(x.wrong, x.priority) for x in rules.learnable(c, r).collect()] == [("new", 53)]
+
+
+def test_similar_words_lose_no_pair(spark):
+    import random
+
+    from turnmill.operators.joins import similar_words
+
+    rng = random.Random(7)
+    syllables = "가각나낙다달라마막바사아안자차카타파하허히"
+    make = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 6)))
+    words, terms = {make() for _ in range(150)}, {make() for _ in range(150)}
+    got = {(r.word, r.term) for r in similar_words(spark.createDataFrame([(w,) for w in words] + [(None,)], "word string"), spark.createDataFrame([(t,) for t in terms] + [(None,)], "term string"), top=10_000).collect()}
+    want = {(w, t) for w in words for t in terms if len(w) >= 2 and abs(len(w) - len(t)) <= max(len(w) // 2, 2) and rules.likeness(rules.letters(w), rules.letters(t)) >= 0.6}
+    assert got == want and len(want) > 200

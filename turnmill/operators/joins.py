@@ -33,22 +33,37 @@ def speaker_of_segments(segments: DataFrame, turns: DataFrame, least: float = 0.
     return segments.select("file_id", "seq").join(best, ["file_id", "seq"], "left").select("file_id", "seq", F.col("x")["speaker"].alias("speaker"))
 
 
+#: Up to this many letters two similar words share a single letter at least, beyond it two neighbouring ones.
+FEW_LETTERS = 5
+
+
+def _pieces(letters: Column) -> Column:
+    """Pairs of neighbouring letters, and of few letters the letters themselves."""
+    n = F.length(letters)
+    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(letters, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    single = F.when(n <= FEW_LETTERS, F.filter(F.split(letters, ""), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(pairs, single))
+
+
 def similar_words(words: DataFrame, vocabulary: DataFrame, least: float = 0.6, top: int = 3) -> DataFrame:
     """(word, term, similarity, place): the ``top`` most similar terms of every word of two characters or more.
 
-    Similarity is one minus the edit distance over letters of syllables by the
-    longer length. Only lengths that differ by at most half the word (2 at
-    least) are compared: words and terms meet on length, each term offered to
-    the word lengths it may serve. Distinct words are compared, not occurrences.
+    Similarity is one minus the edit distance over letters of syllables by the longer length. Only lengths that differ
+    by at most half the word (2 at least) are compared. Distinct words are compared, not occurrences.
+
+    Words and terms meet on pieces that they must share: of two strings at a distance of up to 0.4 of the longer length
+    L, more than L / 2 letters stay in fewer runs than there are letters, once L is 6 or more, so two of them are
+    neighbours in both; below that one letter is shared. ``least`` may not be under 0.6 therefore.
     """
-    w = words.where(F.length("word") >= 2).select("word").distinct().withColumn("n", F.length("word"))
-    w = w.withColumn("wj", jamo(F.col("word")))
-    reach = F.greatest(F.floor(F.col("n") / 2).cast("int"), F.lit(2))
-    w = w.withColumn("tn", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - reach), F.col("n") + reach)))
+    if least < 0.6:
+        raise ValueError("words of a similarity under 0.6 need share no two letters")
+    w = words.where(F.length("word") >= 2).select("word").distinct().withColumn("n", F.length("word")).withColumn("wj", jamo(F.col("word")))
     v = vocabulary.select("term").where("term is not null").distinct().withColumn("tn", F.length("term")).withColumn("tj", jamo(F.col("term")))
     longest = F.greatest(F.length("wj"), F.length("tj"))
     # lengths bound the distance from below, so hopeless pairs never reach the edit distance
-    pairs = w.join(v, "tn").where(F.abs(F.length("wj") - F.length("tj")) <= (1 - least) * longest)
+    near = (F.abs(F.col("tn") - F.col("n")) <= F.greatest(F.floor(F.col("n") / 2), F.lit(2))) & (F.abs(F.length("wj") - F.length("tj")) <= (1 - least) * longest)
+    met = w.withColumn("piece", F.explode(_pieces(F.col("wj")))).join(v.withColumn("piece", F.explode(_pieces(F.col("tj")))), "piece").where(near)
+    pairs = met.groupBy("word", "term").agg(F.first("wj").alias("wj"), F.first("tj").alias("tj"))
     pairs = pairs.withColumn("similarity", 1 - F.levenshtein("wj", "tj") / longest).where(F.col("similarity") >= least)
     rank = Window.partitionBy("word").orderBy(F.desc("similarity"), "term")
     return pairs.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= top).select("word", "term", F.round("similarity", 6).alias("similarity"), "place")
