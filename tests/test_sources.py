@@ -72,3 +72,12 @@ def test_sessions_as_table(spark):
     rows = [("f", dt.datetime(2024, 1, 1, 0, 0)), ("f", dt.datetime(2024, 1, 1, 0, 10)), ("f", dt.datetime(2024, 1, 1, 5, 0))]
     got = segments.sessions(spark.createDataFrame(rows, "file_id string, received_at timestamp")).collect()
     assert sorted(r.segments for r in got) == [1, 2]
+
+
+def test_wavs_are_written(spark, tmp_path):
+    from turnmill.sources import audio
+
+    df = spark.createDataFrame([("a", [0.0, 0.5, -1.0]), ("b", None)], "name string, samples array<double>")
+    got = {r.name: r.bytes for r in audio.write_wavs(df, f"file://{tmp_path}/out", 16000).collect()}
+    assert got == {"a": 44 + 6, "b": 44}
+    assert audio.decode((tmp_path / "out" / "a.wav").read_bytes())[0] == 16000

@@ -106,9 +106,28 @@ def _long_repeat(text: str, times: int) -> tuple[int, int, int] | None:
     return None
 
 
+# The pipelines look for what a pattern can't do without before they try it: most texts hold nothing to be changed, and a
+# look for a word takes a hundredth of what the patterns take.
+
+
+def _grams_again(text: str, n: int, times: int) -> bool:
+    """Whether some ``n`` characters in a row occur ``times`` in the text."""
+    grams = [text[i : i + n] for i in range(len(text) - n + 1)]
+    if len(set(grams)) > len(grams) - times + 1:
+        return False
+    counts: dict[str, int] = {}
+    for g in grams:
+        k = counts[g] = counts.get(g, 0) + 1
+        if k >= times:
+            return True
+    return False
+
+
 def without_phrases_again(text: str, times: int, log: Log) -> str:
     """Phrases said ``times`` in a row once, long ones and then short ones, each until none is left."""
-    while found := _long_repeat(text, times):
+    if not _grams_again(text, 2, times):
+        return text
+    while _grams_again(text, _GRAM, times) and (found := _long_repeat(text, times)):
         i, n, end = found
         log.append(("hallucination", "long_repeat", text[i:end], text[i : i + n]))
         text = text[: i + n] + text[end:]
@@ -126,11 +145,24 @@ _SENTENCES = re.compile(r"(?<=[.?!])\s+")
 _MARKS_ONLY = re.compile(r"^\s*[.,!?;:\-–—…·]+\s*$")
 
 
+_MADE_UP_WORDS = [w.lower() for w in ARTIFACTS + CHANNELS]
+
+
 def _dropped(text: str, pattern: re.Pattern, kind: str, subkind: str, log: Log, to: str = "") -> str:
-    log += [(kind, subkind, m[0], to) for m in pattern.finditer(text)]
+    found = [(kind, subkind, m[0], to) for m in pattern.finditer(text)]
+    if not found:
+        return text
+    log += found
     return pattern.sub(to, text)
 
 
+def _has(text: str, words: list[str] | str) -> bool:
+    for w in words:
+        if w in text:
+            return True
+    return False
+
+
 def sentences_once(text: str, log: Log | None = None, trimmed: bool = True) -> str:
     """Sentences that only repeat the one before dropped."""
     parts = _SENTENCES.split(text)
@@ -144,9 +176,11 @@ def sentences_once(text: str, log: Log | None = None, trimmed: bool = True) -> s
 def without_hallucinations(text: str, log: Log, times: int = 3) -> str:
     """Repeats, phrases made up in silence, channels, marks of sounds, repeated thanks and sentences; nothing of marks only."""
     text = without_phrases_again(text, times, log)
-    text = _dropped(text, _MADE_UP, "hallucination", "whisper_artifact", log)
-    text = _dropped(text, _SOUNDS, "hallucination", "sound_marker", log)
-    if m := _THANKS.search(text):
+    if _has(text.lower(), _MADE_UP_WORDS):
+        text = _dropped(text, _MADE_UP, "hallucination", "whisper_artifact", log)
+    if _has(text, "[(♪♫🎵🎶*"):
+        text = _dropped(text, _SOUNDS, "hallucination", "sound_marker", log)
+    if "감사합니다" in text and (m := _THANKS.search(text)):
         log.append(("hallucination", "thanks_repeat", m[0], ""))
         text = _THANKS.sub("", text)
     text = sentences_once(text, log)
@@ -156,15 +190,19 @@ def without_hallucinations(text: str, log: Log, times: int = 3) -> str:
     return text.strip()
 
 
-_HESITATION = [("repeated", re.compile(p)) for p in REPEATED_SOUNDS] + [("single", re.compile(p)) for p in SINGLE_SOUNDS]
+#: What each pattern of hesitation needs, in their order.
+_NEEDED = ["네네네", "예예예", "아아아아", "어어어어", "으으으으", "음음음", "네", "예", "네네", "예예", "음..", "어..", "그..", "아..", "저..", "에..", "음", "음", "어", "그"]
+_HESITATION = list(zip(_NEEDED, ["repeated"] * len(REPEATED_SOUNDS) + ["single"] * len(SINGLE_SOUNDS), map(re.compile, REPEATED_SOUNDS + SINGLE_SOUNDS), strict=True))
 _TRAILING = re.compile(TRAILING_SOUND)
+_THRICE = [c * 3 for c in "네예아어으음"]
 
 
 def without_hesitation(text: str, log: Log, keep: bool = False) -> str:
     """Repeated and single sounds of hesitation dropped, or marked if kept; a trailing run is always dropped."""
-    for subkind, pattern in _HESITATION:
-        text = _dropped(text, pattern, "filler", subkind, log, "[filler]" if keep else "")
-    if m := _TRAILING.search(text):
+    for needed, subkind, pattern in _HESITATION:
+        if needed in text:
+            text = _dropped(text, pattern, "filler", subkind, log, "[filler]" if keep else "")
+    if _has(text, _THRICE) and (m := _TRAILING.search(text)):
         log.append(("filler", "trailing", m[0], ""))
         text = _TRAILING.sub("", text)
     return text.strip()
@@ -194,8 +232,9 @@ _N = f"[{''.join(DIGITS)}{''.join(UNITS)}]+"
 _PRESSURE = re.compile(rf"({_N})\s*[/에]\s*({_N})")
 _DAILY = re.compile(rf"하루\s*([{''.join(w for w in NATIVE if NATIVE[w] <= 10)}])\s*번")
 _A_DAY = re.compile(r"일\s*일\s*([일이삼사오육칠팔구])\s*회")
-_DOSES = [(re.compile(rf"({_N})\s*{k}"), v) for k, v in DOSES.items()]
-_COUNTED = [(re.compile(rf"({_N})\s*{u}"), u) for u in SINO_COUNTED]
+_SINO_SIGN = re.compile(_N)
+_DOSES = [(k, re.compile(rf"({_N})\s*{k}"), v) for k, v in DOSES.items()]
+_COUNTED = [(u, re.compile(rf"({_N})\s*{u}"), u) for u in SINO_COUNTED]
 _NATIVES = [(re.compile(rf"({'|'.join(sorted(NATIVE, key=len, reverse=True))})\s*{u}"), u) for u in NATIVE_COUNTED]
 
 
@@ -220,14 +259,21 @@ def numerals(text: str, log: Log | None = None) -> str:
         (a0, a1), (b0, b1) = PRESSURE
         return f"{a}/{b}" if a and b and a0 <= a <= a1 and b0 <= b <= b1 else None
 
-    put(_PRESSURE, "blood_pressure", pressure)
-    put(_DAILY, "frequency", lambda m: f"하루 {NATIVE[m[1]]}번" if m[1] in NATIVE else None)
-    put(_A_DAY, "frequency", lambda m: f"1일 {DIGITS[m[1]]}회")
-    for subkind, patterns in (("dosage", _DOSES), ("sino_unit", _COUNTED)):
-        for pattern, unit in patterns:
-            put(pattern, subkind, lambda m, unit=unit: f"{n}{unit}" if (n := sino(m[1])) else None)
+    if _SINO_SIGN.search(text):
+        put(_PRESSURE, "blood_pressure", pressure)
+        if "하루" in text:
+            put(_DAILY, "frequency", lambda m: f"하루 {NATIVE[m[1]]}번" if m[1] in NATIVE else None)
+        if "회" in text:
+            put(_A_DAY, "frequency", lambda m: f"1일 {DIGITS[m[1]]}회")
+        for subkind, patterns in (("dosage", _DOSES), ("sino_unit", _COUNTED)):
+            for word, pattern, unit in patterns:
+                if word in text:
+                    put(pattern, subkind, lambda m, unit=unit: f"{n}{unit}" if (n := sino(m[1])) else None)
+    elif "하루" in text:
+        put(_DAILY, "frequency", lambda m: f"하루 {NATIVE[m[1]]}번" if m[1] in NATIVE else None)
     for pattern, unit in _NATIVES:
-        put(pattern, "native_unit", lambda m, unit=unit: None if m[0] in NO_COUNT else f"{NATIVE[m[1]]}{unit}")
+        if unit in text:
+            put(pattern, "native_unit", lambda m, unit=unit: None if m[0] in NO_COUNT else f"{NATIVE[m[1]]}{unit}")
     return text
 
 
@@ -267,21 +313,33 @@ def process(text: str | None, options: Options = Options()) -> tuple[str | None,
     return tidy_space(text), log
 
 
-_ENGINE = [(re.compile(p, re.I), to) for p, to in ENGINE_REPEATS]
+#: The engine's patterns behind the first one with what each needs, in lower case.
+_ENGINE = list(zip(["감사합니다", "네", "mbc 뉴스", "kbs 뉴스", "시청해 주셔서 감사합니다", "구독과 좋아요"], [re.compile(p, re.I) for p, _ in ENGINE_REPEATS[1:]], strict=True))
+_TWICE = re.compile(ENGINE_REPEATS[0][0], re.I)
 
 
 def engine_cleaned(text: str) -> str:
     """Repeats that the dictionary's engine drops before its rules."""
-    for pattern, to in _ENGINE:
-        if pattern is _ENGINE[0][0] and len(text) > LONG:
+    if _grams_again(text.lower(), _GRAM, 2):
+        if len(text) > LONG:
             while found := _long_repeat(text, 2):
                 text = text[: found[0] + found[1]] + text[found[2] :]
         else:
-            text = pattern.sub(to, text)
+            text = _TWICE.sub(r"\1", text)
+    low = text.lower()
+    for needed, pattern in _ENGINE:
+        if needed in low:
+            text = pattern.sub("", text)
     return sentences_once(text, trimmed=False).strip()
 
 
-_QUESTION = re.compile("|".join(QUESTIONS))
+#: Endings as a tuple, the words of a question as a pattern.
+_ENDINGS = tuple(e for q in QUESTIONS if q.endswith("$") for e in q.removeprefix("(?:").removesuffix(")$").split("|"))
+_ASKING = re.compile("|".join(q for q in QUESTIONS if not q.endswith("$")))
+
+
+def _is_question(text: str) -> bool:
+    return text.endswith(_ENDINGS) or bool(_ASKING.search(text))
 
 
 def asked(text: str) -> str:
@@ -290,8 +348,8 @@ def asked(text: str) -> str:
     for x in map(str.strip, _SENTENCES.split(text)):
         if x.endswith("."):
             core = x[:-1].strip()
-            x = core + "?" if _QUESTION.search(core) else x
-        if x and not x.endswith(("?", ".", "!")) and _QUESTION.search(x):
+            x = core + "?" if _is_question(core) else x
+        if x and not x.endswith(("?", ".", "!")) and _is_question(x):
             x += "?"
         if x:
             out.append(x)
@@ -305,10 +363,11 @@ _IMPOSSIBLE = [re.compile(p) for p in IMPOSSIBLE]
 def rescored(text: str, around: str | None = None) -> str:
     """Words corrected by their context (the text itself, or what is ``around``), impossible months and runs of digits dropped."""
     for context, pattern, to in _CONTEXT:
-        if context.search(around or text):
+        if pattern.search(text) and context.search(around or text):
             text = pattern.sub(to, text)
-    for pattern in _IMPOSSIBLE:
-        text = pattern.sub("", text)
+    for needed, pattern in zip(("월부터", "월부터", ""), _IMPOSSIBLE):
+        if needed in text:
+            text = pattern.sub("", text)
     return re.sub(r"\s+", " ", text).strip()
 
 

@@ -89,3 +89,13 @@ def mentions(texts: DataFrame, terms: DataFrame, key: list[str], text: str = "te
     t = texts.where(F.length(text) >= 2).select(*key, F.col(text).alias("__t"))
     pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("__t") - 1), lambda i: F.substring("__t", i, F.lit(2))))
     return t.withColumn("piece", F.explode(pieces)).join(v, "piece").withColumn("at", F.instr("__t", F.col("term"))).where("at > 0").select(*key, "term", "at")
+
+
+def long_form(df: DataFrame, length: float = 60.0, overlap: float = 2.0) -> DataFrame:
+    """A long recording recognised chunk by chunk, put together: (file_id, seq, start, end, text).
+
+    Each segment comes once for every chunk that hears it; what a chunk repeats of the last kept segment is dropped, and
+    a segment without words, which repeats nothing, is taken once.
+    """
+    heard = S.overlapping_windows(df, length, overlap).select("file_id", "seq", "start", "end", "text")
+    return folds.without_chunk_repeats(heard).dropDuplicates(["file_id", "seq"])

@@ -63,6 +63,14 @@ def likeness(a: str, b: str) -> float:
     return 1 - row[-1] / (max(len(a), len(b)) or 1)
 
 
+@lru_cache(1 << 18)
+def _may_be_like(a: str, b: str, least: float) -> bool:
+    """Whether the letters that both hold leave room for the likeness: each letter that one lacks costs an edit."""
+    n = max(len(a), len(b)) or 1
+    shared = sum(min(a.count(c), b.count(c)) for c in set(b))
+    return 1 - (n - shared) / n >= least
+
+
 def _near(text: str, at: int, hints: list[str], reach: int | None) -> bool:
     """No hints, or one of them within ``reach`` characters of the place (anywhere if None), whatever their case."""
     around = (text if reach is None else text[max(0, at - reach) : at + reach]).lower()
@@ -82,7 +90,7 @@ class Corrector:
         self.clean, self.reach = clean, reach
         self.regex = [(r, re.compile(r["pattern"])) for r in by("regex") if valid_pattern(r["pattern"])]
         self.exact = [r for r in rules if r["strategy"] == "exact"] if "exact" in strategies else []
-        self.phonetic = [r for r in by("phonetic") if r["hints"] and r["wrong"]]
+        self.phonetic = [(r, [h.lower() for h in r["hints"]], letters(r["wrong"])) for r in by("phonetic") if r["hints"] and r["wrong"]]
         self.words: dict[str, list[int]] = {}
         for i, r in enumerate(self.exact):
             self.words.setdefault(r["wrong"], []).append(i)
@@ -133,18 +141,21 @@ class Corrector:
                     log.append((r["wrong"], r["correct"], r["id"], "tier1_dict"))
                     text = new
                     waiting = self._present(text, i)
-        for r in self.phonetic:
-            text = self._sounding(text, r, log)
+        low = text.lower()
+        for r, hints, goal in self.phonetic:
+            for h in hints:
+                if h in low:
+                    text = self._sounding(text, r, goal, log)
+                    low = text.lower()
+                    break
         return text, log
 
-    def _sounding(self, text: str, r: dict, log: list) -> str:
-        n, goal, least = len(r["wrong"]), letters(r["wrong"]), r["confidence"] if r["confidence"] is not None else 1.0
-        if not any(h.lower() in text.lower() for h in r["hints"]):
-            return text
+    def _sounding(self, text: str, r: dict, goal: str, log: list) -> str:
+        n, least = len(r["wrong"]), r["confidence"] if r["confidence"] is not None else 1.0
         i = 0
         while i <= len(text) - n:
             w = text[i : i + n]
-            if w != r["correct"] and likeness(letters(w), goal) >= least and _near(text, i, r["hints"], self.reach):
+            if _may_be_like(letters(w), goal, least) and w != r["correct"] and likeness(letters(w), goal) >= least and _near(text, i, r["hints"], self.reach):
                 log.append((w, r["correct"], r["id"], "tier1_dict"))
                 text = text[:i] + r["correct"] + text[i + n :]
                 i += len(r["correct"])

@@ -12,7 +12,7 @@ from turnmill.operators import recovery as V
 from turnmill.operators import roles, rules
 from turnmill.operators import sequences as S
 from turnmill.plans import evaluation as E
-from turnmill.plans.dialogue import _FOLD, _OVERLAP
+from turnmill.plans.dialogue import _FOLD, _OVERLAP, _REPEAT
 from turnmill.plans.sequences import SEGMENTS_SQL, segments
 from turnmill.sources import dictionary
 from turnmill.sources import transcripts as X
@@ -72,6 +72,15 @@ def _(s, d):
     return V.merged(segments(s, d), V.retranscribed(_gaps(s, d), _hear))
 
 
+_HEARD = f"""{SEGMENTS_SQL}, wn AS (SELECT *, unnest(generate_series(CAST(floor("start" / 60.0) AS BIGINT), CAST(floor(("end" + 2.0) / 60.0) AS BIGINT))) AS win FROM seg WHERE "start" IS NOT NULL AND "end" > "start"),
+ hd AS (SELECT * FROM wn WHERE "end" > greatest(win * 60.0 - 2.0, 0) AND "start" < (win + 1) * 60.0 AND (win = 0 OR "end" > win * 60.0))"""
+
+
+@query("st3_long_form", _FOLD.format(seg=_HEARD, act=_REPEAT).replace("FROM seg WHERE \"start\" IS NOT NULL AND \"end\" IS NOT NULL),\n step", "FROM hd),\n step").split("SELECT file_id, seq, \"start\", \"end\", text FROM seg")[0] + "SELECT DISTINCT h.file_id, h.seq, s.\"start\", s.\"end\", s.text FROM held h JOIN seg s ON h.file_id = s.file_id AND h.seq = s.seq")
+def _(s, d):
+    return V.long_form(segments(s, d))
+
+
 _HALF = "CASE WHEN seq % 2 = 0 THEN left(text, CAST(ceil(length(text) * 0.6) AS INTEGER)) ELSE left(text, CAST(floor(length(text) * 0.3) AS INTEGER)) END"
 
 
