@@ -7,6 +7,7 @@ as many expressions inside the JVM costs twice as much. Single stages that need
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -115,12 +116,7 @@ def _grams_again(text: str, n: int, times: int) -> bool:
     grams = [text[i : i + n] for i in range(len(text) - n + 1)]
     if len(set(grams)) > len(grams) - times + 1:
         return False
-    counts: dict[str, int] = {}
-    for g in grams:
-        k = counts[g] = counts.get(g, 0) + 1
-        if k >= times:
-            return True
-    return False
+    return max(Counter(grams).values(), default=0) >= times
 
 
 def without_phrases_again(text: str, times: int, log: Log) -> str:
@@ -166,6 +162,8 @@ def _has(text: str, words: list[str] | str) -> bool:
 def sentences_once(text: str, log: Log | None = None, trimmed: bool = True) -> str:
     """Sentences that only repeat the one before dropped."""
     parts = _SENTENCES.split(text)
+    if len(parts) == 1:
+        return text
     key = str.strip if trimmed else str
     kept = parts[:1] + [b for a, b in zip(parts, parts[1:]) if key(a) != key(b)]
     if log is not None and len(kept) < len(parts):
@@ -277,16 +275,20 @@ def numerals(text: str, log: Log | None = None) -> str:
     return text
 
 
-_MARKS = [(re.compile(p), to) for p, to in ((r"\.{2,}", "."), (r"!{2,}", "!"), (r"\?{2,}", "?"), (r",{2,}", ","), (r"\s+([.!?,;:])", r"\1"), (r"([.!?])\s*([가-힣a-zA-Z])", r"\1 \2"), (r",([가-힣a-zA-Z])", r", \1"))]
+#: Patterns and what is left of a match, with the characters of which each needs one.
+_MARKS = [(needed, re.compile(p), to) for needed, p, to in (([".."], r"\.{2,}", "."), (["!!"], r"!{2,}", "!"), (["??"], r"\?{2,}", "?"), ([",,"], r",{2,}", ","), (".!?,;:", r"\s+([.!?,;:])", r"\1"), (".!?", r"([.!?])\s*([가-힣a-zA-Z])", r"\1 \2"), (",", r",([가-힣a-zA-Z])", r", \1"))]
+_LAST_LETTER = re.compile(r"[가-힣a-zA-Z0-9]\s*\Z")
 
 
 def punctuated(text: str, log: Log | None = None) -> str:
     """Runs of one mark collapsed, no space before a mark, one after it, a full stop behind a last letter."""
     out = text
-    for pattern, to in _MARKS:
-        out = pattern.sub(to, out)
-    if re.search(r"[가-힣a-zA-Z0-9]\s*\Z", out):
-        out = out.rstrip() + "."
+    for needed, pattern, to in _MARKS:
+        if _has(out, needed):
+            out = pattern.sub(to, out)
+    bare = out.rstrip()
+    if bare and _LAST_LETTER.match(bare[-1]):
+        out = bare + "."
     if log is not None and out != text:
         log.append(("punctuation", "fix", text[-50:], out[-50:]))
     return out
@@ -294,7 +296,11 @@ def punctuated(text: str, log: Log | None = None) -> str:
 
 def tidy_space(text: str) -> str:
     """Runs of blanks once, none around line ends, at most one empty line."""
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *", "\n", re.sub(r"[ \t]+", " ", text))).strip()
+    if _has(text, ("  ", "\t")):
+        text = re.sub(r"[ \t]+", " ", text)
+    if "\n" in text:
+        text = re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *", "\n", text))
+    return text.strip()
 
 
 def process(text: str | None, options: Options = Options()) -> tuple[str | None, Log]:
@@ -356,19 +362,19 @@ def asked(text: str) -> str:
     return " ".join(out)
 
 
-_CONTEXT = [(re.compile(c), re.compile(p), re.sub(r"\$(\d)", r"\\\1", to)) for c, p, to in CONTEXT]
+_CONTEXT = [(p[:2], re.compile(c), re.compile(p), re.sub(r"\$(\d)", r"\\\1", to)) for c, p, to in CONTEXT]
 _IMPOSSIBLE = [re.compile(p) for p in IMPOSSIBLE]
 
 
 def rescored(text: str, around: str | None = None) -> str:
     """Words corrected by their context (the text itself, or what is ``around``), impossible months and runs of digits dropped."""
-    for context, pattern, to in _CONTEXT:
-        if pattern.search(text) and context.search(around or text):
+    for word, context, pattern, to in _CONTEXT:
+        if word in text and context.search(around or text):
             text = pattern.sub(to, text)
     for needed, pattern in zip(("월부터", "월부터", ""), _IMPOSSIBLE):
         if needed in text:
             text = pattern.sub("", text)
-    return re.sub(r"\s+", " ", text).strip()
+    return " ".join(text.split())
 
 
 def polish(text: str | None, correct: Callable[[str], str] = lambda t: t, options: Options = Options()) -> str | None:

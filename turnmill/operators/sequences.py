@@ -16,13 +16,22 @@ KEY = ["file_id"]
 ORDER = ["seq"]
 
 
+#: Where ``once`` leaves the block of each row, by which its rows are already dealt out.
+DEALT = "__block"
+
+
 def once(df: DataFrame) -> DataFrame:
-    """Each segment once: re-deliveries share (file_id, seq) and content."""
-    return df.where("file_id is not null and seq is not null").dropDuplicates(["file_id", "seq"])
+    """Each segment once: re-deliveries share (file_id, seq) and content.
+
+    Rows are dealt out by (file, block), which serves to find copies and all ordered work that follows, so that is one
+    shuffle for both; ``DEALT`` holds the block.
+    """
+    rows = df.where("file_id is not null and seq is not null").withColumn(DEALT, blocked.block_of(F.col("seq")))
+    return rows.repartition("file_id", DEALT).dropDuplicates(["file_id", "seq", DEALT])
 
 
 def in_blocks(df: DataFrame) -> DataFrame:
-    return df.withColumn("block", blocked.block_of(F.col("seq")))
+    return df.withColumn("block", F.col(DEALT) if DEALT in df.columns else blocked.block_of(F.col("seq")))
 
 
 def time_gaps(df: DataFrame, durations: DataFrame, least: float = 1.0) -> DataFrame:
@@ -111,7 +120,7 @@ def batches(df: DataFrame, size: int) -> DataFrame:
 
 def context(df: DataFrame, before: int, after: int, text: str = "text", own: bool = False) -> DataFrame:
     """(file_id, seq, context): the texts of up to ``before`` rows before and ``after`` rows after (and of the row itself), joined; null texts are left out."""
-    rows = blocked.shifted(in_blocks(df.select(*KEY, *ORDER, F.col(text).alias("__t"))), KEY, "block", ORDER, ["__t"], before, after)
+    rows = blocked.shifted(in_blocks(df).select(*KEY, *ORDER, "block", F.col(text).alias("__t")), KEY, "block", ORDER, ["__t"], before, after)
     seen = [F.col(f"prev{i}.__t") for i in range(before, 0, -1)] + ([F.col("__t")] if own else []) + [F.col(f"next{i}.__t") for i in range(1, after + 1)]
     return rows.select(*KEY, *ORDER, F.concat_ws(" ", *seen).alias("context"))
 

@@ -80,7 +80,7 @@ _SOUNDS = _chain("text", [(p, "") for p in C.REPEATED_SOUNDS + C.SINGLE_SOUNDS[:
 _SOUNDS = _ALONE(_ALONE(_ALONE(_SOUNDS, "음"), "어"), "그")
 _each("t6_hesitation", C.without_fillers, _TRIM(f"regexp_replace({_SOUNDS}, '(?:{'|'.join(c + '{3,}' for c in '네예아어으음')})\\s*(?:[.!?]?\\s*)$', '')"))
 _each("t7_spoken_numbers", C.spoken_numbers)
-_each("t13_punctuation", C.punctuation, "CASE WHEN regexp_matches({0}, '[가-힣a-zA-Z0-9]\\s*$') THEN regexp_replace({0}, '\\s+$', '') || '.' ELSE {0} END".format(_chain("text", [(p.pattern, to) for p, to in C._MARKS])))
+_each("t13_punctuation", C.punctuation, "CASE WHEN regexp_matches({0}, '[가-힣a-zA-Z0-9]\\s*$') THEN regexp_replace({0}, '\\s+$', '') || '.' ELSE {0} END".format(_chain("text", [(p.pattern, to) for _, p, to in C._MARKS])))
 _ASKS = f"'{'|'.join(C.QUESTIONS)}'"
 _CORE = _TRIM("left(y, length(y) - 1)")
 _each(
