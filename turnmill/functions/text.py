@@ -92,8 +92,8 @@ def coalesced(*columns: Column) -> Column:
 
 
 def n7(c: Column) -> Column:
-    """Composed letters, digits and underscores only, lower case."""
-    return F.lower(F.regexp_replace(nfc(c), r"[^\w가-힣]", ""))
+    """Composed letters and numbers of any script and underscores only, lower case."""
+    return F.lower(F.regexp_replace(nfc(c), r"[^\p{L}\p{N}_]", ""))
 
 
 def n8(c: Column) -> Column:

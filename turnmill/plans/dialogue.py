@@ -48,7 +48,7 @@ def _(s, d):
 
 
 
-@query("n7_normal")
+@query("n7_normal", "SELECT result_id, lower(regexp_replace(nfc_normalize(reference), '[^\\p{L}\\p{N}_]', '', 'g')) AS t FROM jangmin_result_no_prompt WHERE reference IS NOT NULL")
 def _(s, d):
     return _refs(s, d).select("result_id", T.n7(F.col("reference")).alias("t"))
 

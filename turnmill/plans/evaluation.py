@@ -162,7 +162,6 @@ def _rates_sql(form, empty, cap=False, length="len(r)"):
 
 
 _BARE = lambda c: f"regexp_replace({c}, '\\s', '', 'g')"
-_N7 = lambda c: f"lower(regexp_replace(nfc_normalize({c}), '[^0-9A-Za-z_가-힣]', '', 'g'))"
 _EITHER = "CASE WHEN len(h) = 0 THEN 0.0 ELSE 1.0 END"
 
 query("m5_character_error_rate", _rates_sql(_BARE, _EITHER))(lambda s, d: _rates(T.n3)(s, d))
