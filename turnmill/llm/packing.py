@@ -153,8 +153,11 @@ def pack(sizes: DataFrame, capacities: list[tuple[int, int]], id_col: str = "doc
 
     A text above the capacity is cut into full pieces and one rest; no other is
     split. Texts without tokens need no room and lie in container 0. Null sizes
-    count as 0. ``sizes`` is read several times: give a written table.
+    count as 0. Without any capacity there is no container. ``sizes`` is read several times: give a written table.
     """
+    of_id = sizes.schema[id_col].dataType.simpleString()
+    if not capacities:
+        return sizes.sparkSession.createDataFrame([], f"capacity_id int, container bigint, {id_col} {of_id}, piece int, tokens int")
     caps = F.array(*[F.struct(F.lit(i).alias("capacity_id"), F.lit(c).alias("capacity")) for i, c in capacities])
     each = sizes.select(F.col(id_col).alias("id"), F.coalesce("tokens", F.lit(0)).cast("int").alias("total"), F.explode(caps).alias("c")).select("id", "total", "c.*")
     salts = max(LEAST_BLOCKS, sizes.count() // BLOCK_ROWS)
@@ -194,6 +197,5 @@ def pack(sizes: DataFrame, capacities: list[tuple[int, int]], id_col: str = "doc
             f["container"] = container
             yield f[["capacity_id", "container", "id", "piece", "tokens"]]
 
-    of_id = sizes.schema[id_col].dataType.simpleString()
     placed = ranked.mapInPandas(place, f"capacity_id int, container bigint, id {of_id}, piece int, tokens int")
     return placed.withColumnRenamed("id", id_col)
