@@ -74,7 +74,9 @@ def misheard(words: DataFrame, vocabulary: DataFrame, rules: DataFrame, particle
 
 
 def scoped(hits: DataFrame, scopes: list[str], bonus: float = 0.02, top: int = 3) -> DataFrame:
-    """Of candidates (word, term, similarity, specialty) in one of the scopes the ``top`` best, those of the first scope weighing ``bonus`` more."""
+    """Of candidates (word, term, similarity, specialty) in one of the scopes the ``top`` best, those of the first scope weighing ``bonus`` more; without any scope none."""
+    if not scopes:
+        return hits.withColumn("score", F.col("similarity")).withColumn("place", F.lit(1)).limit(0)
     s = F.round(F.col("similarity") + F.when(F.col("specialty") == scopes[0], bonus).otherwise(0.0), 6)
     order = F.array_position(F.array(*map(F.lit, scopes)), F.col("specialty"))
     w = Window.partitionBy("word").orderBy(F.desc("score"), order, "term")

@@ -20,9 +20,10 @@ REACH = 30
 
 
 def ordered_rules(rules: DataFrame, strategies: list[str]) -> list[dict]:
-    """Enabled rules of the strategies by priority, length of ``wrong`` (both descending) and id."""
+    """Enabled rules of the strategies by priority, length of ``wrong`` (both descending) and id; a rule without an id goes by its word."""
     rows = rules.where(F.col("enabled") & F.col("strategy").isin(strategies) & F.col("wrong").isNotNull() & (F.col("wrong") != "") & F.col("correct").isNotNull())
-    found = rows.select("id", "wrong", "correct", "strategy", "pattern", F.coalesce("context_hint", F.array().cast("array<string>")).alias("hints"), F.coalesce("priority", F.lit(50)).alias("priority"), "confidence").take(MOST_RULES + 1)
+    hints = F.array_compact(F.coalesce("context_hint", F.array().cast("array<string>"))).alias("hints")
+    found = rows.select(F.coalesce(F.col("id").cast("string"), "wrong").alias("id"), "wrong", "correct", "strategy", "pattern", hints, F.coalesce("priority", F.lit(50)).alias("priority"), "confidence").take(MOST_RULES + 1)
     if len(found) > MOST_RULES:
         raise ValueError("too many rules for a fold")
     return sorted((r.asDict() for r in found), key=lambda r: (-r["priority"], -len(r["wrong"]), r["id"]))
@@ -198,6 +199,8 @@ def patterns(text: Column, rules: list[dict]) -> Column:
 def replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
     """struct(text, applied): plain replacements in order, and how many of them found something; for want of a rule table."""
     start = F.struct(text.alias("text"), F.lit(0).alias("applied"))
+    if not pairs:
+        return start
     table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
 
     def step(acc: Column, r: Column) -> Column:
