@@ -175,7 +175,7 @@ def without_hallucinations(text: str, log: Log, times: int = 3) -> str:
     """Repeats, phrases made up in silence, channels, marks of sounds, repeated thanks and sentences; nothing of marks only."""
     text = without_phrases_again(text, times, log)
     if _has(text.lower(), _MADE_UP_WORDS):
-        text = _dropped(text, _MADE_UP, "hallucination", "whisper_artifact", log)
+        text = _dropped(text, _MADE_UP, "hallucination", "made_up", log)
     if _has(text, "[(♪♫🎵🎶*"):
         text = _dropped(text, _SOUNDS, "hallucination", "sound_marker", log)
     if "감사합니다" in text and (m := _THANKS.search(text)):

@@ -96,12 +96,12 @@ def _(s, d):
     return V.revised(segments(s, d), F.upper("text")).select("file_id", "seq", "text", "revised")
 
 
-@query("h6_supplements", f"""WITH {SEGMENTS_SQL} SELECT file_id, seq, text AS whisper_text, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z\\s\\-]{{2,}}'), lambda x: trim(x, ' ')), lambda x: x <> '') AS whisper_english FROM seg WHERE text IS NOT NULL AND (coalesce(nullif(confidence, 0), 1.0) < 0.75 OR regexp_matches(text, '[A-Za-z]{{3,}}')) AND "end" - "start" >= 0.8""")
+@query("h6_supplements", f"""WITH {SEGMENTS_SQL} SELECT file_id, seq, text AS second_text, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z\\s\\-]{{2,}}'), lambda x: trim(x, ' ')), lambda x: x <> '') AS second_english FROM seg WHERE text IS NOT NULL AND (coalesce(nullif(confidence, 0), 1.0) < 0.75 OR regexp_matches(text, '[A-Za-z]{{3,}}')) AND "end" - "start" >= 0.8""")
 def _(s, d):
     """Pieces long enough for a second recognition that are unsure or hold English, with the English heard in them."""
     x = segments(s, d).where("text is not null").where((F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(1.0)) < 0.75) | F.col("text").rlike("[A-Za-z]{3,}")).where(F.col("end") - F.col("start") >= 0.8)
     english = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"([A-Za-z][A-Za-z\s\-]{2,})"), 1), lambda e: F.trim(e)), lambda e: e != "")
-    return x.select("file_id", "seq", F.col("text").alias("whisper_text"), english.alias("whisper_english"))
+    return x.select("file_id", "seq", F.col("text").alias("second_text"), english.alias("second_english"))
 
 
 # prompts ------------------------------------------------------------------
