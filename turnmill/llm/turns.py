@@ -94,6 +94,7 @@ def _number(c: Column) -> Column:
 #: Characters without which a pattern can't match; looking for one of them costs a tenth of trying the pattern.
 MARK_SIGNS = r"[:\[(<{【*♩♪♫♬\x{1F3B5}\x{1F3B6}]"
 LABEL_SIGNS = r"[:：>)\]】\-–—]"
+FILLER_SIGNS = r"\.\.|[…,]"
 BRACKETS = r"[\[<{【(*]"
 #: A character of speech that no sound of hesitation holds.
 SURELY_SPOKEN = r"[^\s\p{Z}\p{P}\p{Cf}어음으흠아에그저UuHhMmEeRr]"
@@ -134,7 +135,7 @@ def cleaned(df: DataFrame, role_codes: DataFrame, words: bool = True) -> DataFra
     part = F.split("mark", ":")
     cue = F.aggregate(part, F.lit(0.0), lambda acc, x: acc * 60 + F.coalesce(F.regexp_replace(x, ",", ".").try_cast("double"), F.lit(0.0)))
     spoken = F.col("t").rlike(SURELY_SPOKEN) | F.regexp_replace("t", LONE_SOUND, " ").rlike(SPOKEN)
-    speech = F.trim(F.regexp_replace(F.regexp_replace("t", FILLER, " "), r"[\s\p{Z}]+", " "))
+    speech = F.trim(F.regexp_replace(_replaced(F.col("t"), FILLER_SIGNS, FILLER), r"[\s\p{Z}]+", " "))
     return t2.select(
         "file_id",
         "seq",
@@ -305,11 +306,13 @@ def turns(df: DataFrame, role_codes: DataFrame) -> DataFrame:
     Turns are numbered on rows without text; the cleaned texts then meet their turn by (file_id, seq).
     """
     key, order = ["file_id"], ["at", "seq"]
-    rows = blocked.filled(ordered(df, role_codes), key, "block", order, "role", "filled", backward=False)
+    # slim rows, written once, as every step reads them twice
+    rows = blocked.filled(cut_lineage(ordered(df, role_codes)), key, "block", order, "role", "filled", backward=False)
     rows = blocked.neighbours(rows, key, "block", order, ["filled", "seq"])
     fresh = F.col("prev_seq").isNull() | ~F.col("filled").eqNullSafe(F.col("prev_filled"))
     rows = blocked.running_count(rows, key, "block", order, fresh, "turn").select("file_id", "seq", "at", "turn", "filled")
-    said = cleaned(df, role_codes).where("spoken").groupBy("file_id", "seq").agg(F.min("speech").alias("speech"))
+    # a filter on what is spoken would be pushed below and clean every text twice
+    said = cleaned(df, role_codes).groupBy("file_id", "seq").agg(F.min(F.when(F.col("spoken"), F.col("speech"))).alias("speech"))
     at = F.struct("at", "seq")
     return (
         rows.join(said, ["file_id", "seq"])
