@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from turnmill.plans import joined
 from turnmill.functions import cleaning as C
 from turnmill.functions import text as T
 from turnmill.operators import detection as D
@@ -388,3 +389,8 @@ def _(s, d):
     o = table(s, d, "jangmin_result_no_prompt").groupBy("run_id", "type").agg(F.min("hypothesis").alias("o"))
     x = table(s, d, "seastar105_result_no_prompt").join(o, ["run_id", "type"], "left")
     return x.select("result_id", D.looks_hallucinated(F.col("hypothesis"), F.col("o"), -F.col("cer") / 100, F.col("ratio")).alias("hallucinated"))
+
+
+joined(QUERIES, ORACLES, "c2_exact_rules", "applied")
+joined(QUERIES, ORACLES, "c3_hints_near", "applied")
+joined(QUERIES, ORACLES, "c6_hints_anywhere", "applied")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from turnmill.plans import joined
 from turnmill.functions import cleaning as C
 from turnmill.functions import text as T
 from turnmill.operators import folds, rules
@@ -111,3 +112,6 @@ def _(s, d):
 @query("seq7_without_chunk_repeats", _FOLD.format(seg=SEGMENTS_SQL, act=_REPEAT))
 def _(s, d):
     return folds.without_chunk_repeats(segments(s, d))
+
+
+joined(QUERIES, ORACLES, "n2_words", "words")

@@ -12,6 +12,7 @@ from turnmill.operators import recovery as V
 from turnmill.operators import roles, rules
 from turnmill.operators import sequences as S
 from turnmill.plans import evaluation as E
+from turnmill.plans import joined
 from turnmill.plans.dialogue import _FOLD, _OVERLAP, _REPEAT
 from turnmill.plans.sequences import SEGMENTS_SQL, segments
 from turnmill.sources import dictionary
@@ -163,7 +164,8 @@ _BASE_PROMPT = "의료 진료 상담 대화입니다. 의사와 환자가 대화
 @query("t28_prompts", f"WITH {E.TEXTS_SQL} SELECT result_id, left('{_BASE_PROMPT}' || array_to_string(list_slice(list_sort({_FOUND}), 1, 30), ', '), 500) AS prompt FROM texts WHERE hypothesis IS NOT NULL")
 def _(s, d):
     """The base with the terms that a first pass found, thirty at most, within five hundred characters."""
-    x = QUERIES["s5_extracted_terms"](s, d)
+    found = F.concat(*[F.regexp_extract_all("hypothesis", F.lit(f"({p})"), 1) for p in _MEDICAL])
+    x = E.texts(s, d).where("hypothesis is not null").select("result_id", F.slice(F.array_sort(F.array_distinct(found)), 1, 30).alias("terms"))
     return x.select("result_id", F.left(F.concat(F.lit(_BASE_PROMPT), F.array_join("terms", ", ")), F.lit(500)).alias("prompt"))
 
 
@@ -319,3 +321,8 @@ def _(s, d):
     raw = segments(s, d).where("`start` is not null and `end` is not null").groupBy("file_id", F.floor(F.col("seq") / 500).alias("part")).agg(F.to_json(F.struct(F.collect_list(part).alias("segments"))).alias("raw"))
     x = X.connector_segments(raw, ["file_id"], "raw")
     return x.groupBy("file_id", "start", "end", "text", "confidence").agg(F.count("*").alias("n"))
+
+
+joined(QUERIES, ORACLES, "h6_supplements", "second_english")
+joined(QUERIES, ORACLES, "s5_extracted_terms", "terms")
+joined(QUERIES, ORACLES, "so3_ordered_union", "terms")

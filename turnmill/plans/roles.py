@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from turnmill.plans import joined
 from turnmill.operators import roles
 from turnmill.operators import sequences as S
 from turnmill.plans.sequences import SEGMENTS_SQL, segments
@@ -422,3 +423,8 @@ def _(s, d):
     lines = _best(s, d).groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), "\n").alias("summary"))
     files = segments(s, d).select("file_id").distinct()
     return files.join(lines, "file_id", "left").select("file_id", F.coalesce("summary", F.lit(_NOTHING)).alias("summary"))
+
+
+joined(QUERIES, ORACLES, "h12_signal_details", "signs")
+joined(QUERIES, ORACLES, "r7_review_scope", "reasons")
+joined(QUERIES, ORACLES, "r11_problems", "problems")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from turnmill.plans import exploded
 from turnmill.functions import audio as A
 from turnmill.sources import sinks
 from turnmill.sources import transcripts as X
@@ -116,3 +117,10 @@ def _(s, d):
 @query("st_windows", "SELECT time_bucket(INTERVAL 30 MINUTE, received_at) - INTERVAL 30 MINUTE * k AS window_start, count(*) AS segments FROM transcribe_segments, (VALUES (0), (1)) v(k) GROUP BY 1")
 def _(s, d):
     return stream.windows(table(s, d, "transcribe_segments"))
+
+
+exploded(QUERIES, ORACLES, "a3_loudness")
+exploded(QUERIES, ORACLES, "a4_peak")
+exploded(QUERIES, ORACLES, "a5_compressed")
+exploded(QUERIES, ORACLES, "a7_cut")
+exploded(QUERIES, ORACLES, "a9_enhanced")
