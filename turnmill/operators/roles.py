@@ -278,10 +278,11 @@ def speaker_roles(df: DataFrame) -> DataFrame:
     t = _said(F.col("text"))
     rows = df.withColumn("speaker", F.coalesce("speaker", F.lit(""))).withColumn("text", t)
     words = F.size(F.filter(F.split(F.regexp_replace(F.trim("text"), r"\s+", " "), " "), lambda w: w != ""))
-    net = F.lit(0.0)
-    for sign, signs in ((1.0, SPEAKER_DOCTOR), (-1.0, SPEAKER_PATIENT)):
-        for p, w in signs:
-            net = net + F.when(F.bool_or(F.col("text").rlike(p)), sign * w).otherwise(0.0)
+    # a bit for each sign, so that one buffer holds what was found in any of the texts
+    weighed = [(p, float(w)) for p, w in SPEAKER_DOCTOR] + [(p, -float(w)) for p, w in SPEAKER_PATIENT]
+    rows = rows.withColumn("signs", sum((F.when(F.col("text").rlike(p), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i, (p, _) in enumerate(weighed)), F.lit(0).cast("bigint")))
+    found = F.bit_or("signs")
+    net = F.aggregate(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, (_, w) in enumerate(weighed)]), F.lit(0.0), lambda acc, x: acc + F.getbit(found, x["i"]) * x["w"])
     net = net - F.when(F.max_by("text", "seq").rlike(r"\?\n?\z"), ENDS_ASKING).otherwise(0.0) - F.avg((words <= 2).cast("double")) * SHORT_WEIGHT
     per = rows.groupBy("file_id", "speaker").agg(F.round(net, 6).alias("net"), F.avg(F.length("text")).alias("mean"), F.sum(F.length("text")).alias("said"), F.min("seq").alias("first"))
     w, by = Window.partitionBy("file_id"), Window.partitionBy("file_id").orderBy("speaker")
